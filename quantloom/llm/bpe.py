@@ -2,18 +2,19 @@
 
 Tasks cut their texts into pre-tokens and pack some megabytes of documents into
 a chunk: its distinct words, and for each position the word's number.  Only
-the distinct words of chunks are shuffled by word, so that the whole corpus
-encodes each word once; the ids go back to their chunks, where positions put
-the documents together again.  A word as common as " the" travels once for
-each chunk, not once for each occurrence.  Decoding joins the token-byte table,
-whose size the vocabulary bounds.
+the distinct words of chunks are shuffled, by a hash of the word, so that all
+chunks' copies of a word meet and it is encoded once; the ids go back to their
+chunks, where positions put the documents together again.  A word as common as
+" the" travels once for each chunk, not once for each occurrence, and words of
+one chunk that have the same destination travel as one compressed list.
+Decoding joins the token-byte table, whose size the vocabulary bounds.
 """
 
 from __future__ import annotations
 
 import base64
 import pickle
-import struct
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +32,8 @@ from .textkit import slices
 
 #: Bytes of text in a chunk; a longer text has a chunk of its own.
 CHUNK_BYTES = 6 << 20
+#: Words whose ids a task remembers; one that comes again after that is encoded again.
+REMEMBERED = 2_000_000
 
 
 @lru_cache(2)
@@ -47,13 +50,26 @@ def _word_encoder(path: str):
     return tiktoken.Encoding("words", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(path), special_tokens={}).encode_ordinary
 
 
-def _pack(pattern: str, chunk_bytes: int):
+def _squeeze(x) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(pickle.dumps(x, 5))
+
+
+def _expand(x: bytes):
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint8 if x.max(initial=0) < 1 << 8 else np.uint16 if x.max(initial=0) < 1 << 16 else np.uint32)
+
+
+def _pack(pattern: str, chunk_bytes: int, buckets: int):
+    """A chunk as a list of words for each bucket, and what its rows need; words are numbered by (bucket, word)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, number, seq = regex.compile(pattern).findall, 0, 0
+        find, seq = regex.compile(pattern).findall, 0
         task = TaskContext.get().partitionId() << 32
-        squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             for a, b in slices(batch["text"], chunk_bytes):
                 known: defaultdict[str, int] = defaultdict()
@@ -63,43 +79,46 @@ def _pack(pattern: str, chunk_bytes: int):
                     words = find(text.as_py() or "")
                     counts.append(len(words))
                     numbers.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
-                number = np.concatenate(numbers)
-                if len(known) <= 1 << 16:
-                    number = number.astype(np.uint16)
-                words = squeeze(pickle.dumps(list(known), 5))
-                rows = squeeze(pickle.dumps((batch["id"].slice(a, b - a).to_pylist(), np.array(counts), number), 5))
-                yield pa.RecordBatch.from_arrays([pa.array([task | seq]), pa.array([struct.pack("<Q", len(words)) + words + rows], pa.binary())], ["chunk", "packed"])
+                words = list(known)
+                bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
+                order = np.array(sorted(range(len(words)), key=lambda i: (bucket[i], words[i])), np.int64)
+                rank = np.empty(len(words), np.uint32)
+                rank[order] = np.arange(len(words))
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                lists = [(k, _squeeze([words[i] for i in order[p:q]])) for k, (p, q) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if q > p]
+                rows = _squeeze((batch["id"].slice(a, b - a).to_pylist(), np.array(counts), _narrow(rank[np.concatenate(numbers)])))
+                yield pa.RecordBatch.from_arrays([pa.array([task | seq]), pa.array([pickle.dumps((lists, rows), 5)], pa.binary())], ["chunk", "packed"])
                 seq += 1
 
     return run
 
 
-def _unpack(packed: bytes, rows: bool):
-    at = 8 + struct.unpack_from("<Q", packed)[0]
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(packed[at:] if rows else packed[8:at]))
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk, packed in zip(batch["chunk"].to_pylist(), batch["packed"], strict=True):
-            words = _unpack(packed.as_py(), rows=False)
-            for a in range(0, len(words), 20_000):
-                part = words[a : a + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array(np.full(len(part), chunk)), pa.array(np.arange(a, a + len(part), dtype=np.int32))], ["word", "chunk", "number"])
+            lists, _ = pickle.loads(packed.as_py())
+            if lists:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in lists], pa.int32()), pa.array(np.full(len(lists), chunk)), pa.array([x for _, x in lists], pa.binary())], ["bucket", "chunk", "words"])
 
 
-def _encode_words(path: str):
-    """Rows come sorted by word; each word is encoded when it first shows."""
+def _encode_lists(path: str):
+    """All lists of a bucket come to one task, which encodes a word when it first shows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last, ids = _word_encoder(path), None, b""
+        encode, ids_of = _word_encoder(path), {}
         for batch in batches:
             out = []
-            for word in batch["word"].to_pylist():
-                if word != last:
-                    last, ids = word, np.array(encode(word), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch["chunk"], batch["number"], pa.array(out, pa.binary())], ["chunk", "number", "ids"])
+            for words in batch["words"]:
+                found = []
+                for word in _expand(words.as_py()):
+                    ids = ids_of.get(word)
+                    if ids is None:
+                        if len(ids_of) >= REMEMBERED:
+                            ids_of.clear()
+                        ids = ids_of[word] = encode(word)
+                    found.append(ids)
+                out.append(_squeeze((_narrow(np.array([len(x) for x in found], np.int64)), _narrow(np.array([i for x in found for i in x], np.int64)))))
+            yield pa.RecordBatch.from_arrays([batch["chunk"], batch["bucket"], pa.array(out, pa.binary())], ["chunk", "bucket", "ids"])
 
     return run
 
@@ -110,36 +129,35 @@ def _spread(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _reassemble(chunks: pa.Table, words: pa.Table) -> pa.Table:
-    ids, counts, number = _unpack(chunks["packed"][0].as_py(), rows=True)
-    word = words.sort_by("number")
-    column = word["ids"].combine_chunks().cast(pa.large_binary())
-    if isinstance(column, pa.ChunkedArray):
-        column = column.chunk(0) if column.num_chunks else pa.array([], pa.large_binary())
-    if len(column) != (int(number.max()) + 1 if len(number) else 0):
+def _reassemble(chunks: pa.Table, encoded: pa.Table) -> pa.Table:
+    ids, counts, number = _expand(pickle.loads(chunks["packed"][0].as_py())[1])
+    parts = [_expand(x.as_py()) for x in encoded.sort_by("bucket")["ids"]]
+    sizes = np.concatenate([np.zeros(0, np.int64), *[p[0] for p in parts]]).astype(np.int64)
+    tokens = np.concatenate([np.zeros(0, "<u4"), *[p[1] for p in parts]]).astype("<u4")
+    if len(sizes) != (int(number.max()) + 1 if len(number) else 0):
         raise ValueError("a chunk has not got all of its words back")
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[: len(column) + 1] // 4 if len(column) else np.zeros(1, np.int64)
-    tokens = np.frombuffer(data, "<u4") if data is not None else np.zeros(0, "<u4")
-    lengths = np.diff(offsets)[number] if len(number) else np.zeros(0, np.int64)
-    flat = tokens[_spread(lengths, offsets[:-1][number])] if len(number) else tokens[:0]
+    starts = np.cumsum(sizes) - sizes
+    lengths = sizes[number]
+    flat = tokens[_spread(lengths, starts[number])]
     ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-    return pa.table({"id": pa.array(ids, chunks.schema.field("packed").type and pa.int64()), "ids": pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+    return pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
     """The id and `ids` of each row: token ids as little-endian unsigned 32-bit integers.
 
     vocabulary names a rank file that every executor can read; pattern cuts
-    texts into pre-tokens.  Null and empty texts have no ids; an empty table gives
+    texts into pre-tokens; words are encoded in `buckets` groups, by default as many
+    as the session has shuffle partitions.  Null and empty texts have no ids; an empty table gives
     an empty result; repeated rows are encoded each.  docs should come from
     files or another source that gives a task the same rows again.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one exchange feeds both uses: a single packed column leaves nothing to prune
-    chunks = plain.mapInArrow(_pack(pattern, chunk_bytes), "chunk long, packed binary").repartition("chunk")
-    words = chunks.mapInArrow(_words, "word string, chunk long, number int")
-    encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(vocabulary), "chunk long, number int, ids binary")
+    chunks = plain.mapInArrow(_pack(pattern, chunk_bytes, buckets), "chunk long, packed binary").repartition("chunk")
+    lists = chunks.mapInArrow(_lists, "bucket int, chunk long, words binary")
+    encoded = lists.repartition("bucket").mapInArrow(_encode_lists(vocabulary), "chunk long, bucket int, ids binary")
     both = chunks.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_reassemble, "id long, ids binary")
     return both.withColumnRenamed("id", id_col)
 
