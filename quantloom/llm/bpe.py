@@ -31,7 +31,7 @@ from pyspark.sql.types import BinaryType, StructType
 from .textkit import slices
 
 #: Bytes of text in a chunk; a longer text has a chunk of its own.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 #: Words whose ids a task remembers; one that comes again after that is encoded again.
 REMEMBERED = 2_000_000
 
