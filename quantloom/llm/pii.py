@@ -117,7 +117,7 @@ def tokens(text: pa.Array) -> Tokens:
     shares = np.stack([counts[:, 2] == 1, counts[:, 3] == 3, counts[:, 3] > 3, counts[:, 4] > 0, counts[:, 5] > 0, counts[:, 6] > 0, counts[:, 7] > 0, counts[:, 8] > 0, counts[:, 8] > digits, counts[:, 0] > 0, (counts[:, 2] == 1) & (counts[:, 3] >= 1)], axis=1)
     near = np.diff(pick, prepend=-9) == 1
     near &= np.diff(doc, prepend=-9) == 0
-    after = np.append(near[1:], False)
+    after = np.append(near, False)[1:]
     long_run = (digits >= 8) & (counts[:, 8] == 0)
     feats = np.concatenate([bins, shares, near[:, None], after[:, None], long_run[:, None], ((length > 30))[:, None]], axis=1).astype(float)
     chain = np.stack([np.flatnonzero(near) - 1, np.flatnonzero(near)], axis=1)
