@@ -271,9 +271,10 @@ def _masker(shared):
 def mask(docs: DataFrame, crf: Crf, *, text_col: str = "text") -> DataFrame:
     """docs with each span of the text replaced by its kind in angle brackets; overlapping spans become one."""
     names = docs.columns
-    plain = docs.select(*[c for c in names if c != text_col], F.col(text_col).alias("_text"))
+    place = {c: "_text" if c == text_col else f"_{k}" for k, c in enumerate(names)}  # no name can clash with ours
+    plain = docs.select(*[F.col(f"`{c}`").alias(place[c]) for c in names if c != text_col], F.col(text_col).alias("_text"))
     masked = plain.mapInArrow(_masker(docs.sparkSession.sparkContext.broadcast(crf)), plain.schema)
-    return masked.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in names])
+    return masked.select(*[F.col(place[c]).alias(c) for c in names])
 
 
 def report(docs: DataFrame) -> DataFrame:

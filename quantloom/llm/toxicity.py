@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from .textkit import ALNUM_WORDS, Words, mix, signed, slices
 
@@ -109,7 +110,7 @@ def mine_lexicon(labelled: DataFrame) -> Model:
     part = lambda x, e: F.when(x > 0, x * F.ln(x / e)).otherwise(0.0)
     g = 2 * (part(a, m * base) + part(m - a, m * (1 - base)))
     tried = counts.agg(F.count("*")).first()[0] or 1
-    best = counts.where((a / (m + 1) > max(MIN_PRECISION, 2 * base)) & (g > 2 * float(np.log(tried)))).select("h").orderBy(F.desc(g), "h").limit(MAX_ENTRIES)
+    best = counts.where((a / (m + 1) > max(MIN_PRECISION, (1 + base) / 2)) & (g > 2 * float(np.log(tried)))).select("h").orderBy(F.desc(g), "h").limit(MAX_ENTRIES)
     h = np.sort(np.array([r[0] for r in best.collect()], np.int64).view(np.uint64))
     return Model(entries=h, voters=(mix(h) % np.uint64(LEXICON_VOTERS)).astype(np.int64), weights=np.zeros(len(h)))
 
@@ -216,24 +217,39 @@ def held_out(id_col: str):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
 
 
-def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """docs with a column score: 0 to 1, higher for toxic. Null and empty texts score as texts without words."""
+def _scored(docs: DataFrame, model: Model, text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs under names of our own with a column score, and these names."""
+    place = {c: f"_{k}" for k, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in place.items()])
+    text_at = place[text_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for a, b in slices(batch[text_col]):
+            for a, b in slices(batch[text_at]):
                 part = batch.slice(a, b - a)
-                _, doc, h, _ = features(part[text_col])
+                _, doc, h, _ = features(part[text_at])
                 hit, entry = _hits(h, m)
-                z = np.bincount(doc[hit], weights=m.weights[entry], minlength=len(part)) + patterns(part[text_col]) @ m.pattern_weights + m.bias
+                z = np.bincount(doc[hit], weights=m.weights[entry], minlength=len(part)) + patterns(part[text_at]) @ m.pattern_weights + m.bias
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*part.schema.names, "score"])
 
-    from pyspark.sql.types import DoubleType, StructType
+    return plain.mapInArrow(run, StructType([*plain.schema.fields]).add("score", DoubleType())), place
+
+
+def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """docs with a column score, in place of one of that name: 0 to 1, higher for toxic.
+
+    Null and empty texts score as texts without words.
+    """
+    scored, place = _scored(docs, model, text_col)
+    return scored.select(*[F.col(name).alias(c) for c, name in place.items() if c != "score"], "score")
+
 
-    plain = docs.drop("score")
-    return plain.mapInArrow(run, StructType([*plain.schema.fields]).add("score", DoubleType()))
+def reject(docs: DataFrame, model: Model, threshold: float, *, text_col: str = "text") -> DataFrame:
+    """docs that score below the threshold; all columns stay as they are."""
+    scored, place = _scored(docs, model, text_col)
+    return scored.where(F.col("score") < threshold).select(*[F.col(name).alias(c) for c, name in place.items()])
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
