@@ -7,6 +7,7 @@ object is made for a word.  All functions treat null texts as empty.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -106,16 +107,21 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.rows)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        n = len(self.data)
+    @cached_property
+    def _sums(self) -> np.ndarray:
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.multiply(self.data, powers(_BYTE_BASE, len(self.data)), out=sums[1:])
+        sums[1:] += powers(_BYTE_BASE, len(self.data))
+        return np.cumsum(sums, out=sums)
+
+    def hashes(self, ends: np.ndarray | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its bytes up to `ends`."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(_BYTE_BASE, n), out=sums[1:])
-        inverse = powers(pow(_BYTE_BASE, -1, 1 << 64), n)
-        h = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
-        return mix(h + (self.ends - self.starts).astype(np.uint64) * _ODD)
+        ends = self.ends if ends is None else ends
+        inverse = powers(pow(_BYTE_BASE, -1, 1 << 64), len(self.data))
+        h = (self._sums[ends] - self._sums[self.starts]) * inverse[self.starts]
+        return mix(h + (ends - self.starts).astype(np.uint64) * _ODD)
 
 
 def window_hashes(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:

@@ -22,6 +22,8 @@ from .textkit import ALNUM_WORDS, Words, mix, signed, slices
 
 #: Bytes of a word's beginning that count as features of their own, besides the whole word (0).
 PREFIXES = (0, 4, 5, 6)
+#: Bytes of text that are looked at together; a word has several features.
+SLICE_BYTES = 1 << 19
 #: Labelled rows, at most, that lexicon and classifier are fitted on.
 MAX_LABELLED = 20_000
 #: Lexicon entries at most.
@@ -49,12 +51,11 @@ def features(text: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]
     """The words; and each distinct (document, feature) as document and hash, with the word that shows it."""
     words = Words(text, ALNUM_WORDS, lower=True)
     doc = np.repeat(np.arange(len(text)), words.counts)
-    whole_ends, found = words.ends, []
+    found = []
     for k in PREFIXES:
-        words.ends = np.minimum(words.starts + k, whole_ends) if k else whole_ends
-        use = np.flatnonzero(whole_ends - words.starts > k)  # a whole word is no prefix
-        found.append((doc[use], mix(words.hashes() + np.uint64(k))[use], use))
-    words.ends = whole_ends
+        use = np.flatnonzero(words.ends - words.starts > k)  # a whole word is no prefix
+        h = words.hashes(np.minimum(words.starts + k, words.ends) if k else None)
+        found.append((doc[use], mix(h[use] + np.uint64(k)), use))
     doc, h, at = (np.concatenate(x) for x in zip(*found, strict=True))
     _, once = np.unique(mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
     once.sort()
@@ -90,7 +91,7 @@ def _votes(n: int, doc: np.ndarray, entry: np.ndarray, shout: np.ndarray, model:
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features with their documents and toxic documents, summed by slice."""
     for batch in batches:
-        for a, b in slices(batch["text"]):
+        for a, b in slices(batch["text"], SLICE_BYTES):
             part = batch.slice(a, b - a)
             toxic = part["toxic"].to_numpy(zero_copy_only=False).astype(np.int64)
             _, doc, h, _ = features(part["text"])
@@ -146,7 +147,7 @@ def fit_label_model(counts: np.ndarray, accuracy: np.ndarray, prior: float, roun
 def _voter(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["text"]):
+            for a, b in slices(batch["text"], SLICE_BYTES):
                 text = batch["text"].slice(a, b - a)
                 _, doc, h, _ = features(text)
                 hit, entry = _hits(h, model.value)
@@ -192,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED)
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["text"]):
+            for a, b in slices(batch["text"], SLICE_BYTES):
                 part = batch.slice(a, b - a)
                 _, doc, h, _ = features(part["text"])
                 hit, entry = _hits(h, shared.value)
@@ -227,7 +228,7 @@ def _scored(docs: DataFrame, model: Model, text_col: str) -> tuple[DataFrame, di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for a, b in slices(batch[text_at]):
+            for a, b in slices(batch[text_at], SLICE_BYTES):
                 part = batch.slice(a, b - a)
                 _, doc, h, _ = features(part[text_at])
                 hit, entry = _hits(h, m)
