@@ -3,9 +3,60 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions.frames import compound, cs_zscore
+from ..operators import evaluate, factors
+from ..sources.panels import FIELDS, panel, panel_sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "ic_summary_momentum"
+COLUMNS = ("asset", "date", *FIELDS, "ret", "mkt")
+
+
+def register(name: str, query: Query, sql: str) -> None:
+    QUERIES[name], ORACLES[name] = query, sql
+
+
+def _factor(unit: str, stages: factors.Stages, spark: SparkSession, d: str) -> DataFrame:
+    return factors.compute(panel(spark, d, unit), stages)
+
+
+for _unit, _family in (("month", factors.MONTHLY), ("week", factors.DAILY), ("week", factors.ALPHA)):
+    for _name, _stages in _family.items():
+        register(f"factor_{_name}", partial(_factor, _unit, _stages), factors.compute_sql(panel_sql(_unit), COLUMNS, _stages))
+
+for _unit in ("month", "week"):
+    _show = ["asset", "date", *[f"round({c}, 11) as {c}" for c in (*FIELDS, "ret", "mkt")]]
+    register(f"panel_{_unit}", lambda spark, d, unit=_unit, show=_show: panel(spark, d, unit).selectExpr(*show), f"select {', '.join(_show)} from ({panel_sql(_unit)})")
+
+_Z = ["asset", "date", f"round({cs_zscore('ret')}, 6) as z"]
+register("cs_zscore", lambda spark, d: panel(spark, d, "month").selectExpr(*_Z), f"select {', '.join(_Z)} from ({panel_sql('month')})")
+
+_MOM = factors.MONTHLY["momentum_12_1"]
+_SIGNAL_SQL = factors.compute_sql(panel_sql("month"), COLUMNS, _MOM)
+
+
+def _study(spark: SparkSession, d: str, lags: tuple[int, ...] = (1,)) -> DataFrame:
+    """asset, date, signal and the forward returns fwd_L."""
+    forward = panel(spark, d, "month").selectExpr("asset", "date", *[f"round({compound('ret', k, -k)}, 9) as fwd_{k}" for k in lags])
+    return factors.compute(panel(spark, d, "month"), _MOM).join(forward, ["asset", "date"])
+
+
+def _study_sql(lags: tuple[int, ...] = (1,)) -> str:
+    forward = ", ".join(f"round({compound('ret', k, -k)}, 9) as fwd_{k}" for k in lags)
+    return f"select * from ({_SIGNAL_SQL}) join (select asset, date, {forward} from ({panel_sql('month')})) using (asset, date)"
+
+
+LAGS = (1, 2, 3, 5, 10, 20)
+register("ic_series_momentum", lambda spark, d: evaluate.ic_series(_study(spark, d), "fwd_1"), evaluate.ic_series_sql(_study_sql(), "fwd_1"))
+register("ic_summary_momentum", lambda spark, d: evaluate.ic_summary(evaluate.ic_series(_study(spark, d), "fwd_1")), evaluate.ic_summary_sql(evaluate.ic_series_sql(_study_sql(), "fwd_1")))
+register("ic_decay_momentum", lambda spark, d: evaluate.ic_decay(_study(spark, d, LAGS), LAGS), evaluate.ic_decay_sql(_study_sql(LAGS), LAGS))
+register("top_k_momentum", lambda spark, d: evaluate.top_k(_study(spark, d), 10), evaluate.top_k_sql(_study_sql(), 10))
+register("quantile_returns_momentum", lambda spark, d: evaluate.quantile_returns(_study(spark, d), "fwd_1", 5), evaluate.quantile_returns_sql(_study_sql(), "fwd_1", 5))
+register("market_drawdown", lambda spark, d: evaluate.drawdown(panel(spark, d, "month")), evaluate.drawdown_sql(panel_sql("month")))
+register("market_tail_risk", lambda spark, d: evaluate.tail_risk(panel(spark, d, "month")), evaluate.tail_risk_sql(panel_sql("month")))
