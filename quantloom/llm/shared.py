@@ -20,6 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Lower the session's rows of an Arrow batch: ten thousand whole texts at a time fill an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame, *keys: str) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder and read them again.
 
@@ -31,6 +39,8 @@ def stored(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir, to be read in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
