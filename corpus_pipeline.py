@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import bpe, decontaminate, neardup, pii, toxicity
-from quantloom.llm.shared import stored, table
+from quantloom.llm.shared import small_batches, stored, table
 
 #: Documents that score as much or more are rejected.
 TOXIC = 0.7
@@ -20,6 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of 0.8 or more on five-word shingles join."""
+    small_batches(spark)
     return neardup.deduplicate(docs)
 
 
@@ -30,11 +31,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with personal data replaced in their texts; n_chars follows."""
+    small_batches(spark)
     return pii.mask(docs, pii.fit(docs)).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of what they decode to."""
+    small_batches(spark)
     return bpe.report(docs)
 
 
