@@ -19,7 +19,7 @@ def ic_series_sql(study: str, fwd: str, least: int = 20) -> str:
     return f"select date, round(corr(a, b), 6) as ic, count(*) as n from (select date, {ranks} from ({study}) where signal is not null and {fwd} is not null) group by date having count(*) >= {least}"
 
 
-_SUMMARY = ("round(avg(ic), 6) as mean_ic", "round(stddev_samp(ic), 6) as std_ic", "round(coalesce(avg(ic) / nullif(stddev_samp(ic), 0), 0), 5) as icir", "round(avg(case when ic > 0 then 1e0 else 0e0 end), 6) as positive", "count(ic) as n_dates")
+_SUMMARY = ("round(avg(ic), 6) as mean_ic", "round(stddev_samp(ic), 6) as std_ic", "round(coalesce(avg(ic) / nullif(stddev_samp(ic), 0), 0), 5) as icir", "round(avg(case when ic > 0 then 1e0 when ic is not null then 0e0 end), 6) as positive", "count(ic) as n_dates")
 
 
 def ic_summary(ics: DataFrame, *keys: str) -> DataFrame:
@@ -32,10 +32,12 @@ def ic_summary_sql(ics: str, *keys: str) -> str:
 
 
 def ic_decay(study: DataFrame, lags: tuple[int, ...]) -> DataFrame:
-    """The summary for each lag: one exchange by (lag, date) serves them all."""
+    """The summary for each lag, also of lags without dates: one exchange by (lag, date) serves them all."""
     tall = study.select("date", "signal", F.explode(F.create_map(*[x for k in lags for x in (F.lit(k), F.col(f"fwd_{k}"))])).alias("lag", "fwd")).where("signal is not null and fwd is not null")
     ranks = tall.selectExpr("lag", "date", *[_PAIR_RANK.format(by="lag, date", x=x, name=n) for x, n in (("signal", "a"), ("fwd", "b"))])
-    return ic_summary(ranks.groupBy("lag", "date").agg(F.round(F.corr("a", "b"), 6).alias("ic"), F.count("*").alias("n")).where("n >= 20"), "lag")
+    ics = ranks.groupBy("lag", "date").agg(F.round(F.corr("a", "b"), 6).alias("ic"), F.count("*").alias("n")).where("n >= 20")
+    wanted = study.sparkSession.createDataFrame([(k,) for k in lags], "lag int")
+    return ic_summary(wanted.join(ics, "lag", "left"), "lag")
 
 
 def ic_decay_sql(study: str, lags: tuple[int, ...]) -> str:
