@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
+from .shared import tidy
 from .textkit import slices
 
 #: Bytes of text in a chunk; a longer text has a chunk of its own.
@@ -155,9 +156,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one exchange feeds both uses: a single packed column leaves nothing to prune
-    chunks = plain.mapInArrow(_pack(pattern, chunk_bytes, buckets), "chunk long, packed binary").repartition("chunk")
-    lists = chunks.mapInArrow(_lists, "bucket int, chunk long, words binary")
-    encoded = lists.repartition("bucket").mapInArrow(_encode_lists(vocabulary), "chunk long, bucket int, ids binary")
+    chunks = plain.mapInArrow(tidy(_pack(pattern, chunk_bytes, buckets)), "chunk long, packed binary").repartition("chunk")
+    lists = chunks.mapInArrow(tidy(_lists), "bucket int, chunk long, words binary")
+    encoded = lists.repartition("bucket").mapInArrow(tidy(_encode_lists(vocabulary)), "chunk long, bucket int, ids binary")
     both = chunks.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_reassemble, "id long, ids binary")
     return both.withColumnRenamed("id", id_col)
 
@@ -180,7 +181,7 @@ def decode(df: DataFrame, vocabulary: str, *, ids_col: str = "ids", out_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, out_col])
 
     plain = df.drop(out_col)
-    return plain.mapInArrow(run, StructType([*plain.schema.fields]).add(out_col, BinaryType()))
+    return plain.mapInArrow(tidy(run), StructType([*plain.schema.fields]).add(out_col, BinaryType()))
 
 
 def report(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:

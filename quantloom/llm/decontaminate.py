@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
 from .textkit import ALNUM_WORDS, Words, slices
 
 #: Bytes of benchmark text that are searched at a time; a larger benchmark takes several passes.
@@ -166,7 +167,7 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
     spark = docs.sparkSession
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(b"").alias("spans"), F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("longest"), F.lit(None).cast("long").alias("longest_item"), F.lit(None).cast("long").alias("longest_at"))
     for q in _blocks(benchmark, item_col, text_col, width, block_bytes):
-        df = df.mapInArrow(_searcher(spark.sparkContext.broadcast(q)), df.schema)
+        df = df.mapInArrow(tidy(_searcher(spark.sparkContext.broadcast(q))), df.schema)
     return df.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "longest", "longest_item", "longest_at")
 
 

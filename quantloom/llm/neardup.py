@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import stored, tidy
 from .textkit import SPACE_WORDS, Words, mix, signed, slices, window_hashes
 
 #: Coordinates, and how many of them make a band: at a similarity of 0.8 a pair shares no band with a chance of 5e-6.
 COORDINATES, BAND = 240, 6
 #: Documents on each side of a block in which the rest of a bucket is compared.
 BLOCK = 256
+#: Bytes of text that are looked at together.
+SLICE_BYTES = 1 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -92,7 +94,7 @@ def bands(sketch: np.ndarray, band: int = BAND) -> np.ndarray:
 def _sketcher(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["text"]):
+            for a, b in slices(batch["text"], SLICE_BYTES):
                 x, offsets = shingle_sets(batch["text"].slice(a, b - a), width)
                 n = np.diff(offsets)
                 total = lambda v: np.diff(np.concatenate([[np.uint64(0)], np.cumsum(v, dtype=np.uint64)])[offsets])
@@ -107,7 +109,7 @@ def _sketcher(width: int):
 def _setter(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch["text"]):
+            for a, b in slices(batch["text"], SLICE_BYTES):
                 x, offsets = shingle_sets(batch["text"].slice(a, b - a), width)
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), pa.array([x[p:q].tobytes() for p, q in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["id", "shingles"])
 
@@ -177,7 +179,7 @@ def group(docs: DataFrame, *, width: int = 5, parts: int = 80, whole: int = 100,
     nothing and have no component.  Other columns are not looked at.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = stored(plain.mapInArrow(_sketcher(width), "id long, n long, h1 long, h2 long, bands array<long>"))
+    sketched = stored(plain.mapInArrow(tidy(_sketcher(width)), "id long, n long, h1 long, h2 long, bands array<long>"))
     known = sketched.where("n > 0 and id is not null")
     classes = known.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
     ranked = stored(known.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("id", "n", "rep"))
@@ -186,11 +188,11 @@ def group(docs: DataFrame, *, width: int = 5, parts: int = 80, whole: int = 100,
     shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
     buckets = stored(buckets.join(shared, "key").select("key", "id", "hub", "n"))
     need = buckets.select("id").distinct()
-    sets = stored(plain.where("id is not null").join(need, "id", "left_semi").mapInArrow(_setter(width), "id long, shingles binary"))
+    sets = stored(plain.where("id is not null").join(need, "id", "left_semi").mapInArrow(tidy(_setter(width)), "id long, shingles binary"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_verifier(parts, whole), "a long, b long")
+        return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(tidy(_verifier(parts, whole)), "a long, b long")
 
     # each document with the smallest hub of its buckets
     stars = buckets.where("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))

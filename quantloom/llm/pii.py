@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidy
 from .textkit import LOWER, SPACE_WORDS, Words, mix, slices
 
 #: The base kinds, in the order of their listing.
@@ -193,7 +194,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     """Weights from at most sample_docs documents (those with the smallest hashes of their id)."""
     ids = docs.select(F.col(id_col).alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(sample_docs)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(ids), "i").select("text")
-    counts = rows.mapInArrow(_labelled, "shape long, n long").groupBy("shape").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shape").limit(SAMPLE_TOKENS).collect()
+    counts = rows.mapInArrow(tidy(_labelled), "shape long, n long").groupBy("shape").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shape").limit(SAMPLE_TOKENS).collect()
     shapes = {r["shape"]: r["n"] for r in counts}
     edges = [shapes.pop(k, 0) for k in (-1, -2, -3, -4)]
     if not shapes:
@@ -238,7 +239,7 @@ def find(docs: DataFrame, crf: Crf, *, text_col: str = "text", keep: tuple[str,
     """
     plain = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    found = plain.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(crf)), f"{fields}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    found = plain.mapInArrow(tidy(_finder(docs.sparkSession.sparkContext.broadcast(crf))), f"{fields}, spans array<struct<kind:string,start:bigint,end:bigint>>")
     return found.select(*keep, "spans")
 
 
@@ -273,7 +274,7 @@ def mask(docs: DataFrame, crf: Crf, *, text_col: str = "text") -> DataFrame:
     names = docs.columns
     place = {c: "_text" if c == text_col else f"_{k}" for k, c in enumerate(names)}  # no name can clash with ours
     plain = docs.select(*[F.col(f"`{c}`").alias(place[c]) for c in names if c != text_col], F.col(text_col).alias("_text"))
-    masked = plain.mapInArrow(_masker(docs.sparkSession.sparkContext.broadcast(crf)), plain.schema)
+    masked = plain.mapInArrow(tidy(_masker(docs.sparkSession.sparkContext.broadcast(crf))), plain.schema)
     return masked.select(*[F.col(place[c]).alias(c) for c in names])
 
 

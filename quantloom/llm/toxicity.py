@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from .shared import tidy
 from .textkit import ALNUM_WORDS, Words, mix, signed, slices
 
 #: Bytes of a word's beginning that count as features of their own, besides the whole word (0).
@@ -106,7 +107,7 @@ def mine_lexicon(labelled: DataFrame) -> Model:
     n, pos = total[0], total[1] or 0
     if not pos or pos == n:
         return Model()
-    counts = labelled.select("text", "toxic").mapInArrow(_counter, "h long, n long, n_toxic long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("a"))
+    counts = labelled.select("text", "toxic").mapInArrow(tidy(_counter), "h long, n long, n_toxic long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("a"))
     base, a, m = pos / n, F.col("a").cast("double"), F.col("n").cast("double")
     part = lambda x, e: F.when(x > 0, x * F.ln(x / e)).otherwise(0.0)
     g = 2 * (part(a, m * base) + part(m - a, m * (1 - base)))
@@ -202,8 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED)
                 by_doc = np.split(entry[np.argsort(doc[hit], kind="stable")], np.cumsum(np.bincount(doc[hit], minlength=len(part)))[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array([x.tolist() for x in by_doc], pa.list_(pa.int64())), pa.array(shout.tolist(), pa.list_(pa.int64())), pa.array(votes), part["toxic"]], ["entries", "shout", "votes", "toxic"])
 
-    sample = labelled.mapInArrow(sampled, "entries array<long>, shout array<long>, votes long, toxic int").orderBy("votes", "entries", "shout", "toxic").collect()
-    votes = docs.select("text").mapInArrow(_voter(shared), "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # 2**VOTERS rows at most
+    sample = labelled.mapInArrow(tidy(sampled), "entries array<long>, shout array<long>, votes long, toxic int").orderBy("votes", "entries", "shout", "toxic").collect()
+    votes = docs.select("text").mapInArrow(tidy(_voter(shared)), "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # 2**VOTERS rows at most
     counts = np.zeros(1 << VOTERS)
     counts[[r["votes"] for r in votes]] = [r["n"] for r in votes]
     bits = (np.array([r["votes"] for r in sample])[:, None] >> np.arange(VOTERS)) & 1
@@ -235,7 +236,7 @@ def _scored(docs: DataFrame, model: Model, text_col: str) -> tuple[DataFrame, di
                 z = np.bincount(doc[hit], weights=m.weights[entry], minlength=len(part)) + patterns(part[text_at]) @ m.pattern_weights + m.bias
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*part.schema.names, "score"])
 
-    return plain.mapInArrow(run, StructType([*plain.schema.fields]).add("score", DoubleType())), place
+    return plain.mapInArrow(tidy(run), StructType([*plain.schema.fields]).add("score", DoubleType())), place
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
