@@ -56,6 +56,12 @@ def cs_rank(x: str, least: int = 10) -> str:
     return f"(case when {x} is not null and {n} >= {least} then 2 * {place} / {n} - 1 end)"
 
 
+def cs_share(x: str) -> str:
+    """Average-rank percentile in the cross-section of a date, in (0, 1]; dates may have any number of values."""
+    place = f"(rank() over (partition by date order by {x} nulls last) + (count({x}) over (partition by date, {x}) - 1) / 2e0)"
+    return f"(case when {x} is not null then {place} / nullif(count({x}) over (partition by date), 0) end)"
+
+
 def cs_zscore(x: str, least: int = 10, clip: float = 3.0) -> str:
     """Standard score in the cross-section of a date, clipped; 0 where all are equal."""
     over = "over (partition by date)"

@@ -26,7 +26,7 @@ def _factor(unit: str, stages: factors.Stages, spark: SparkSession, d: str) -> D
     return factors.compute(panel(spark, d, unit), stages)
 
 
-for _unit, _family in (("month", factors.MONTHLY), ("week", factors.DAILY), ("week", factors.ALPHA)):
+for _unit, _family in (("month", factors.MONTHLY), ("week", factors.DAILY), ("week", factors.ALPHA), ("week", {f"formula_{k}": v for k, v in factors.FORMULAS.items()})):
     for _name, _stages in _family.items():
         register(f"factor_{_name}", partial(_factor, _unit, _stages), factors.compute_sql(panel_sql(_unit), COLUMNS, _stages))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions.frames import back, compound, cs_rank, ratio, roll, roll2, roll_corr
+from ..functions.frames import back, compound, cs_rank, cs_share, frame, ratio, roll, roll2, roll_corr
 
 Stages = list[dict[str, str]]
 
@@ -18,6 +18,7 @@ def _v(x: str) -> Stages:
     return [{"value": x}]
 
 
+_PAST = frame(36, 1)
 MONTHLY: dict[str, Stages] = {
     "momentum_12_1": _v(compound("ret", 12, 1)),
     "multi_timeframe_momentum": [{"vol": roll("stddev_samp", "ret", 12, 1), "a": compound("ret", 12, 1), "b": compound("ret", 6, 1), "c": compound("ret", 3, 1)}, {"value": f"0.25 * {ratio('a', 'vol')} + 0.35 * {ratio('b', 'vol')} + 0.40 * {ratio('c', 'vol')}"}],
@@ -28,10 +29,14 @@ MONTHLY: dict[str, Stages] = {
     "downside_vol": [{"d": "least(ret, 0e0)", "r": "ret"}, {"d": "case when r is not null then d end"}, {"value": f"{roll('stddev_samp', 'd', 12, 1)} * sqrt(12e0)"}],
     "max_return_12m": _v(roll("max", "ret", 12, 1)),
     "vol_term_structure": _v(ratio(roll("stddev_samp", "ret", 3, 1), roll("stddev_samp", "ret", 12, 1))),
+    "skewness_12m": [{"a": roll("avg", "ret", 12, 1), "b": roll("avg", "ret * ret", 12, 1), "c": roll("avg", "ret * ret * ret", 12, 1)}, {"v": "nullif(round(b - a * a, 12), 0)"}, {"value": "round((c - 3 * a * b + 2 * a * a * a) / power(case when v > 0 then v end, 1.5e0) * sqrt(132e0) / 10, 5)"}],
+    "beta_market": [{"c": f"case when count(*) over {_PAST} >= 36 and count(case when mkt is not null then ret end) over {_PAST} >= 18 then covar_samp(ret, mkt) over {_PAST} end", "v": f"var_pop(mkt) over {_PAST}"}, {"value": "c / nullif(case when v >= 1e-10 then v end, 0)"}],
     "vol_momentum": [{"s": roll("stddev_samp", "ret", 12, 1)}, {"value": f"{ratio('s', back('s', 3))} - 1"}],
 }
 
 _RANGE = ratio("close - low", "high - low")
+#: The last 20 rows before the current one that have a return and a volume.
+_WHOLE = "(partition by asset, whole order by date rows between 20 preceding and 1 preceding)"
 DAILY: dict[str, Stages] = {
     "momentum_5d": _v(f"{ratio('close', back('close', 5))} - 1"),
     "momentum_20d": _v(f"{ratio('close', back('close', 20))} - 1"),
@@ -56,6 +61,9 @@ DAILY: dict[str, Stages] = {
     "price_volume_correlation": _v(roll_corr("ret", "volume", 20, 10)),
     "volume_autocorrelation": [{"x": back("volume")}, {"value": roll_corr("volume", "x", 20, 10)}],
     "abnormal_volume_return": [{"m": roll("avg", "volume", 20, least=10)}, {"x": "case when ret is null then null when volume > 2 * m then ret else 0e0 end"}, {"value": roll("sum", "x", 20, least=10)}],
+    "garman_klass_vol": [{"x": f"0.5e0 * power(ln({ratio('high', 'low')}), 2) - (2 * ln(2e0) - 1) * power(ln({ratio('close', 'open_')}), 2)"}, {"m": roll("avg", "x", 20, least=10)}, {"value": "case when m >= 0 then 0e0 - sqrt(greatest(m, 0e0)) end"}],
+    "tick_size_clustering": [{"c": "round(close, 6) % 1"}, {"x": "case when c <= 0.02 or c >= 0.98 or abs(c - 0.5) <= 0.02 then 1e0 when c is not null then 0e0 end"}, {"value": f"0e0 - {roll('avg', 'x', 20, least=10)}"}],
+    "kyle_lambda": [{"whole": "case when ret is not null and volume is not null then 1 else 0 end"}, {"value": f"case when whole = 1 and count(*) over {_WHOLE} >= 20 then 0e0 - covar_pop(abs(ret), volume) over {_WHOLE} / nullif(var_pop(volume) over {_WHOLE}, 0) end"}],
     "parkinson_vol": [{"x": f"power(ln({ratio('high', 'low')}), 2)"}, {"value": f"-sqrt({roll('avg', 'x', 20, least=10)} / (4 * ln(2e0)))"}],
     "vol_of_vol": [{"s": roll("stddev_samp", "ret", 10)}, {"value": f"-{roll('stddev_samp', 's', 60)}"}],
     "range_expansion": [{"x": "high - low"}, {"value": f"{ratio('x', roll('avg', 'x', 20, least=10))} * ({_RANGE} * 2 - 1)"}],
@@ -80,10 +88,27 @@ ALPHA: dict[str, Stages] = {
     "time_series_momentum": _v(roll("sum", "ret", 252, least=126)),
     "momentum_crash_filter": [{"m": roll("sum", "ret", 60, least=30), "k": roll("sum", "mkt", 60, least=30)}, {"value": "m * (1 - 0.5e0 * case when k < -0.10 then 1 else 0 end)"}],
     "commodity_beta": [{"xy": "ret * mkt"}, {"value": ratio(f"{roll('avg', 'xy', 60, least=30)} - {roll('avg', 'ret', 60, least=30)} * {roll('avg', 'mkt', 60, least=30)}", roll("var_samp", "mkt", 60, least=30))}],
+    "roll_spread": [{"p": back("ret")}, {"c": roll2("covar_samp", "ret", "p", 20, 10)}, {"value": "case when c is not null then 0e0 - 2 * sqrt(greatest(-c, 0e0)) end"}],
     "correlation_regime": _v(f"-{roll_corr('ret', 'mkt', 60, 30)}"),
 }
 
 
+#: Published formulas on prices and volumes; ranks in them are shares of a date's cross-section.
+FORMULAS: dict[str, Stages] = {
+    "002": [{"p": back("volume", 2)}, {"a": "round(ln(nullif(volume, 0)) - ln(nullif(p, 0)), 9)", "b": f"round({ratio('close - open_', 'open_')}, 9)"}, {"a": cs_share("a"), "b": cs_share("b")}, {"value": f"0e0 - {roll_corr('a', 'b', 6)}"}],
+    "006": _v(f"0e0 - {roll_corr('open_', 'volume', 10)}"),
+    "012": [{"d": f"round(close - {back('close')}, 7)", "v": f"volume - {back('volume')}"}, {"value": "0e0 - sign(v) * d"}],
+    "033": [{"x": f"round({ratio('open_', 'close')} - 1, 9)"}, {"value": cs_share("x")}],
+    "040": [{"s": f"round({roll('stddev_samp', 'high', 10)}, 6)", "c": roll_corr("high", "volume", 10)}, {"value": f"0e0 - {cs_share('s')} * c"}],
+    "042": [{"a": "round(vwap - close, 6)", "b": "round(vwap + close, 6)"}, {"value": ratio(cs_share("a"), cs_share("b"))}],
+    "044": [{"r": cs_share("volume")}, {"value": f"0e0 - {roll_corr('high', 'r', 5)}"}],
+    "053": [{"x": ratio("(close - low) - (high - close)", "round(close - low, 6)")}, {"value": f"round({back('x', 9)} - x, 5)"}],
+    "054": _v(f"round(0e0 - {ratio('(low - close) * power(open_, 5)', 'round(low - high, 6) * power(close, 5)')}, 6)"),
+    "055": [{"a": roll("min", "low", 12), "b": roll("max", "high", 12)}, {"x": f"round({ratio('close - a', 'b - a')}, 9)", "r": cs_share("volume")}, {"x": cs_share("x")}, {"value": f"0e0 - {roll_corr('x', 'r', 6)}"}],
+    "101": _v("round((close - open_) / (high - low + 0.001e0), 6)"),
+}
+
+
 def compute(panel: DataFrame, stages: Stages, least: int = 10) -> DataFrame:
     """asset, date, value (rounded, so that ties are ties) and signal, its rank in [-1, 1]."""
     for stage in stages:

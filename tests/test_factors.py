@@ -16,7 +16,7 @@ def rows(records, columns):
     return sorted((tuple(tidy(r[c]) for c in sorted(columns)) for r in records), key=repr)
 
 
-@pytest.mark.parametrize("name", ["panel_month", "factor_momentum_12_1", "factor_volume_surge", "factor_beta_adjusted_momentum", "factor_frog_in_pan", "ic_decay_momentum", "top_k_momentum", "quantile_returns_momentum", "market_drawdown", "market_tail_risk"])
+@pytest.mark.parametrize("name", ["panel_month", "factor_momentum_12_1", "factor_volume_surge", "factor_beta_adjusted_momentum", "factor_frog_in_pan", "factor_skewness_12m", "factor_beta_market", "factor_kyle_lambda", "factor_garman_klass_vol", "factor_roll_spread", "factor_formula_002", "factor_formula_040", "factor_formula_055", "ic_decay_momentum", "top_k_momentum", "quantile_returns_momentum", "market_drawdown", "market_tail_risk"])
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     con.sql(f"create view lineitem as select * from '{D}/lineitem.parquet'")
