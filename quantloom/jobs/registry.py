@@ -6,10 +6,12 @@ from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.frames import compound, cs_zscore
-from ..operators import evaluate, factors
+from ..operators import evaluate, factors, joins, performance, portfolio
 from ..sources.panels import FIELDS, panel, panel_sql
+from ..streaming import ticks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,3 +62,81 @@ register("top_k_momentum", lambda spark, d: evaluate.top_k(_study(spark, d), 10)
 register("quantile_returns_momentum", lambda spark, d: evaluate.quantile_returns(_study(spark, d), "fwd_1", 5), evaluate.quantile_returns_sql(_study_sql(), "fwd_1", 5))
 register("market_drawdown", lambda spark, d: evaluate.drawdown(panel(spark, d, "month")), evaluate.drawdown_sql(panel_sql("month")))
 register("market_tail_risk", lambda spark, d: evaluate.tail_risk(panel(spark, d, "month")), evaluate.tail_risk_sql(panel_sql("month")))
+
+_WEIGHTS_SQL = portfolio.weights_sql(_SIGNAL_SQL, 3, 3)
+_REPLAY_SQL = portfolio.replay_sql(_WEIGHTS_SQL, panel_sql("month"), 6, 0.0015)
+_SERIES_SQL = f"select date, net as r from ({_REPLAY_SQL})"
+
+
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    return portfolio.target_weights(factors.compute(panel(spark, d, "month"), _MOM), 3, 3)
+
+
+def _replay(spark: SparkSession, d: str) -> DataFrame:
+    return portfolio.replay(_weights(spark, d), panel(spark, d, "month"), 6, 0.0015)
+
+
+def _series(spark: SparkSession, d: str) -> DataFrame:
+    return _replay(spark, d).selectExpr("date", "net as r")
+
+
+register("target_weights_momentum", _weights, _WEIGHTS_SQL)
+register("rebalance_orders_momentum", lambda spark, d: portfolio.rebalance_orders(_weights(spark, d)), portfolio.orders_sql(_WEIGHTS_SQL))
+register("replay_momentum", _replay, _REPLAY_SQL)
+register("performance_momentum", lambda spark, d: performance.measures(_series(spark, d)), performance.measures_sql(_SERIES_SQL))
+register("yearly_momentum", lambda spark, d: performance.yearly(_series(spark, d)), performance.yearly_sql(_SERIES_SQL))
+register("rolling_sharpe_momentum", lambda spark, d: performance.rolling_sharpe(_series(spark, d)), performance.rolling_sharpe_sql(_SERIES_SQL))
+register("drawdown_episodes_momentum", lambda spark, d: performance.drawdown_episodes(_series(spark, d)), performance.drawdown_episodes_sql(_SERIES_SQL))
+
+_FIT = ("count(*) as n", "round(regr_slope(ret, mkt), 6) as beta", "round(regr_intercept(ret, mkt) * 12, 6) as alpha", "round(regr_r2(ret, mkt), 6) as r2")
+register("market_attribution", lambda spark, d: panel(spark, d, "month").where("ret is not null and mkt is not null").groupBy("asset").agg(*[F.expr(x) for x in _FIT]), f"select asset, {', '.join(_FIT)} from ({panel_sql('month')}) where ret is not null and mkt is not null group by asset")
+
+
+def _ticks(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", "user_id as symbol", "ts", "event_type as kind", "value as price")
+
+
+_TICKS_SQL = "select event_id, user_id as symbol, ts, event_type as kind, value as price from events where ts is not null"
+register(
+    "tick_bars_hour",
+    lambda spark, d: ticks.tick_bars(_ticks(spark, d), "1 hour"),
+    f"select symbol, date_trunc('hour', ts) as start, arg_min(price, (ts, event_id)) as open_, max(price) as high, min(price) as low, arg_max(price, (ts, event_id)) as close, round(avg(price), 6) as mean, count(*) as trade_count from ({_TICKS_SQL}) group by 1, 2",
+)
+register("latest_ticks", lambda spark, d: ticks.latest(_ticks(spark, d)), f"select symbol, kind, ts, event_id, price from ({_TICKS_SQL}) qualify row_number() over (partition by symbol, kind order by ts desc, event_id desc) = 1")
+register(
+    "tick_sessions",
+    lambda spark, d: ticks.sessions(_ticks(spark, d), "6 hours"),
+    f"""select symbol, min(ts) as start, max(ts) + interval 6 hour as stop, count(*) as ticks, round(sum(price), 4) as total from (
+      select *, sum(fresh) over (partition by symbol order by ts, event_id rows unbounded preceding) as run from (
+        select *, case when ts < lag(ts) over (partition by symbol order by ts, event_id) + interval 6 hour then 0 else 1 end as fresh from ({_TICKS_SQL}))) group by symbol, run""",
+)
+
+
+def _asof(spark: SparkSession, d: str) -> DataFrame:
+    every = _ticks(spark, d)
+    quotes = every.where("kind = 'signup'").selectExpr("symbol", "ts", "event_id as quote_id", "price as quote")
+    return joins.asof_join(every.where("kind = 'purchase'"), quotes, "symbol", "ts", ["quote_id", "quote"])
+
+
+register(
+    "asof_quotes",
+    _asof,
+    f"""select t.*, q.event_id as quote_id, q.price as quote from (select * from ({_TICKS_SQL}) where kind = 'purchase') t left join (select * from ({_TICKS_SQL}) where kind = 'signup') q on q.symbol = t.symbol and q.ts <= t.ts
+    qualify row_number() over (partition by t.event_id order by q.ts desc nulls last, q.event_id desc) = 1""",
+)
+
+
+def _intervals(spark: SparkSession, d: str) -> DataFrame:
+    orders = spark.read.parquet(f"{d}/orders.parquet").selectExpr("o_orderkey", "o_custkey as customer", "cast(o_orderdate as date) as since", "o_orderpriority as priority")
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey", "l_linenumber", "cast(l_shipdate as date) as shipped")
+    facts = lines.join(orders.selectExpr("o_orderkey as l_orderkey", "customer"), "l_orderkey")
+    return joins.interval_join(facts, joins.validity(orders, "customer", "since", "o_orderkey"), "customer", "shipped", "since", "until")
+
+
+register(
+    "interval_orders",
+    _intervals,
+    """with o as (select o_orderkey, o_custkey as customer, o_orderdate::date as since, o_orderpriority as priority from orders),
+    v as (select *, coalesce(lead(since) over (partition by customer order by since, o_orderkey) - 1, date '2099-12-31') as until from o)
+    select l_orderkey, l_linenumber, l_shipdate::date as shipped, v.* from lineitem join o on l_orderkey = o.o_orderkey join v on v.customer = o.customer and l_shipdate::date between v.since and v.until""",
+)
