@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import compound, cs_zscore
-from ..operators import evaluate, factors, joins, performance, portfolio
+from ..operators import evaluate, factors, joins, performance, portfolio, screen
 from ..sources.panels import FIELDS, panel, panel_sql
 from ..streaming import ticks
 
@@ -140,3 +140,27 @@ register(
     v as (select *, coalesce(lead(since) over (partition by customer order by since, o_orderkey) - 1, date '2099-12-31') as until from o)
     select l_orderkey, l_linenumber, l_shipdate::date as shipped, v.* from lineitem join o on l_orderkey = o.o_orderkey join v on v.customer = o.customer and l_shipdate::date between v.since and v.until""",
 )
+
+_BLEND = {"momentum_12_1": 0.7, "volatility_12m": 0.2, "max_return_12m": 0.1}
+
+
+def _tall(spark: SparkSession, d: str) -> DataFrame:
+    """The signals of _BLEND, one row for each factor."""
+    dense, tall = panel(spark, d, "month"), None
+    for name in _BLEND:
+        one = factors.compute(dense, factors.MONTHLY[name]).selectExpr("date", "asset", f"'{name}' as factor", "signal")
+        tall = one if tall is None else tall.unionByName(one)
+    return tall
+
+
+_TALL_SQL = " union all ".join(f"select date, asset, '{n}' as factor, signal from ({factors.compute_sql(panel_sql('month'), COLUMNS, factors.MONTHLY[n])})" for n in _BLEND)
+_SHOWN = ["asset", "date", "round(close, 9) as close"]
+_PAIRS = ("date", "asset", "round(ret, 9) as y", "round(volume, 6) as x")
+_METRIC = ("asset", "date", "round(volume, 6) as x")
+register("universe_filter", lambda spark, d: screen.universe(panel(spark, d, "month"), 5, 0.6).selectExpr(*_SHOWN), f"select {', '.join(_SHOWN)} from ({screen.universe_sql(panel_sql('month'), 5, 0.6)})")
+register("winsorized_returns", lambda spark, d: screen.winsorize(panel(spark, d, "month"), "ret", 0.01, 0.99), screen.winsorize_sql(panel_sql("month"), "ret", 0.01, 0.99))
+register("masked_momentum", lambda spark, d: screen.masked(factors.compute(panel(spark, d, "month"), _MOM), panel(spark, d, "month"), 0.75), screen.masked_sql(_SIGNAL_SQL, panel_sql("month"), 0.75))
+register("blended_signal", lambda spark, d: screen.blend(_tall(spark, d), _BLEND), screen.blend_sql(_TALL_SQL, _BLEND))
+register("residual_returns", lambda spark, d: screen.residual(panel(spark, d, "month").selectExpr(*_PAIRS)), screen.residual_sql(f"select {', '.join(_PAIRS)} from ({panel_sql('month')})"))
+register("monthly_movers", lambda spark, d: screen.movers(panel(spark, d, "month"), 5), screen.movers_sql(panel_sql("month"), 5))
+register("volume_anomalies", lambda spark, d: screen.anomalies(panel(spark, d, "week").selectExpr(*_METRIC)), screen.anomalies_sql(f"select {', '.join(_METRIC)} from ({panel_sql('week')})"))

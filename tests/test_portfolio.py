@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from quantloom.jobs.registry import ORACLES, QUERIES
-from quantloom.operators import joins, performance, portfolio
+from quantloom.operators import joins, performance, portfolio, screen
 from quantloom.streaming import ticks
 
 D = "/root/testdata/sf0.01"
@@ -17,7 +17,7 @@ def rows(records, columns):
     return sorted((tuple(tidy(r[c]) for c in sorted(columns)) for r in records), key=repr)
 
 
-@pytest.mark.parametrize("name", ["replay_momentum", "performance_momentum", "yearly_momentum", "drawdown_episodes_momentum", "rolling_sharpe_momentum", "market_attribution", "tick_bars_hour", "latest_ticks", "tick_sessions", "asof_quotes", "interval_orders"])
+@pytest.mark.parametrize("name", ["replay_momentum", "performance_momentum", "yearly_momentum", "drawdown_episodes_momentum", "rolling_sharpe_momentum", "market_attribution", "tick_bars_hour", "latest_ticks", "tick_sessions", "asof_quotes", "interval_orders", "universe_filter", "winsorized_returns", "masked_momentum", "blended_signal", "residual_returns", "monthly_movers", "volume_anomalies"])
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "events", "orders"):
@@ -50,6 +50,12 @@ def test_orders_and_total_loss(spark):
     assert performance.measures(series).first()["total"] == -1.0
 
 
+def test_blend_weighs_what_is_there(spark):
+    tall = spark.createDataFrame([("d", k, f, v) for k in range(10) for f, v in (("a", float(k)), ("b", None if k == 3 else 1.0), ("other", 9.0))], "date string, asset int, factor string, signal double")
+    got = {r["asset"]: r["value"] for r in screen.blend(tall, {"a": 3.0, "b": 1.0}).collect()}
+    assert got[3] == pytest.approx(3.0) and got[4] == pytest.approx(13 / 4)
+
+
 def test_stream_of_bars_equals_the_batch(spark, tmp_path):
     shape = "event_id bigint, symbol bigint, ts timestamp, kind string, price double"
     events = spark.read.parquet(f"{D}/events.parquet").selectExpr("event_id", "user_id as symbol", "ts", "event_type as kind", "value as price")
