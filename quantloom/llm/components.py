@@ -8,27 +8,30 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 
-def components(links: DataFrame, start: DataFrame | None = None, max_rounds: int = 64) -> DataFrame:
+def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(node, component) for each node of links (a, b): component is the smallest node it reaches.
 
-    Labels spread along links and jump to their label's label, so that the rounds
-    needed grow with the logarithm of a component's width in practice.  start may
-    give components found earlier; its nodes stay in the result.
+    Labels spread along links and jump to their label's label until none changes,
+    so that the rounds needed grow with the logarithm of a component's width in
+    practice, a chain in the order of its ids included.  Each round but the last
+    lowers a label, so that the rounds end.  start may give components found
+    earlier; its nodes stay in the result, and stay together.
     """
     links = links.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
     both = stored(links.union(links.select("b", "a")))
     nodes = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component"))
     if start is not None:
-        nodes = nodes.union(start.select("node", "component")).groupBy("node").agg(F.min("component").alias("component"))
+        # an earlier label goes before a link's: it is what moves the rest of its component along
+        earlier = start.groupBy("node").agg(F.min("component").alias("earlier"))
+        nodes = nodes.join(earlier, "node", "full").select("node", F.coalesce("earlier", "component").alias("component"))
     labels = stored(nodes)
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("seen"))
         low = labels.join(seen, labels["node"] == seen["a"], "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("seen", "component")).alias("component"))
         # a label that moved takes along all that carry it
         moved = low.where("component < old").groupBy(F.col("old").alias("m")).agg(F.min("component").alias("to"))
-        low = low.join(moved, low["old"] == moved["m"], "left").select("node", "old", F.least("component", F.coalesce("to", "component")).alias("component"))
-        after = stored(low)
-        labels = after.select("node", "component")
-        if after.where("component < old").isEmpty():
-            break
-    return labels
+        low = stored(low.join(moved, low["old"] == moved["m"], "left").select("node", "old", F.least("component", F.coalesce("to", "component")).alias("component")))
+        if low.where("component < old").isEmpty():
+            return low.select("node", "component")
+        jump = low.where("component < node").select(F.col("node").alias("via"), F.col("component").alias("further"))
+        labels = stored(low.join(jump, low["component"] == jump["via"], "left").select("node", F.coalesce("further", "component").alias("component")))

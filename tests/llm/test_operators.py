@@ -102,6 +102,20 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in components.components(links).collect()} == {**{i: 0 for i in range(41)}, 90: 90, 100: 90}
 
 
+def test_components_of_long_chains(spark):
+    n = 400
+    ordered = [(i, i + 1) for i in range(1, n)]
+    mixed = [(1000 + i * 177 % n, 1000 + (i + 1) * 177 % n) for i in range(n - 1)]
+    got = components.components(spark.createDataFrame(ordered + mixed, "a long, b long"))
+    assert {tuple(r) for r in got.collect()} == {(i, 1) for i in range(1, n + 1)} | {(1000 + i, 1000) for i in range(n)}
+
+
+def test_components_found_earlier_stay_together(spark):
+    earlier = spark.createDataFrame([(5, 5), (6, 5), (7, 5), (9, 9)], "node long, component long")
+    got = components.components(spark.createDataFrame([(3, 7)], "a long, b long"), earlier)
+    assert {tuple(r) for r in got.collect()} == {(3, 3), (5, 3), (6, 3), (7, 3), (9, 9)}
+
+
 def test_sharding(docs, empty):
     rows = sharding.report(docs).collect()
     assert len(rows) == docs.count()
