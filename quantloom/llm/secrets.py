@@ -1,6 +1,6 @@
 """Secrets: patterns, and assignment-aware lexing of source and configuration.
 
-Texts with a sensitive assignment are lexed into names, operators and literals;
+Texts with a line that holds a sensitive word and then an operator are lexed into names, operators and literals;
 assignments give name-literal pairs, a name on the right side stands for the
 constant it was given before, and quoted pieces joined by `+` are one literal.
 A literal is scored by the parts of its target's name and by how random it
@@ -28,13 +28,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are taken whole, so shorter ones need not be looked at
 EXTRA = "literal"
-NEEDS = (r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]", "AKIA", r"[0-9a-f]{24}", r"(?i)(pass|pwd|secret|token|key|cred|auth|private|salt|signature)[A-Za-z0-9_.-]*[\"'\]]? *(=|:|=>|:=)")
 
 #: Parts of names and how much they say.
 SENSITIVE = {"password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pass": 2.0, "pwd": 2.5, "secret": 3.0, "token": 2.5, "credential": 2.5, "credentials": 2.5, "cred": 2.0, "auth": 1.5, "bearer": 2.0, "private": 1.5, "key": 1.5, "apikey": 3.0, "api": 0.5, "access": 0.5, "signature": 1.0, "salt": 1.5}
 HARMLESS = {"author": -2.0, "keyboard": -2.0, "name": -1.0, "file": -1.0, "path": -1.0, "url": -1.0, "type": -1.0, "length": -1.5, "count": -1.5, "public": -1.5}
 THRESHOLD = 3.5
 
+#: A sensitive word, its letters together or apart as name_score() joins them, and an operator after it in its line: all that the lexer could score passes.
+SENSITIVE_LINE = "(?i)(" + "|".join("[^A-Za-z0-9\\n]*".join(k) for k in SENSITIVE) + r")[^\n]*[=:]"
+#: What a text must hold for each kind, and for the lexer.
+NEEDS = (r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]", "AKIA", r"[0-9a-f]{24}", SENSITIVE_LINE)
+
 _LEX = re.compile(r"""(?P<quote>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')|(?P<op>:=|=>|==|!=|<=|>=|[=:])|(?P<plus>\+)|(?P<end>[\n;,{}()\[\]])|(?P<word>[A-Za-z0-9_$.+/~-]+)|(?P<other>[^\s])""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 

@@ -216,6 +216,18 @@ def test_secrets(docs, empty):
     assert secrets.report(empty).count() == 0
 
 
+def test_secrets_of_each_form(spark):
+    forms = [
+        'config["password"] = "{}"', "os.environ['API_KEY'] = '{}'", '$c["db"]["secret"] => "{}"', 'bearer = "{}"', 'password\t= "{}"', 'conf[ "auth_token" ]\t:= "{}"',
+        '"bearer"\t: "{}"', '"to ken": "{}"', "pass_phrase : '{}'", 'k = "{}"\nd["credentials"] = k',
+    ]
+    texts = ["text before é\n" + f.format("S3curePa9!x") + "\nand after" for f in forms] + ["the password\nis = none", "an access key is here", 'author["name"] = "S3curePa9!x"']
+    got = by_id(secrets.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=("doc_id",)))
+    for i, t in enumerate(texts):
+        spans = [(x["kind"], t[x["start"] : x["end"]]) for x in got[i]["spans"]]
+        assert spans == ([("literal", "S3curePa9!x")] if i < len(forms) else []), t
+
+
 def test_tokens(docs, empty):
     import public_tokenizers
     import tiktoken
