@@ -37,6 +37,8 @@ EXTRA = "pii"
 SAMPLE_DOCS = 4_000
 SAMPLE_TOKENS = 100_000
 MAX_SPIN = 4.0
+#: Log odds by which a message may still change when rounds end.
+TOLERANCE = 1e-3
 
 
 def luhn(digits: str) -> bool:
@@ -138,21 +140,50 @@ def tokens(text: pa.Array) -> Tokens:
     return Tokens(doc, points[starts] - first, points[ends] - first, feats, chain, skip)
 
 
-def propagate(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, crf: Crf, rounds: int = 12) -> np.ndarray:
-    """Log odds of each token by damped, synchronous loopy belief propagation on the two kinds of edges."""
-    edges = np.concatenate([chain, skip]).reshape(-1, 2)
-    if not len(edges):
+def _groups(skip: np.ndarray, n: int) -> np.ndarray:
+    """The smallest token that skip edges lead to, for each token."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[skip[:, 0]], root[skip[:, 1]])
+        new = root.copy()
+        for side in (0, 1):
+            np.minimum.at(new, root[skip[:, side]], low)
+            np.minimum.at(new, skip[:, side], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def propagate(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, crf: Crf, limit: int = 1_000) -> np.ndarray:
+    """Log odds of each token by damped, synchronous loopy belief propagation on the two kinds of edges.
+
+    Tokens that skip edges join are linked through one node of their group, at a
+    strength that makes two such links one skip edge, so that each repeat is two
+    links from any other.  Rounds end when no message changes by TOLERANCE;
+    fields with loops need not settle, so that there is a limit far above need.
+    """
+    if not len(chain) + len(skip):
         return unary
-    strength = np.tanh(np.concatenate([np.full(len(chain), crf.chain), np.full(len(skip), crf.skip)]) / 2)
+    n, root = len(unary), _groups(skip, len(unary))
+    many = np.unique(skip)
+    _, hub = np.unique(root[many], return_inverse=True)
+    stars = np.stack([many, n + hub], axis=1)
+    edges = np.concatenate([chain, stars]).reshape(-1, 2).astype(np.int64)
+    unary = np.concatenate([unary, np.zeros(hub.max() + 1 if len(hub) else 0)])
+    strength = np.concatenate([np.full(len(chain), np.tanh(crf.chain / 2)), np.full(len(stars), np.sqrt(np.tanh(crf.skip / 2)))])
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     strength = np.concatenate([strength, strength])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     message = np.zeros(len(source))
-    for _ in range(rounds):
+    for _ in range(limit):
         belief = unary + np.bincount(target, weights=message, minlength=len(unary))
         cavity = belief[source] - message[back]
-        message = 0.5 * message + np.arctanh(np.clip(strength * np.tanh(np.clip(cavity, -20, 20) / 2), -0.999999, 0.999999))
-    return unary + np.bincount(target, weights=message, minlength=len(unary))
+        step = np.arctanh(np.clip(strength * np.tanh(np.clip(cavity, -20, 20) / 2), -0.999999, 0.999999)) - 0.5 * message
+        message = message + step
+        if np.abs(step).max() < TOLERANCE:
+            break
+    return (unary + np.bincount(target, weights=message, minlength=len(unary)))[:n]
 
 
 def _needs(text: pa.Array) -> np.ndarray:

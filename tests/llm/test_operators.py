@@ -182,6 +182,22 @@ def test_skip_edges_share_labels():
     assert odds[1] > 0 and odds[2] == -5.0
 
 
+def test_far_repeats_share_labels():
+    import numpy as np
+
+    n = 60
+    unary, near = np.full(n, -0.01), np.stack([np.arange(n - 1), np.arange(1, n)], axis=1)
+    unary[0] = 6.0
+    crf = pii.Crf(chain=0.0, skip=4.0)
+    odds = pii.propagate(unary, np.zeros((0, 2), int), near, crf)
+    assert (odds > 0).all() and np.ptp(odds[1:]) < 0.01
+    # two tokens: the exact marginals of the field
+    a, b = 1.5, -0.5
+    p = {(x, y): np.exp(a * x + b * y + 4.0 * (x == y)) for x in (0, 1) for y in (0, 1)}
+    exact = np.log([(p[1, 0] + p[1, 1]) / (p[0, 0] + p[0, 1]), (p[0, 1] + p[1, 1]) / (p[0, 0] + p[1, 0])])
+    assert np.allclose(pii.propagate(np.array([a, b]), np.zeros((0, 2), int), np.array([[0, 1]]), crf), exact, atol=0.01)
+
+
 def test_substrings(docs, empty):
     got = by_id(substrings.report(docs))
     words = {i: SPACED.findall(t or "") for i, t in enumerate(TEXTS)}
