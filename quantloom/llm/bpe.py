@@ -7,7 +7,8 @@ chunks' copies of a word meet and it is encoded once; the ids go back to their
 chunks, where positions put the documents together again.  A word as common as
 " the" travels once for each chunk, not once for each occurrence, and words of
 one chunk that have the same destination travel as one compressed list.
-Decoding joins the token-byte table, whose size the vocabulary bounds.
+Decoding looks ids up in the token-byte table inside tasks in place of a join:
+the vocabulary bounds the table, and a join would need a row for each token.
 """
 
 from __future__ import annotations
@@ -164,7 +165,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc
 
 
 def decode(df: DataFrame, vocabulary: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """df with the bytes of each row's ids, by a join with the token-byte table (one row for each rank)."""
+    """df with the bytes of each row's ids: each task reads the token-byte table and looks ids up in it, in place of a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(vocabulary)
