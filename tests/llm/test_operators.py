@@ -278,3 +278,49 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 19 not in got and {0, 1, 2, 3, 5, 6, 10} <= got and not got & {4, 8, 9, 12}
+
+
+def test_pipeline_values(spark, tmp_path):
+    import public_tokenizers
+    import tiktoken
+
+    import corpus_pipeline
+
+    words = lambda i: " ".join(f"d{i}w{k}" for k in range(12))
+    rows = [(i, f"{words(i)} {'vilest' if i % 3 == 0 else 'kindest'}{i % 7} things") for i in range(600)]
+    bench = " ".join(f"bench{k}" for k in range(10))
+    long = " ".join(f"long{k}" for k in range(100))
+    rows += [(1000, long), (1001, long + " end"), (1002, long), (1003, " ".join(f"long{k}" for k in range(50)) + " other half"), (1004, f"x {bench.upper()} y"), (1005, bench[:-7]), (1006, "mail me at a.b@example.org or from 10.0.0.1 please"), (1007, None), (1008, "")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(600)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    want = {i: t for i, t in rows if i >= 600 or i % 3}
+    stages = [dict(want)]
+    shingles = {i: {tuple((t or "").lower().split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} if (t or "").split() else set() for i, t in want.items()}
+    label = {i: i for i in want}
+    owners = {}
+    for i, s in shingles.items():
+        for x in s:
+            owners.setdefault(x, []).append(i)
+    links = {(a, b) for o in owners.values() for a in o for b in o if a < b and 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b])}
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    want = {i: t for i, t in want.items() if label[i] == i}
+    stages.append(dict(want))
+    want = {i: t for i, t in want.items() if f" {bench} " not in f" {(t or '').lower()} "}
+    stages.append(dict(want))
+    want[1006] = "mail me at <EMAIL> or from <IP> please"
+    stages.append(dict(want))
+    docs = corpus_pipeline.table(spark, str(tmp_path), "documents")
+    for (name, stage), rows_ in zip(corpus_pipeline.STAGES, stages, strict=False):
+        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)))
+        assert {r["doc_id"]: r["text"] for r in docs.collect()} == rows_, name
+    path = str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    got = by_id(corpus_pipeline.run(spark, str(tmp_path)))
+    assert got.keys() == want.keys()
+    for i, t in want.items():
+        ids = whole.encode_ordinary(t or "")
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(t or "")), i
