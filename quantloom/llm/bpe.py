@@ -1,12 +1,13 @@
 """Byte-level BPE encoding by a global shuffle of distinct words.
 
 Tasks cut their texts into pre-tokens and pack some megabytes of documents into
-a chunk: its distinct words, and for each position the word's number.  Only
-the distinct words of chunks are shuffled, by a hash of the word, so that all
-chunks' copies of a word meet and it is encoded once; the ids go back to their
-chunks, where positions put the documents together again.  A word as common as
-" the" travels once for each chunk, not once for each occurrence, and words of
-one chunk that have the same destination travel as one compressed list.
+a block: its distinct words, numbered as they come, and for each position the
+word's number, in packets of bounded size.  The words are shuffled by their hash
+as compressed lists, one for each bucket, so that all blocks' copies of a word
+meet and it is encoded once; the ids go back to their blocks, where positions
+put the documents together again.  A word as common as " the" travels once for
+each block, not once for each occurrence.  Packets and lists share one exchange:
+a packet's key is its block, a list's its bucket.
 Decoding looks ids up in the token-byte table inside tasks in place of a join:
 the vocabulary bounds the table, and a join would need a row for each token.
 """
@@ -14,10 +15,12 @@ the vocabulary bounds the table, and a join would need a row for each token.
 from __future__ import annotations
 
 import base64
+import hashlib
 import pickle
 import zlib
+from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -27,15 +30,17 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .shared import tidy
+from .shared import tidy, with_columns
 from .textkit import slices
 
-#: Bytes of text in a chunk; a longer text has a chunk of its own.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text in a block, whose documents share one list of words, and in a packet of it; a longer text has a block of its own.
+BLOCK_BYTES, PACKET_BYTES = 8 << 20, 1 << 20
 #: Words whose ids a task remembers; one that comes again after that is encoded again.
 REMEMBERED = 2_000_000
+#: What an exchange carries: packets of documents by block, lists of words by bucket.
+_PACKED = "key long, block long, bucket int, packed binary"
 
 
 @lru_cache(2)
@@ -60,67 +65,95 @@ def _expand(x: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint8 if x.max(initial=0) < 1 << 8 else np.uint16 if x.max(initial=0) < 1 << 16 else np.uint32)
+def _planes(x: np.ndarray) -> list[bytes]:
+    """Numbers below 2**32 as planes of bytes, low bytes first, as far as any number reaches: each plane compresses by itself."""
+    n = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return [x.astype("<u4").view(np.uint8)[k::4].tobytes() for k in range(n)]
 
 
-def _pack(pattern: str, chunk_bytes: int, buckets: int):
-    """A chunk as a list of words for each bucket, and what its rows need; words are numbered by (bucket, word)."""
+def _joined(planes: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(planes[0]), 4), np.uint8)
+    for k, plane in enumerate(planes):
+        out[:, k] = np.frombuffer(plane, np.uint8)
+    return out.view("<u4").ravel()
+
+
+def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    key, block, bucket, packed = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], ["key", "block", "bucket", "packed"])
+
+
+class _Block:
+    """The words that a task's current block has so far."""
+
+    def __init__(self, number: int):
+        self.number, self.bytes = number, 0
+        self.known: defaultdict[str, int] = defaultdict()
+        self.known.default_factory = self.known.__len__
+
+    def packet(self, find, ids: list, texts: pa.Array) -> tuple[int, int, int, bytes]:
+        counts, numbers = [], [np.zeros(0, np.uint32)]
+        for text in texts:
+            words = find(text.as_py() or "")
+            counts.append(len(words))
+            numbers.append(np.fromiter(map(self.known.__getitem__, words), np.uint32, len(words)))
+        return self.number, self.number, -1, _squeeze((ids, np.array(counts), _planes(np.concatenate(numbers))))
+
+    def lists(self, buckets: int) -> Iterator[tuple[int, int, int, bytes]]:
+        """A list of words for each bucket, in the order of their numbers; and, under the block's key, each word's bucket."""
+        words = list(self.known)
+        bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.uint32, len(words))
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        yield self.number, self.number, -2, _squeeze(_planes(bucket))
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            yield -1 - k, self.number, k, _squeeze([words[i] for i in order[ends[k] : ends[k + 1]]])
+
+
+def _pack(pattern: str, block_bytes: int, packet_bytes: int, buckets: int):
+    """Blocks of documents as packets, and their words as lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find, seq = regex.compile(pattern).findall, 0
-        task = TaskContext.get().partitionId() << 32
+        find, task = regex.compile(pattern).findall, TaskContext.get().partitionId() << 32
+        block = _Block(task)
         for batch in batches:
-            for a, b in slices(batch["text"], chunk_bytes):
-                known: defaultdict[str, int] = defaultdict()
-                known.default_factory = known.__len__
-                counts, numbers = [], []
-                for text in batch["text"].slice(a, b - a):
-                    words = find(text.as_py() or "")
-                    counts.append(len(words))
-                    numbers.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
-                words = list(known)
-                bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.int64, len(words))
-                order = np.array(sorted(range(len(words)), key=lambda i: (bucket[i], words[i])), np.int64)
-                rank = np.empty(len(words), np.uint32)
-                rank[order] = np.arange(len(words))
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                lists = [(k, _squeeze([words[i] for i in order[p:q]])) for k, (p, q) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if q > p]
-                rows = _squeeze((batch["id"].slice(a, b - a).to_pylist(), np.array(counts), _narrow(rank[np.concatenate(numbers)])))
-                yield pa.RecordBatch.from_arrays([pa.array([task | seq]), pa.array([pickle.dumps((lists, rows), 5)], pa.binary())], ["chunk", "packed"])
-                seq += 1
+            for a, b in slices(batch["text"], packet_bytes):
+                texts = batch["text"].slice(a, b - a)
+                if block.bytes and block.bytes + texts.nbytes > block_bytes:
+                    yield _batch(list(block.lists(buckets)))
+                    block = _Block(block.number + 1)
+                block.bytes += texts.nbytes
+                yield _batch([block.packet(find, batch["id"].slice(a, b - a).to_pylist(), texts)])
+        if block.bytes:
+            yield _batch(list(block.lists(buckets)))
 
     return run
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for chunk, packed in zip(batch["chunk"].to_pylist(), batch["packed"], strict=True):
-            lists, _ = pickle.loads(packed.as_py())
-            if lists:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in lists], pa.int32()), pa.array(np.full(len(lists), chunk)), pa.array([x for _, x in lists], pa.binary())], ["bucket", "chunk", "words"])
-
-
 def _encode_lists(path: str):
     """All lists of a bucket come to one task, which encodes a word when it first shows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, ids_of = _word_encoder(path), {}
+        encode, place, ids, ends = _word_encoder(path), {}, array("I"), array("Q", [0])
         for batch in batches:
-            out = []
-            for words in batch["words"]:
-                found = []
+            for block, bucket, words in zip(batch["block"].to_pylist(), batch["bucket"].to_pylist(), batch["packed"], strict=True):
+                if bucket < 0:
+                    continue
+                sizes, found = [], array("I")
                 for word in _expand(words.as_py()):
-                    ids = ids_of.get(word)
-                    if ids is None:
-                        if len(ids_of) >= REMEMBERED:
-                            ids_of.clear()
-                        ids = ids_of[word] = encode(word)
-                    found.append(ids)
-                out.append(_squeeze((_narrow(np.array([len(x) for x in found], np.int64)), _narrow(np.array([i for x in found for i in x], np.int64)))))
-            yield pa.RecordBatch.from_arrays([batch["chunk"], batch["bucket"], pa.array(out, pa.binary())], ["chunk", "bucket", "ids"])
+                    at = place.get(word)
+                    if at is None:
+                        if len(place) >= REMEMBERED:
+                            place, ids, ends = {}, array("I"), array("Q", [0])
+                        at = place[word] = len(place)
+                        ids.extend(encode(word))
+                        ends.append(len(ids))
+                    sizes.append(ends[at + 1] - ends[at])
+                    found.extend(ids[ends[at] : ends[at + 1]])
+                out = _squeeze((_planes(np.array(sizes)), _planes(np.frombuffer(found, np.uint32))))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bucket], pa.int32()), pa.array([out], pa.binary())], ["key", "bucket", "ids"])
 
     return run
 
@@ -131,64 +164,121 @@ def _spread(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _reassemble(chunks: pa.Table, encoded: pa.Table) -> pa.Table:
-    ids, counts, number = _expand(pickle.loads(chunks["packed"][0].as_py())[1])
-    parts = [_expand(x.as_py()) for x in encoded.sort_by("bucket")["ids"]]
-    sizes = np.concatenate([np.zeros(0, np.int64), *[p[0] for p in parts]]).astype(np.int64)
-    tokens = np.concatenate([np.zeros(0, "<u4"), *[p[1] for p in parts]]).astype("<u4")
-    if len(sizes) != (int(number.max()) + 1 if len(number) else 0):
-        raise ValueError("a chunk has not got all of its words back")
-    starts = np.cumsum(sizes) - sizes
-    lengths = sizes[number]
-    flat = tokens[_spread(lengths, starts[number])]
-    ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-    return pa.table({"id": pa.array(ids, pa.int64()), "ids": pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+def _reassemble(then: Callable[[pa.Table], pa.Table], id_type: pa.DataType):
+    """The documents of a block from its packets and the ids of its words; `then` sees them packet by packet."""
+
+    def run(packets: pa.Table, encoded: pa.Table) -> pa.Table:
+        empty = pa.table({"id": pa.array([], id_type), "ids": pa.array([], pa.binary())})
+        kinds = packets["bucket"].to_pylist()
+        if not kinds or kinds[0] >= 0:  # a bucket's lists have been encoded elsewhere
+            return then(empty)
+        bucket = np.zeros(0, np.uint32)
+        if -2 in kinds:
+            bucket = _joined(_expand(packets["packed"][kinds.index(-2)].as_py()))
+        parts = [_expand(x.as_py()) for x in encoded.sort_by("bucket")["ids"]]
+        sizes = np.concatenate([np.zeros(0, np.int64), *[_joined(p[0]) for p in parts]]).astype(np.int64)
+        tokens = np.concatenate([np.zeros(0, "<u4"), *[_joined(p[1]) for p in parts]])
+        if len(sizes) != len(bucket):
+            raise ValueError("a block has not got all of its words back: a task must see the same rows when it runs again")
+        starts, lengths = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+        order = np.argsort(bucket, kind="stable")
+        starts[order], lengths[order] = np.cumsum(sizes) - sizes, sizes
+        out = [then(empty)]
+        for kind, packed in zip(kinds, packets["packed"], strict=True):
+            if kind == -1:
+                ids, counts, planes = _expand(packed.as_py())
+                number = _joined(planes)
+                flat = tokens[_spread(lengths[number], starts[number])]
+                ends = np.concatenate([[0], np.cumsum(lengths[number])])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+                out.append(then(pa.table({"id": pa.array(ids, id_type), "ids": pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})))
+        return pa.concat_tables(out)
+
+    return run
+
 
+def _assemble(docs: DataFrame, vocabulary: str, pattern: str, id_col: str, text_col: str, block_bytes: int, buckets: int | None, then: Callable[[pa.Table], pa.Table], more: str) -> DataFrame:
+    """Columns id and `more`, as `then` makes them of tables of id and ids."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    kind = plain.schema["id"].dataType
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one exchange feeds both uses: both read all its columns
+    packed = plain.mapInArrow(tidy(_pack(pattern, block_bytes, min(block_bytes, PACKET_BYTES), buckets)), _PACKED).repartition("key")
+    encoded = packed.mapInArrow(tidy(_encode_lists(vocabulary)), "key long, bucket int, ids binary")
+    return packed.groupBy("key").cogroup(encoded.groupBy("key")).applyInArrow(_reassemble(then, to_arrow_type(kind)), f"id {kind.simpleString()}, {more}")
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """The id and `ids` of each row: token ids as little-endian unsigned 32-bit integers.
 
     vocabulary names a rank file that every executor can read; pattern cuts
     texts into pre-tokens; words are encoded in `buckets` groups, by default as many
     as the session has shuffle partitions.  Null and empty texts have no ids; an empty table gives
-    an empty result; repeated rows are encoded each.  docs should come from
-    files or another source that gives a task the same rows again.
+    an empty result; repeated rows are encoded each; ids may be null or of any type; other columns are
+    not looked at.  A text longer than a block is held whole by one task, at some ten times its bytes.  docs should come
+    from files or another source that gives a task the same rows again: else the job ends with an error.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one exchange feeds both uses: a single packed column leaves nothing to prune
-    chunks = plain.mapInArrow(tidy(_pack(pattern, chunk_bytes, buckets)), "chunk long, packed binary").repartition("chunk")
-    lists = chunks.mapInArrow(tidy(_lists), "bucket int, chunk long, words binary")
-    encoded = lists.repartition("bucket").mapInArrow(tidy(_encode_lists(vocabulary)), "chunk long, bucket int, ids binary")
-    both = chunks.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(_reassemble, "id long, ids binary")
-    return both.withColumnRenamed("id", id_col)
+    return _assemble(docs, vocabulary, pattern, id_col, text_col, block_bytes, buckets, lambda t: t, "ids binary").withColumnRenamed("id", id_col)
+
+
+@lru_cache(2)
+def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table: all bytes end to end, and each id's start and size."""
+    ranks = read_ranks(path)
+    by_rank = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        by_rank[rank] = token
+    sizes = np.array([len(x) for x in by_rank])
+    return np.frombuffer(b"".join(by_rank), np.uint8), np.cumsum(sizes) - sizes, sizes
+
+
+def _decoded(vocabulary: str, ids: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    table, starts, sizes = _token_bytes(vocabulary)
+    out = []
+    for x in ids:
+        x = np.frombuffer(x.as_py() or b"", "<u4")
+        out.append(table[_spread(sizes[x], starts[x])].tobytes())
+    return out
 
 
 def decode(df: DataFrame, vocabulary: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """df with the bytes of each row's ids: each task reads the token-byte table and looks ids up in it, in place of a join."""
+    """df with the bytes of each row's ids as out_col, which takes the place of a column of that name.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(vocabulary)
-        by_rank = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            by_rank[rank] = token
-        table, sizes = np.frombuffer(b"".join(by_rank), np.uint8), np.array([len(x) for x in by_rank])
-        starts = np.cumsum(sizes) - sizes
-        for batch in batches:
-            out = []
-            for x in batch[ids_col]:
-                ids = np.frombuffer(x.as_py() or b"", "<u4")
-                out.append(table[_spread(sizes[ids], starts[ids])].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, out_col])
+    Each task reads the token-byte table and looks ids up in it, in place of a join.  Null and empty ids give no
+    bytes; an empty table stays empty; repeated rows are decoded each; TypeError if ids_col is not binary.
+    """
+    if not isinstance(df.schema[ids_col].dataType, BinaryType):
+        raise TypeError(f"{ids_col} must hold ids as binary")
+
+    def looked_up(inside):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_decoded(vocabulary, batch[inside(ids_col)]), pa.binary())], [*batch.schema.names, f"+{out_col}"])
 
-    plain = df.drop(out_col)
-    return plain.mapInArrow(tidy(run), StructType([*plain.schema.fields]).add(out_col, BinaryType()))
+        return run
+
+    return with_columns(df, looked_up, StructType([StructField(out_col, BinaryType())]))
+
+
+def _digests(vocabulary: str):
+    """encode() and decode() of a packet, digested where the documents come together: neither ids nor bytes travel on."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sha = lambda values: pa.array([hashlib.sha256(x).hexdigest() for x in values], pa.string())
+        ids = [x.as_py() for x in t["ids"]]
+        return pa.table({"id": t["id"], "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": sha(ids), "decoded_sha256": sha(_decoded(vocabulary, t["ids"]))})
+
+    return run
 
 
 def report(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Query op10: digests of each document's ids and of what they decode to."""
+    """Query op10: token counts, and digests of each document's ids and of what they decode to.
+
+    Null and empty texts have no tokens; repeated rows give a row each; an empty table gives an empty result.
+    """
     import public_tokenizers
 
     vocabulary = vocabulary or str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    both = decode(encode(docs, vocabulary, pattern or public_tokenizers.PATTERN), vocabulary)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = _assemble(docs, vocabulary, pattern or public_tokenizers.PATTERN, "doc_id", "text", BLOCK_BYTES, None, _digests(vocabulary), "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return found.withColumnRenamed("id", "doc_id")

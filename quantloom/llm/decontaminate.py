@@ -150,7 +150,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, bloc
         yield prepare([tuple(r) for r in part.orderBy("i", "t").collect()], width)
 
 
-def match_documents(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def match_documents(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each row of docs, what of the benchmark it holds verbatim.
 
     Words are runs of letters, digits and non-ASCII characters after lower-casing
@@ -166,7 +166,7 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
     """
     spark = docs.sparkSession
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(b"").alias("spans"), F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("longest"), F.lit(None).cast("long").alias("longest_item"), F.lit(None).cast("long").alias("longest_at"))
-    for q in _blocks(benchmark, item_col, text_col, width, block_bytes):
+    for q in _blocks(benchmark, item_col, item_text_col, width, block_bytes):
         df = df.mapInArrow(tidy(_searcher(spark.sparkContext.broadcast(q))), df.schema)
     return df.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "longest", "longest_item", "longest_at")
 
@@ -201,31 +201,52 @@ def _merge(part: pa.RecordBatch, q: Queries | None) -> pa.RecordBatch:
             edges = np.flatnonzero(np.diff(inside)).reshape(-1, 2)
             cols["spans"][d] = np.stack([edges[:, 0], edges[:, 1] - edges[:, 0]], axis=1).astype(np.int64).tobytes()
             cols["n_hit"][d] = int((edges[:, 1] - edges[:, 0]).sum())
-        which, entry = _expand(q, hits)
-        doc = hits["doc"][which]
-        for d, i in set(zip(doc.tolist(), q.items[q.owners[entry]].tolist(), strict=True)):
+        once = np.unique(hits["doc"] * len(q.windows) + hits["window"])  # owners are listed once for a document, not for each occurrence
+        doc, window = np.divmod(once, max(len(q.windows), 1))
+        which, entry = _expand(q, {"window": window})
+        for d, i in set(zip(doc[which].tolist(), q.items[q.owners[entry]].tolist(), strict=True)):
             cols["items"][d].append(i)
         m = maximal_matches(q, hits)
         for k in np.lexsort((q.items[m["item"]], m["at"], -m["size"])) if len(m["doc"]) else ():
-            d, size = int(m["doc"][k]), int(m["size"][k])
-            if size > cols["longest"][d]:
-                cols["longest"][d], cols["longest_item"][d], cols["longest_at"][d] = size, int(q.items[m["item"][k]]), int(m["at"][k] - hits["first"][d])
+            d, size, at, item = int(m["doc"][k]), int(m["size"][k]), int(m["at"][k]), int(q.items[m["item"][k]])
+            at -= int(hits["first"][d])
+            if not cols["longest"][d] or (-size, at, item) < (-cols["longest"][d], cols["longest_at"][d], cols["longest_item"][d]):
+                cols["longest"][d], cols["longest_item"][d], cols["longest_at"][d] = size, item, at
     out = {"id": part["id"], "text": part["text"], "n_words": pa.array(n_words, pa.int64())} | {k: pa.array(v, part.schema.field(k).type) for k, v in cols.items()}
     out["items"] = pa.array([sorted(set(x)) for x in cols["items"]], part.schema.field("items").type)
     return pa.RecordBatch.from_arrays([out[f.name] for f in part.schema], schema=part.schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the documents that hold a benchmark window; all columns stay.
+def _clean(block, text_at: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = block.value
+        for batch in batches:
+            for a, b in slices(batch[text_at]):
+                part = batch.slice(a, b - a)
+                keep = np.ones(len(part), bool)
+                keep[search_shard(part[text_at], q)["doc"]] = False
+                yield part.filter(pa.array(keep))
 
-    Rows are dropped by id, so that repeated rows of a contaminated document go
-    too.  Rows without an id stay unless their id-less text is contaminated.
+    return run
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the rows whose text holds a benchmark window; all columns, whatever their names, stay.
+
+    Each row is judged by its own text, in the pass that searches it: rows without an id like others, repeated rows
+    alike.  Null and empty texts stay, an empty benchmark removes nothing, an empty table stays empty.
     """
-    hit = match_documents(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select(F.col(id_col).alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit"]), "left_anti")
+    spark = docs.sparkSession
+    inside = {c: f"_{k}" for k, c in enumerate(docs.columns)}
+    left = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()])
+    for q in _blocks(benchmark, item_col, item_text_col, width, block_bytes):
+        if q is not None:
+            left = left.mapInArrow(tidy(_clean(spark.sparkContext.broadcast(q), inside[text_col])), left.schema)
+    return left.select(*[F.col(n).alias(c) for c, n in inside.items()])
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Query op1: one row per document, with a digest of its items."""
+    """Query op1: one row per document, with a digest of its items, and where its longest match lies: of several the
+    first in the document, then the one with the smallest item id; null without a match."""
     items = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return match_documents(docs, benchmark).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest")
+    return match_documents(docs, benchmark).select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest", "longest_item", "longest_at")

@@ -11,18 +11,18 @@ hits as (select s.doc_id, s.k, s.n, v.item_id from starts s join windows v on s.
 words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(k, k + n)) as p from hits) group by doc_id),
 items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as names from hits group by doc_id),
 best as (
-    select doc_id, max(len) as longest from (
-        select doc_id, item_id, count(*) + 9 as len from (
+    select doc_id, max(len) as longest, first(item_id order by len desc, pos, item_id) as longest_item, first(pos order by len desc, pos, item_id) as longest_at from (
+        select doc_id, item_id, count(*) + 9 as len, min(k) - 1 as pos from (
             select h.doc_id, h.item_id, h.k, i.j, h.k - row_number() over (partition by h.doc_id, h.item_id, h.k - i.j order by h.k) as run, h.k - i.j as diagonal
             from (select distinct doc_id, k, item_id, n from hits where n = 10) h
             join (select item_id, j, array_to_string(w[j : j + 9], ' ') as x from (select item_id, w, unnest(range(1, len(w) - 8)) as j from b where len(w) >= 10)) i on i.item_id = h.item_id
             join starts s on s.doc_id = h.doc_id and s.k = h.k and s.n = 10 and s.x = i.x
         ) group by doc_id, item_id, diagonal, run
         union all
-        select doc_id, item_id, n from hits where n < 10
+        select doc_id, item_id, n, k - 1 from hits where n < 10
     ) group by doc_id
 )
-select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(longest, 0)::bigint as longest
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(longest, 0)::bigint as longest, longest_item::bigint as longest_item, longest_at::bigint as longest_at
 from d left join words using (doc_id) left join items using (doc_id) left join best using (doc_id)
 """
 
