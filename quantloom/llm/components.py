@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 
 
 def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -14,7 +14,8 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
     Labels spread along links and jump to their label's label until none changes,
     so that the rounds needed grow with the logarithm of a component's width in
     practice, a chain in the order of its ids included.  Each round but the last
-    lowers a label, so that the rounds end.  start may give components found
+    lowers a label, so that the rounds end.  Without links, and without start, the result is
+    empty; null ends and links of a node with itself are left out.  The result is a stored table.  start may give components found
     earlier; its nodes stay in the result, and stay together.
     """
     links = links.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
@@ -31,7 +32,12 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
         # a label that moved takes along all that carry it
         moved = low.where("component < old").groupBy(F.col("old").alias("m")).agg(F.min("component").alias("to"))
         low = stored(low.join(moved, low["old"] == moved["m"], "left").select("node", "old", F.least("component", F.coalesce("to", "component")).alias("component")))
+        discard(labels)
         if low.where("component < old").isEmpty():
-            return low.select("node", "component")
+            discard(both)
+            found = low.select("node", "component")
+            found._stored_at = low._stored_at
+            return found
         jump = low.where("component < node").select(F.col("node").alias("via"), F.col("component").alias("further"))
         labels = stored(low.join(jump, low["component"] == jump["via"], "left").select("node", F.coalesce("further", "component").alias("component")))
+        discard(low)

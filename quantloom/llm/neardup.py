@@ -6,14 +6,15 @@ coordinate after coordinate, and a coordinate keeps the earliest and smallest
 throw, so that all of them fill with few rounds and sets as small as one.
 Bands of coordinates make buckets; links are confirmed on full sets.
 
-Documents with equal sets are one class, and only a class's smallest document
-goes on.  In a bucket, documents are first compared with hubs, not with each
+Documents with equal sets (by a digest of the whole set) are one class, and only
+a class's smallest document goes on.  In a bucket, documents are first compared with hubs, not with each
 other; then only those not yet joined to the bucket's main component are
 compared with the rest, in chunks of bounded size.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored, tidy
+from .shared import discard, hot_join, integer_id, stored, tidy
 from .textkit import SPACE_WORDS, Words, mix, signed, slices, window_hashes
 
 #: Coordinates, and how many of them make a band: at a similarity of 0.8 a pair shares no band with a chance of 5e-6.
@@ -97,11 +98,11 @@ def _sketcher(width: int):
             for a, b in slices(batch["text"], SLICE_BYTES):
                 x, offsets = shingle_sets(batch["text"].slice(a, b - a), width)
                 n = np.diff(offsets)
-                total = lambda v: np.diff(np.concatenate([[np.uint64(0)], np.cumsum(v, dtype=np.uint64)])[offsets])
                 keys = bands(sketches(x, offsets))
                 per_doc = keys.shape[1]
                 packed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * per_doc), pa.array(signed(keys.ravel())))
-                yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), pa.array(n), pa.array(signed(total(mix(x)))), pa.array(signed(total(mix(x ^ np.uint64(0x5851F42D4C957F2D))))), packed], ["id", "n", "h1", "h2", "bands"])
+                whole = pa.array([hashlib.blake2b(x[p:q].data, digest_size=20).digest() if q > p else b"" for p, q in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), pa.array(n), whole, packed], ["id", "n", "whole", "bands"])
 
     return run
 
@@ -174,15 +175,17 @@ def group(docs: DataFrame, *, width: int = 5, parts: int = 80, whole: int = 100,
     Documents link when whole * |A and B| >= parts * |A or B| for their sets of
     `width`-word shingles (of the whole sequence, where there are fewer words);
     words are what white space separates, A-Z lower-cased.  component_id is the
-    smallest id that links lead to.  Documents without words link with nothing.
-    Rows that share an id count as one document; rows without an id link with
-    nothing and have no component.  Other columns are not looked at.
+    smallest id that links lead to.  Documents without words, null and empty texts
+    link with nothing.  Rows that share an id count as one document, rows are given
+    back each; rows without an id link with nothing and have no component.  An empty
+    table gives an empty result.  Ids are integers (else TypeError).  Other columns
+    are not looked at.  A text is held whole by one task, at some fifty times its bytes.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = stored(plain.mapInArrow(tidy(_sketcher(width)), "id long, n long, h1 long, h2 long, bands array<long>"))
+    plain = docs.select(integer_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    sketched = stored(plain.mapInArrow(tidy(_sketcher(width)), "id long, n long, whole binary, bands array<long>"))
     known = sketched.where("n > 0 and id is not null")
-    classes = known.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
-    ranked = stored(known.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("id", "n", "rep"))
+    classes = known.groupBy("whole").agg(F.min("id").alias("rep"), F.count("*").alias("rows"))
+    ranked = stored(hot_join(known.select("id", "n", "whole"), classes, "whole", "rep", known.count()).select("id", "n", "rep"))
     reps = ranked.where("id = rep").select("id").distinct()
     buckets = known.join(reps, "id", "left_semi").select("id", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
@@ -203,7 +206,8 @@ def group(docs: DataFrame, *, width: int = 5, parts: int = 80, whole: int = 100,
     mains = mains.groupBy("key").agg(F.max(F.struct("n", "component", "one")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("parts")).where("parts > 1")
     mains = mains.select("key", F.col("top.component").alias("main"), F.col("top.one.id").alias("one"), "members", F.col("top.n").alias("joined"))
     second = tagged.join(mains, "key").where("component <> main").select(F.least("id", "one").alias("a"), F.greatest("id", "one").alias("b")).distinct()
-    found = components(verified(second), found)
+    earlier, found = found, components(verified(second), found)
+    discard(earlier)
     # the rest, exactly
     tagged = buckets.select("key", "id").join(found, buckets["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mains = tagged.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("parts")).where("parts > 1")
@@ -217,18 +221,20 @@ def group(docs: DataFrame, *, width: int = 5, parts: int = 80, whole: int = 100,
     members = full.withColumn("left", F.lit(False)).withColumn("col", spot("wide", 2)).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)))
     blocks = lefts.select(cols).unionByName(members.select(cols))
     rest = blocks.groupBy("key", "row", "col").applyInArrow(_rest(parts, whole), "a long, b long")
-    found = components(rest, found)
+    earlier, found = found, components(rest, found)
+    discard(earlier, buckets, sets)
     grouped = ranked.join(found, ranked["rep"] == found["node"], "left").groupBy("id").agg(F.max("n").alias("n"), F.min(F.coalesce("component", "rep")).alias("component"))
     result = sketched.select("id", "n").join(grouped.select(F.col("id").alias("gid"), "component"), F.col("id") == F.col("gid"), "left")
     return result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with one document of each component: the one with the smallest id. Rows without an id stay."""
+    """docs with one document of each component: the one with the smallest id, all its rows. Rows without an id stay,
+    an empty table stays empty, all columns stay."""
     gone = group(docs, id_col=id_col, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(gone, F.col(f"`{id_col}`") == gone["_gone"], "left_anti")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Query op2: two-word shingles, similarity of 0.8."""
+    """Query op2: two-word shingles, similarity of 0.8; a row for each row of docs."""
     return group(docs, width=2).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
