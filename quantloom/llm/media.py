@@ -8,8 +8,8 @@ the work, not a loop over symbols.  The coefficients give the payload back
 exactly, and, inverse-transformed and with upsampled chroma, a full-resolution
 RGB tensor.  All work is per document: nothing is shuffled.
 
-The reader takes the profile that the writer makes: three components, 2x2 luma
-sampling, sides of whole MCUs, scans of one component.
+The reader also takes progressive files of other writers: interleaved DC scans,
+quantisation tables, other sampling, any sides, one component or three.
 """
 
 from __future__ import annotations
@@ -19,13 +19,15 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .shared import text_bytes
+from .shared import tidy, with_columns
 from .textkit import slices, utf8
 
 #: Blocks in a restart interval.
@@ -453,22 +455,83 @@ def _read_refine(bits: _Bits, c: np.ndarray, base: np.ndarray, n: np.ndarray, ta
             who = who[block[who] < n[who]]
 
 
-def _parse(image: bytes, offset: int, marks: list[int]) -> dict:
-    """Headers of one image and its scans as (scan, component, tables, start, end); places count from the batch's start."""
-    out, at, tables, interval = {"scans": []}, 2, {}, 0
-    while True:
-        marker, length = image[at + 1], 0 if image[at + 1] == 0xD9 else int.from_bytes(image[at + 2 : at + 4], "big")
-        body = image[at + 4 : at + 2 + length]
+@dataclass
+class Part:
+    """A component: sampling factors, quantisation table in zigzag order, blocks across and down (whole MCUs), blocks that hold the image."""
+
+    h: int
+    v: int
+    quant: np.ndarray
+    across: int
+    down: int
+    used: tuple[int, int]
+    first: int = 0  # its first block among the image's
+
+
+@dataclass
+class Head:
+    """What a file says of its image and scans; a scan: (lo, hi, high, low), components, tables, restart interval, start, end of its data."""
+
+    width: int = 0
+    height: int = 0
+    parts: list[Part] = field(default_factory=list)
+    scans: list[tuple] = field(default_factory=list)
+    payload: int | None = None
+    blocks: int = 0
+
+    def frame(self, body: bytes, quants: dict[int, np.ndarray], ids: list[int]) -> None:
+        precision, self.height, self.width, n = struct.unpack_from(">BHHB", body)
+        if precision != 8 or n not in (1, 3) or not self.width or not self.height:
+            raise ValueError("a progressive JPEG of 8-bit samples with one or three components is needed")
+        ids += [body[6 + 3 * k] for k in range(n)]
+        factors = [(body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15) for k in range(n)]
+        wide, high = max(f[0] for f in factors), max(f[1] for f in factors)
+        across, down = -(-self.width // (8 * wide)), -(-self.height // (8 * high))
+        for k, (h, v) in enumerate(factors):
+            if wide % h or high % v:
+                raise ValueError("sampling factors must divide the largest one")
+            used = -(-(-(-self.width * h // wide)) // 8), -(-(-(-self.height * v // high)) // 8)
+            self.parts.append(Part(h, v, quants.get(body[8 + 3 * k], np.ones(64, np.int64)), across * h, down * v, used, self.blocks))
+            self.blocks += across * h * down * v
+
+    def order(self, members: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """The image's blocks in the order of a scan of these components, and the component of each in an MCU."""
+        if len(members) == 1:
+            p = self.parts[members[0]]
+            return (p.first + np.arange(p.used[1])[:, None] * p.across + np.arange(p.used[0])).ravel(), np.zeros(1, np.int64)
+        out = []
+        for k in members:
+            p = self.parts[k]
+            y, x = np.arange(p.down // p.v), np.arange(p.across // p.h)
+            inner = np.arange(p.v)[:, None] * p.across + np.arange(p.h)
+            out.append((p.first + (y[:, None] * p.v * p.across + x * p.h).ravel()[:, None] + inner.ravel()))
+        return np.concatenate(out, axis=1).ravel(), np.concatenate([np.full(self.parts[k].h * self.parts[k].v, i) for i, k in enumerate(members)])
+
+
+def _parse(image: bytes, offset: int, marks: list[int]) -> Head:
+    """Headers of one image and its scans; places count from the batch's start."""
+    head, at, tables, quants, ids, interval = Head(), 2, {}, {}, [], 0
+    while at + 2 <= len(image):
+        if image[at] != 0xFF or image[at + 1] == 0xFF:  # filling
+            at += 1
+            continue
+        marker = image[at + 1]
         if marker == 0xD9:
-            return out
+            break
+        length = int.from_bytes(image[at + 2 : at + 4], "big")
+        body = image[at + 4 : at + 2 + length]
         at += 2 + length
-        if marker == 0xFE:
-            out["payload"] = struct.unpack(">Q", body)[0]
+        if marker == 0xFE and len(body) == 8:
+            head.payload = struct.unpack(">Q", body)[0]
+        elif marker == 0xDB:
+            while body:
+                size = 64 * (1 + (body[0] >> 4))
+                quants[body[0] & 15] = np.frombuffer(body[1 : 1 + size], ">u2" if body[0] >> 4 else np.uint8).astype(np.int64)
+                body = body[1 + size :]
         elif marker == 0xC2:
-            _, height, width, parts = struct.unpack_from(">BHHB", body)
-            if parts != 3 or width % 16 or height % 16 or body[7] != 0x22:
-                raise ValueError("not the profile of encode_payloads")
-            out["shape"] = width // 16, height // 16
+            head.frame(body, quants, ids)
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            raise ValueError("not a progressive JPEG")
         elif marker == 0xC4:
             while body:
                 n = 17 + sum(body[1:17])
@@ -476,23 +539,43 @@ def _parse(image: bytes, offset: int, marks: list[int]) -> dict:
         elif marker == 0xDD:
             interval = int.from_bytes(body, "big")
         elif marker == 0xDA:
+            n, (lo, hi, both) = body[0], body[-3:]
+            members = tuple(ids.index(body[1 + 2 * k]) for k in range(n))
+            used = tuple(tables.get(body[2 + 2 * k] >> 4 if lo == 0 else 0x10 | body[2 + 2 * k] & 15, b"") for k in range(n))
             end = marks[bisect_left(marks, offset + at)] - offset
-            lo, hi, both = body[-3:]
-            out["scans"].append(((lo, hi, both >> 4, both & 15), body[1] - 1, tables.get(body[2] >> 4 if lo == 0 else 0x10 | body[2] & 15, b""), interval, offset + at, offset + end))
+            head.scans.append(((lo, hi, both >> 4, both & 15), members, used, interval, offset + at, offset + end))
             at = end
+    if not head.parts:
+        raise ValueError("not a progressive JPEG")
+    if head.payload is not None and head.payload > 64 * head.blocks:
+        head.payload = None
+    return head
+
 
+def _read_dc_mixed(bits: _Bits, c: np.ndarray, base: np.ndarray, n: np.ndarray, tables: list[np.ndarray], pattern: np.ndarray, low: int) -> None:
+    """First DC scan of several components: blocks of an MCU follow pattern, each component with its table and prediction."""
+    pred = np.zeros((len(tables), len(base)), np.int64)
+    for k in range(int(n.max(initial=0))):
+        who, part = np.flatnonzero(n > k), pattern[k % len(pattern)]
+        _, size, rest = bits.symbol(who, tables[part])
+        bits.at[who] += size
+        pred[part, who] += _value(rest, size)
+        c[base[who] + k, 0] = pred[part, who] << low
 
-def read_coefficients(images: list[bytes]) -> tuple[list[dict], np.ndarray, np.ndarray]:
-    """Headers, coefficient blocks in zigzag order (luma, then each chroma, image by image), and the images' first blocks."""
+
+def read_coefficients(images: list[bytes]) -> tuple[list[Head], np.ndarray, np.ndarray]:
+    """Headers, coefficient blocks in zigzag order (component by component, image by image), and the images' first blocks.
+
+    The restart intervals of all images' scans are read in step; files without them are read symbol by symbol.
+    """
     raw = np.frombuffer(b"".join(images), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in images])])
     full = np.flatnonzero(raw[:-1] == 0xFF)
     following = raw[full + 1]
     restart = (following >= 0xD0) & (following <= 0xD7)
-    marks = full[(following != 0) & ~restart].tolist()
+    marks = [*full[(following != 0) & (following != 0xFF) & ~restart].tolist(), len(raw)]
     heads = [_parse(x, int(a), marks) for x, a in zip(images, offsets, strict=False)]
-    mcus = np.array([h["shape"][0] * h["shape"][1] for h in heads])
-    rows = np.concatenate([[0], np.cumsum(6 * mcus)])
+    rows = np.concatenate([[0], np.cumsum([h.blocks for h in heads])]).astype(np.int64)
     c = np.zeros((rows[-1], 64), np.int16)
     keep = np.ones(len(raw), bool)
     keep[full[following == 0] + 1] = False
@@ -500,31 +583,50 @@ def read_coefficients(images: list[bytes]) -> tuple[list[dict], np.ndarray, np.n
     bits, restarts = _Bits(raw[keep]), full[restart]
     by_scan: dict[tuple, list] = {}
     for k, head in enumerate(heads):
-        for order, (scan, comp, table, interval, a, b) in enumerate(head["scans"]):
-            n = int(mcus[k]) * (4 if comp == 0 else 1)
-            by_scan.setdefault((order // 3, scan, table, interval), []).append((a, b, rows[k] + mcus[k] * (0, 4, 5)[comp], n))
-    for (_, (lo, hi, high, low), table, interval), found in sorted(by_scan.items(), key=lambda x: x[0][0]):
-        a, b, base, n = np.array(found, np.int64).T
+        stage, seen = 0, set()
+        for scan, members, tables, interval, a, b in head.scans:
+            if seen & set(members) or (seen and len(members) > 1):  # scans of different components may be read in step
+                stage, seen = stage + 1, set()
+            seen |= set(members)
+            p = head.parts[members[0]]
+            whole = len(members) == 1 and p.used == (p.across, p.down)
+            if whole:
+                by_scan.setdefault((stage, scan, tables, interval, True, (0,)), []).append((a, b, rows[k] + p.first, p.across * p.down))
+            else:
+                blocks, pattern = head.order(members)
+                by_scan.setdefault((stage, scan, tables, interval, False, tuple(pattern.tolist())), []).append((a, b, rows[k] + blocks, len(blocks)))
+    for (_, (lo, hi, high, low), tables, interval, whole, pattern), found in sorted(by_scan.items(), key=lambda x: x[0][0]):
+        a, b, n = (np.array([x[i] for x in found]) for i in (0, 1, 3))
+        if whole:
+            place, base, into = None, np.array([x[2] for x in found]), c
+        else:
+            place = np.concatenate([x[2] for x in found])
+            base, into = np.cumsum(n) - n, c[place]
         i, j = np.searchsorted(restarts, a), np.searchsorted(restarts, b)
         per = j - i + 1
         run = np.repeat(np.arange(len(a)), per)
         number = np.arange(len(run)) - np.repeat(np.cumsum(per) - per, per)
         start = np.where(number == 0, a[run], restarts[np.minimum(i[run] + number - 1, max(len(restarts) - 1, 0))] + 2 if len(restarts) else a[run])
-        step = interval or int(n.max())
-        bits.at = moved[start] * 8
-        blocks, first = np.minimum(n[run] - number * step, step), base[run] + number * step
-        symbols = _lookup(table) if table else np.zeros(1, np.int64)
-        if lo == 0:
-            _read_dc(bits, c, first, blocks, symbols, high, low)
+        step = interval * len(pattern) or int(n.max())
+        bits.at = moved[np.minimum(start, len(moved) - 1)] * 8
+        blocks, first = np.clip(n[run] - number * step, 0, step), base[run] + number * step
+        symbols = [_lookup(t) if t else np.zeros(1 << 16, np.int64) for t in tables]
+        if lo == 0 and (high or len(tables) == 1):
+            _read_dc(bits, into, first, blocks, symbols[0], high, low)
+        elif lo == 0:
+            _read_dc_mixed(bits, into, first, blocks, symbols, np.array(pattern), low)
         elif high:
-            _read_refine(bits, c, first, blocks, symbols, lo, hi, low)
+            _read_refine(bits, into, first, blocks, symbols[0], lo, hi, low)
         else:
-            _read_ac(bits, c, first, blocks, symbols, lo, hi, low)
+            _read_ac(bits, into, first, blocks, symbols[0], lo, hi, low)
+        if place is not None:
+            c[place] = into
     return heads, c, rows
 
 
-def payload_of(head: dict, blocks: np.ndarray) -> bytes:
-    return (blocks[: head["payload"] // 64] + 128).astype(np.uint8).tobytes()
+def payload_of(head: Head, blocks: np.ndarray) -> bytes | None:
+    """What encode_payloads() was given; None for files of other writers."""
+    return None if head.payload is None else (blocks[: head.payload // 64] + 128).astype(np.uint8).tobytes()
 
 
 def pixels(c: np.ndarray) -> np.ndarray:
@@ -533,13 +635,27 @@ def pixels(c: np.ndarray) -> np.ndarray:
     return ((c.astype(kind) @ BASIS.astype(kind)).astype(np.int32) + 512) >> 10
 
 
-def rgb(head: dict, px: np.ndarray) -> np.ndarray:
-    """A tensor of height x width x 3 from an image's blocks of samples; chroma is doubled both ways."""
-    w, h = head["shape"]
-    m = w * h
-    plane = lambda x, a, b: x.reshape(a, b, 8, 8).transpose(0, 2, 1, 3).reshape(8 * a, 8 * b)
-    y = (plane(px[: 4 * m], 2 * h, 2 * w) + 128) << 16
-    cb, cr = (plane(px[k * m : (k + 1) * m], h, w).repeat(2, axis=0).repeat(2, axis=1) for k in (4, 5))
+def samples(heads: list[Head], c: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """pixels() of all images' blocks, coefficients multiplied by the files' quantisation tables."""
+    if all((p.quant == 1).all() for h in heads for p in h.parts):
+        return pixels(c)
+    c = c.astype(np.int32)
+    for head, at in zip(heads, rows, strict=False):
+        for p in head.parts:
+            part = slice(at + p.first, at + p.first + p.across * p.down)
+            c[part] *= p.quant.astype(np.int32)
+    return pixels(c)
+
+
+def rgb(head: Head, px: np.ndarray) -> np.ndarray:
+    """A tensor of height x width x 3 from an image's blocks of samples; components with fewer samples are repeated."""
+    wide, high = max(p.h for p in head.parts), max(p.v for p in head.parts)
+    planes = []
+    for p in head.parts:
+        x = px[p.first : p.first + p.across * p.down].reshape(p.down, p.across, 8, 8).transpose(0, 2, 1, 3).reshape(8 * p.down, 8 * p.across)
+        planes.append(x.repeat(high // p.v, axis=0).repeat(wide // p.h, axis=1)[: head.height, : head.width])
+    y = (planes[0] + 128) << 16
+    cb, cr = planes[1:] if len(planes) == 3 else (0, 0)
     out = np.empty((*y.shape, 3), np.uint8)
     for i, v in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):  # the usual weights times 2**16
         out[:, :, i] = np.clip((v + 32768) >> 16, 0, 255)
@@ -560,47 +676,57 @@ def _encoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, n_bytes and `media` of each row: the text's UTF-8 bytes, filled up with 0 to whole blocks of 64, as progressive JPEG.
 
-    Null and empty texts give one block of zeros.  Repeated rows are encoded each;
-    other columns are not looked at.
+    Null and empty texts give one block of zeros.  Repeated rows are encoded each; ids may be null or of any type;
+    an empty table gives an empty result; other columns are not looked at.  A text is held whole by one task, at some
+    fifty times its bytes.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), text_bytes(text_col).alias("n_bytes"))
-    return plain.mapInArrow(_encoder, "id long, n_bytes long, media binary").withColumnRenamed("id", id_col)
-
-
-def _decoder(tensor: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch["media"]):
-                images = batch["media"].slice(a, b - a).to_pylist()
-                heads, c, rows = read_coefficients(images)
-                px = pixels(c)
-                out = []
-                for head, p, q in zip(heads, rows[:-1], rows[1:], strict=True):
-                    payload, image = payload_of(head, c[p:q]), rgb(head, px[p:q])
-                    sums = image.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
-                    out.append((payload, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), f"{image.shape[1]}x{image.shape[0]}:{sums[0]},{sums[1]},{sums[2]}", image.shape[0], image.shape[1], image.tobytes() if tensor else b""))
-                cols = list(zip(*out, strict=True))
-                arrays = [pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3], pa.int64()), pa.array(cols[4])]
-                names = ["payload_bytes", "payload_sha256", "tail_crc32", "feature"]
-                if tensor:
-                    arrays += [pa.array(cols[0], pa.binary()), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int32()), pa.array(cols[7], pa.binary())]
-                    names += ["payload", "height", "width", "rgb"]
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, *arrays], [*part.schema.names, *names])
-
-    return run
-
-
-def decode(media: DataFrame, *, tensor: bool = True) -> DataFrame:
-    """media (a table with a column `media`) with payload_bytes, payload_sha256, tail_crc32 and feature (size and channel sums);
-    with tensor also payload, height, width and rgb, the full-resolution tensor's bytes."""
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
-    more = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string" + ", payload binary, height int, width int, rgb binary" * tensor
-    return media.mapInArrow(_decoder(tensor), StructType([*media.schema.fields, *_parse_datatype_string(more).fields]))
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(F.octet_length(f"`{text_col}`"), F.lit(0)).cast("long").alias("n_bytes"))
+    return plain.mapInArrow(tidy(_encoder), f"id {plain.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+
+
+READ = StructType([StructField(*x) for x in (("payload", BinaryType()), ("payload_bytes", LongType()), ("payload_sha256", StringType()), ("tail_crc32", LongType()), ("feature", StringType()), ("height", IntegerType()), ("width", IntegerType()), ("rgb", BinaryType()))])
+
+
+def _read(images: list[bytes | None]) -> list[tuple]:
+    """The values of READ for each image; nulls for null."""
+    there = [x for x in images if x is not None]
+    heads, c, rows = read_coefficients(there)
+    px, out = samples(heads, c, rows), []
+    for head, p, q in zip(heads, rows[:-1], rows[1:], strict=True):
+        image = rgb(head, px[p:q])
+        sums = image.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
+        payload = payload_of(head, c[p:q])
+        own = (None,) * 4 if payload is None else (payload, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        out.append((*own, f"{image.shape[1]}x{image.shape[0]}:{sums[0]},{sums[1]},{sums[2]}", image.shape[0], image.shape[1], image.tobytes()))
+    found = iter(out)
+    return [(None,) * len(READ) if x is None else next(found) for x in images]
+
+
+def decode(media: DataFrame, *, media_col: str = "media") -> DataFrame:
+    """media with what its progressive JPEGs hold: height, width and rgb, the full-resolution tensor's bytes (rows of
+    pixels of three 8-bit samples), and feature (size and channel sums); of files of encode() also payload,
+    payload_bytes, payload_sha256 and tail_crc32, null for others.
+
+    New columns take the place of those of their names; other columns stay, whatever their names.  Null gives nulls,
+    repeated rows are decoded each, an empty table stays empty.  What is no progressive JPEG of 8-bit samples with
+    one or three components ends the job with a ValueError.
+    """
+
+    def decoded(inside):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b in slices(batch[inside(media_col)], 1 << 20):
+                    part = batch.slice(a, b - a)
+                    cols = list(zip(*_read(part[inside(media_col)].to_pylist()), strict=True))
+                    kinds = (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]], [*part.schema.names, *[f"+{f.name}" for f in READ]])
+
+        return run
+
+    return with_columns(media, decoded, READ)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Query op4: digests of the payload that comes back, and of the stored form."""
-    read = decode(encode(docs), tensor=False)
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+    """Query op4: digests of the payload that comes back, of the stored form and of the tensor column; a row for each row of docs."""
+    read = decode(encode(docs))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.octet_length("rgb").cast("long").alias("rgb_bytes"), F.sha2("rgb", 256).alias("rgb_sha256"))
