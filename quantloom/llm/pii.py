@@ -3,9 +3,13 @@
 Patterns give the base spans.  The field labels tokens that hold digits or an
 at sign: neighbours form a chain, and repeated or similar tokens of a document,
 however far apart, share skip edges, so that loopy message passing gives them
-one label.  Its weights are fitted piecewise on a bounded sample of documents
-whose tokens the patterns have labelled; tokens it labels that no pattern has
-found become spans of kind `pii`.  All work is per document: nothing is shuffled.
+one label.  Similar are tokens that are equal without punctuation and case, that
+end in the same seven digits (a number with and without its country's code), or
+that begin with the same eight of ten or more letters and digits.  Its weights are fitted piecewise on a bounded sample of documents
+whose tokens the patterns have labelled: a token that no pattern has found, but that
+is like one that was found, teaches nothing, and what is found is evidence when the
+field labels a text.  Tokens it labels that no pattern has found become spans of
+kind `pii`.  All work is per document: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -19,8 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .shared import tidy
+from .shared import sampled_ids, tidy, with_columns
 from .textkit import LOWER, SPACE_WORDS, Words, mix, slices
 
 #: The base kinds, in the order of their listing.
@@ -34,9 +39,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NEEDS = ("@", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", r"[0-9](?:[ -]?[0-9]){15}", r"\+[0-9]")
 
 EXTRA = "pii"
+#: Documents, at most, whose tokens the field's weights are fitted on.
 SAMPLE_DOCS = 4_000
-SAMPLE_TOKENS = 100_000
+#: Bytes of text that are looked at together.
+SLICE_BYTES = 1 << 20
 MAX_SPIN = 4.0
+#: Log odds that a base span adds to the tokens it covers.
+EVIDENCE = 10.0
 #: Log odds by which a message may still change when rounds end.
 TOLERANCE = 1e-3
 
@@ -68,7 +77,7 @@ def base_spans(text: str, needs: tuple[bool, ...] = (True,) * 4) -> list[tuple[s
     """The base spans of a text in the order of kinds, then starts."""
     out = [("email", a, b) for a, b in find_emails(text)] if needs[0] else []
     if needs[1]:
-        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in m[0].split("."))]
     if needs[2]:
         out += [("card", m.start(), m.end()) for m in CARD.finditer(text) if 16 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     if needs[3]:
@@ -94,6 +103,7 @@ class Tokens:
     features: np.ndarray
     chain: np.ndarray  # pairs of neighbours
     skip: np.ndarray  # pairs of repeated or similar tokens
+    repeats: int  # the first of them are repeats
 
 
 _CLASS = np.zeros(256, np.int64)  # columns of the counts below
@@ -102,6 +112,37 @@ for _k, _chars in enumerate((b"0123456789", b"@", b".", b"-", b"+", b"()", b":/"
 N_FEATURES = 21
 
 
+def _order_hash(byte: np.ndarray, owner: np.ndarray, rank: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """For each owner, a hash of its bytes at their ranks."""
+    h = np.zeros(n, np.uint64)
+    np.add.at(h, owner, mix(byte.astype(np.uint64) + (rank.astype(np.uint64) << np.uint64(8)) + np.uint64(salt << 56)))
+    return h
+
+
+def _keys(byte: np.ndarray, owner: np.ndarray, solid: np.ndarray, digit: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What tokens are alike by, as (tokens, hashes): all letters and digits, the last seven digits, the first eight letters and digits."""
+    o, b = owner[solid], byte[solid]
+    size = np.bincount(o, minlength=n)
+    rank = np.arange(len(o)) - np.repeat(np.cumsum(size) - size, size)
+    yield np.flatnonzero(size > 0), _order_hash(b, o, rank, n, 1)[size > 0]
+    first = rank < 8
+    yield np.flatnonzero(size >= 10), _order_hash(b[first], o[first], rank[first], n, 2)[size >= 10]
+    o, b = owner[digit], byte[digit]
+    size = np.bincount(o, minlength=n)
+    left = np.repeat(np.cumsum(size), size) - 1 - np.arange(len(o))
+    last = left < 7
+    yield np.flatnonzero(size >= 7), _order_hash(b[last], o[last], left[last], n, 3)[size >= 7]
+
+
+def _alike(doc: np.ndarray, keys: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Pairs of neighbouring tokens among those of a document with the same hash."""
+    who, h = keys
+    order = np.lexsort((who, h, doc[who]))
+    who, h = who[order], h[order]
+    same = np.flatnonzero((h[1:] == h[:-1]) & (doc[who][1:] == doc[who][:-1])) if len(h) > 1 else np.zeros(0, np.int64)
+    return np.stack([who[same], who[same + 1]], axis=1)
+
+
 def tokens(text: pa.Array) -> Tokens:
     """Tokens that hold a digit or an at sign, with the features of their shapes and the field's edges."""
     words = Words(text, SPACE_WORDS, lower=False)
@@ -124,20 +165,13 @@ def tokens(text: pa.Array) -> Tokens:
     long_run = (digits >= 8) & (counts[:, 8] == 0)
     feats = np.concatenate([bins, shares, near[:, None], after[:, None], long_run[:, None], ((length > 30))[:, None]], axis=1).astype(float)
     chain = np.stack([np.flatnonzero(near) - 1, np.flatnonzero(near)], axis=1)
-    # what repeats: the token without punctuation and case
-    keep = (kind[place] == 1) | (kind[place] == 8) | ((LOWER[words.data[place]] >= 97) & (LOWER[words.data[place]] <= 122)) | (words.data[place] >= 128)
-    h = np.zeros(len(pick), np.uint64)
-    if len(pick):
-        p2, o2 = place[keep], owner[keep]
-        rank = np.arange(len(o2)) - np.searchsorted(o2, o2)
-        np.add.at(h, o2, mix(LOWER[words.data[p2]].astype(np.uint64) + rank.astype(np.uint64) * np.uint64(1 << 9)))
-    h = mix(h + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.lexsort((np.arange(len(h)), h))
-    same = np.flatnonzero((h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])) if len(h) > 1 else np.zeros(0, np.int64)
-    skip = np.stack([order[same], order[same + 1]], axis=1)
+    byte = LOWER[words.data[place]]
+    solid = (kind[place] == 1) | ((byte >= 97) & (byte <= 122)) | (byte >= 128)
+    alike = [_alike(doc, h) for h in _keys(byte, owner, solid, kind[place] == 1, len(pick))]
+    skip = np.concatenate(alike)
     points = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
     first = points[words.offsets[:-1]][doc] if len(doc) else np.zeros(0, np.int64)
-    return Tokens(doc, points[starts] - first, points[ends] - first, feats, chain, skip)
+    return Tokens(doc, points[starts] - first, points[ends] - first, feats, chain, skip, len(alike[0]))
 
 
 def _groups(skip: np.ndarray, n: int) -> np.ndarray:
@@ -209,24 +243,32 @@ def _covered(t: Tokens, spans: list[list[tuple[str, int, int]]]) -> np.ndarray:
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in slices(batch["text"]):
+        for a, b in slices(batch["text"], SLICE_BYTES):
             text = batch["text"].slice(a, b - a)
             t = tokens(text)
             y = _covered(t, _base(text))
-            agree = [[len(e), int((y[e[:, 0]] == y[e[:, 1]]).sum())] for e in (t.chain, t.skip)]
-            if len(y):
-                bits = (t.features.astype(np.int64) @ (1 << np.arange(N_FEATURES))) * 2 + y
+            agree = [[len(e), int((y[e[:, 0]] == y[e[:, 1]]).sum())] for e in (t.chain, t.skip[: t.repeats])]
+            unsure = np.zeros(len(y), bool)  # no pattern has found it, but one has found what it is like
+            for a, b in ((0, 1), (1, 0)):
+                unsure[t.skip[y[t.skip[:, a]], b]] = True
+            known = y | ~unsure
+            if known.any():
+                bits = (t.features[known].astype(np.int64) @ (1 << np.arange(N_FEATURES))) * 2 + y[known]
                 u, n = np.unique(bits, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["shape", "n"])
                 yield pa.RecordBatch.from_arrays([pa.array([-1, -2, -3, -4]), pa.array([agree[0][0], agree[0][1], agree[1][0], agree[1][1]])], ["shape", "n"])
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Crf:
-    """Weights from at most sample_docs documents (those with the smallest hashes of their id)."""
-    ids = docs.select(F.col(id_col).alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(sample_docs)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(ids), "i").select("text")
-    counts = rows.mapInArrow(tidy(_labelled), "shape long, n long").groupBy("shape").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shape").limit(SAMPLE_TOKENS).collect()
-    shapes = {r["shape"]: r["n"] for r in counts}
+    """Weights from at most sample_docs documents: those with the smallest hashes of their id.
+
+    Rows without an id, null and empty texts teach nothing; rows that share an id count each.  Without a token to
+    learn from, and for an empty table, the weights are those of a field that labels nothing.
+    """
+    ids = sampled_ids(docs.select(F.col(f"`{id_col}`").alias("i")), sample_docs)
+    rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(ids), "i").select("text")
+    # one row for each shape of tokens: a few hundred, and the counts of edges
+    shapes = {r["shape"]: r["n"] for r in sorted(rows.mapInArrow(tidy(_labelled), "shape long, n long").groupBy("shape").agg(F.sum("n").alias("n")).collect())}
     edges = [shapes.pop(k, 0) for k in (-1, -2, -3, -4)]
     if not shapes:
         return Crf()
@@ -244,34 +286,43 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     return Crf(w, float(bias), *spins)
 
 
-def _finder(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = shared.value
-        for batch in batches:
-            for a, b in slices(batch["_text"]):
-                part = batch.slice(a, b - a)
-                base = _base(part["_text"])
-                t = tokens(part["_text"])
-                odds = propagate(t.features @ crf.weights + crf.bias, t.chain, t.skip, crf)
-                found = [list(x) for x in base]
-                for i in np.flatnonzero((odds > 0) & ~_covered(t, base)):
-                    found[t.doc[i]].append((EXTRA, int(t.start[i]), int(t.end[i])))
-                spans = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in found]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, pa.list_(pa.struct({"kind": pa.string(), "start": pa.int64(), "end": pa.int64()})))], [*part.schema.names, "spans"])
+SPAN = pa.struct({"kind": pa.string(), "start": pa.int64(), "end": pa.int64()})
+SPANS = StructType([StructField("spans", ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())])))])
 
-    return run
+
+def spans_in(text: pa.Array, crf: Crf) -> list[list[tuple[str, int, int]]]:
+    """(kind, start, end) of each text: base spans, then what the field adds."""
+    found = _base(text)
+    t = tokens(text)
+    sure = _covered(t, found)
+    odds = propagate(t.features @ crf.weights + crf.bias + EVIDENCE * sure, t.chain, t.skip, crf)
+    for i in np.flatnonzero((odds > 0) & ~sure):
+        found[t.doc[i]].append((EXTRA, int(t.start[i]), int(t.end[i])))
+    return found
 
 
 def find(docs: DataFrame, crf: Crf, *, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns `keep` and `spans`: (kind, start, end) in code points, kinds as listed, then starts.
 
-    Null and empty texts have no spans; repeated rows are searched each; columns
-    not in keep are dropped, whatever their names.
+    Null and empty texts have no spans; repeated rows are searched each; an empty table gives an empty result;
+    columns not in keep are dropped, and those in keep may have any names (`spans` is replaced).
     """
-    plain = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    found = plain.mapInArrow(tidy(_finder(docs.sparkSession.sparkContext.broadcast(crf))), f"{fields}, spans array<struct<kind:string,start:bigint,end:bigint>>")
-    return found.select(*keep, "spans")
+    plain = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
+    shared = docs.sparkSession.sparkContext.broadcast(crf)
+
+    def searched(inside):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = inside(text_col)
+            for batch in batches:
+                for a, b in slices(batch[at], SLICE_BYTES):
+                    part = batch.slice(a, b - a)
+                    spans = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in spans_in(part[at], shared.value)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, pa.list_(SPAN))], [*part.schema.names, "+spans"])
+
+        return run
+
+    found = with_columns(plain, searched, SPANS)
+    return found.select(*[F.col(f"`{c}`") for c in keep if c != "spans"], "spans")
 
 
 def joined(spans: Column) -> Column:
@@ -279,38 +330,46 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _masker(shared):
-    find_spans = _finder(shared)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in find_spans(batches):
-            texts = []
-            for text, spans in zip(out["_text"].to_pylist(), out["spans"].to_pylist(), strict=True):
-                if spans:
-                    at, pieces = 0, []
-                    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-                        if s["end"] > at:
-                            if s["start"] >= at:
-                                pieces += [text[at : s["start"]], f"<{s['kind'].upper()}>"]
-                            at = s["end"]
-                    text = "".join([*pieces, text[at:]])
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([*out.columns[:-2], pa.array(texts, pa.string())], [*out.schema.names[:-2], "_text"])
-
-    return run
+def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """text with each span replaced by its kind in angle brackets; overlapping spans become the first of them."""
+    at, pieces = 0, []
+    for kind, start, end in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if end > at:
+            if start >= at:
+                pieces += [text[at:start], f"<{kind.upper()}>"]
+            at = end
+    return "".join([*pieces, text[at:]])
 
 
 def mask(docs: DataFrame, crf: Crf, *, text_col: str = "text") -> DataFrame:
-    """docs with each span of the text replaced by its kind in angle brackets; overlapping spans become one."""
+    """docs with each span of the text replaced by its kind in angle brackets; overlapping spans become one.
+
+    Null and empty texts stay; repeated rows are masked each; an empty table stays empty; other columns, whatever
+    their names, stay as they are.
+    """
     names = docs.columns
-    place = {c: "_text" if c == text_col else f"_{k}" for k, c in enumerate(names)}  # no name can clash with ours
-    plain = docs.select(*[F.col(f"`{c}`").alias(place[c]) for c in names if c != text_col], F.col(text_col).alias("_text"))
-    masked = plain.mapInArrow(tidy(_masker(docs.sparkSession.sparkContext.broadcast(crf))), plain.schema)
-    return masked.select(*[F.col(place[c]).alias(c) for c in names])
+    shared = docs.sparkSession.sparkContext.broadcast(crf)
+
+    def replaced(inside):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = inside(text_col)
+            for batch in batches:
+                for a, b in slices(batch[at], SLICE_BYTES):
+                    part = batch.slice(a, b - a)
+                    found = spans_in(part[at], shared.value)
+                    texts = part[at].to_pylist()
+                    for i, spans in enumerate(found):
+                        if spans:
+                            texts[i] = masked(texts[i], spans)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, f"+{text_col}"])
+
+        return run
+
+    return with_columns(docs, replaced, StructType([StructField(text_col, StringType())])).select(*[F.col(f"`{c}`") for c in names])
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Query op5: counts and digests of each document's spans."""
+    """Query op5: counts and digests of each document's spans; an empty table gives an empty result."""
     found = find(docs, fit(docs), keep=("doc_id",))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"] != EXTRA)
