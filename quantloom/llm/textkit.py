@@ -7,7 +7,6 @@ object is made for a word.  All functions treat null texts as empty.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +14,8 @@ import pyarrow.compute  # noqa: F401  pa.compute
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_BASE = 0xD1342543DE82EF95
+#: Another base, for a second hash where 64 bits are not enough.
+OTHER_BASE = 0x2545F4914F6CDD1D
 _WORD_BASE = 0xAF251AF3B0F025B5
 _MASK = (1 << 64) - 1
 
@@ -86,6 +87,7 @@ class Words:
 
     def __init__(self, column: pa.Array, word_bytes: np.ndarray, lower: bool):
         data, self.offsets = utf8(column)
+        self._by_base: dict[int, np.ndarray] = {}
         self.data = data = (LOWER if lower else SAME)[data]
         n = len(data)
         inside = word_bytes[data]
@@ -107,20 +109,21 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.rows)
 
-    @cached_property
-    def _sums(self) -> np.ndarray:
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.multiply(self.data, powers(_BYTE_BASE, len(self.data)), out=sums[1:])
-        sums[1:] += powers(_BYTE_BASE, len(self.data))
-        return np.cumsum(sums, out=sums)
+    def _sums(self, base: int) -> np.ndarray:
+        if base not in self._by_base:
+            sums = np.zeros(len(self.data) + 1, np.uint64)
+            np.multiply(self.data, powers(base, len(self.data)), out=sums[1:])
+            sums[1:] += powers(base, len(self.data))
+            self._by_base[base] = np.cumsum(sums, out=sums)
+        return self._by_base[base]
 
-    def hashes(self, ends: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word, or of its bytes up to `ends`."""
+    def hashes(self, ends: np.ndarray | None = None, base: int = _BYTE_BASE) -> np.ndarray:
+        """A 64-bit hash of each word, or of its bytes up to `ends`; hashes of two bases are independent."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         ends = self.ends if ends is None else ends
-        inverse = powers(pow(_BYTE_BASE, -1, 1 << 64), len(self.data))
-        h = (self._sums[ends] - self._sums[self.starts]) * inverse[self.starts]
+        sums, inverse = self._sums(base), powers(pow(base, -1, 1 << 64), len(self.data))
+        h = (sums[ends] - sums[self.starts]) * inverse[self.starts]
         return mix(h + (ends - self.starts).astype(np.uint64) * _ODD)
 
 
