@@ -1,10 +1,12 @@
 """Secrets: patterns, and assignment-aware lexing of source and configuration.
 
-Texts with a line that holds a sensitive word and then an operator are lexed into names, operators and literals;
-assignments give name-literal pairs, a name on the right side stands for the
-constant it was given before, and quoted pieces joined by `+` are one literal.
-A literal is scored by the parts of its target's name and by how random it
-looks.  All work is per document: nothing is shuffled.
+Texts with a line that holds a sensitive word and then an operator are lexed into
+names, operators and literals; assignments, with or without a type, give
+name-literal pairs.  A name on the right side stands for the constant it was
+given before, and pieces joined by `+`, names among them, are one literal with
+several places; calls, templates and unknown names give no literal.  A literal is
+scored by the parts of its target's name and by how random it looks.  All work is
+per document: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pii import joined
+from .pii import SPAN, SPANS, joined
+from .shared import with_columns
 from .textkit import slices
 
 #: The base kinds, in the order of their listing.
@@ -30,9 +33,14 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are taken whole, so shorter ones need
 EXTRA = "literal"
 
 #: Parts of names and how much they say.
-SENSITIVE = {"password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pass": 2.0, "pwd": 2.5, "secret": 3.0, "token": 2.5, "credential": 2.5, "credentials": 2.5, "cred": 2.0, "auth": 1.5, "bearer": 2.0, "private": 1.5, "key": 1.5, "apikey": 3.0, "api": 0.5, "access": 0.5, "signature": 1.0, "salt": 1.5}
-HARMLESS = {"author": -2.0, "keyboard": -2.0, "name": -1.0, "file": -1.0, "path": -1.0, "url": -1.0, "type": -1.0, "length": -1.5, "count": -1.5, "public": -1.5}
+SENSITIVE = {
+    "password": 3.0, "passwd": 3.0, "passphrase": 3.0, "passcode": 3.0, "pass": 2.0, "pwd": 2.5, "secret": 3.0, "token": 2.5, "credential": 2.5, "credentials": 2.5, "cred": 2.0, "creds": 2.0,
+    "auth": 1.5, "bearer": 2.0, "private": 1.5, "key": 1.5, "apikey": 3.0, "jwt": 2.5, "otp": 2.0, "cookie": 1.5, "webhook": 1.0, "signing": 1.0, "encryption": 1.0, "api": 0.5, "access": 0.5, "signature": 1.0, "salt": 1.5,
+}
+HARMLESS = {"author": -2.0, "keyboard": -2.0, "name": -1.0, "file": -1.0, "path": -1.0, "url": -1.0, "type": -1.0, "length": -1.5, "count": -1.5, "public": -1.5, "id": -0.5, "field": -1.0, "header": -1.0, "label": -1.5, "policy": -1.0, "expiry": -1.5, "ttl": -1.5, "max": -1.0, "min": -1.0, "limit": -1.5}
 THRESHOLD = 3.5
+#: What stands for a secret but is none.
+PLACEHOLDER = re.compile(r"(?i)\$\{.*\}|\$\w+|<.*>|\{\{.*\}\}|%\(.*\)s|[x*.#]+|none|null|nil|true|false|change.?me|example|todo|your\W.*|str|string|int|bytes|any|optional")
 
 #: A sensitive word, its letters together or apart as name_score() joins them, and an operator after it in its line: all that the lexer could score passes.
 SENSITIVE_LINE = "(?i)(" + "|".join("[^A-Za-z0-9\\n]*".join(k) for k in SENSITIVE) + r")[^\n]*[=:]"
@@ -44,8 +52,12 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 def name_score(name: str) -> float:
+    """The most telling part of a name, half of what the others say, less what speaks against it."""
     parts = [p.lower() for p in _PARTS.findall(name)]
-    return max((SENSITIVE.get(p, 0.0) for p in [*parts, "".join(parts)]), default=0.0) + sum(HARMLESS.get(p, 0.0) for p in parts)
+    joined = [a + b for a, b in zip(parts, parts[1:], strict=False)] + ["".join(parts)]
+    best = max((SENSITIVE.get(p, 0.0) for p in [*parts, *joined]), default=0.0)
+    others = sum(SENSITIVE.get(p, 0.0) for p in parts) - best
+    return best + max(others, 0.0) / 2 + sum(HARMLESS.get(p, 0.0) for p in parts)
 
 
 def randomness(literal: str) -> float:
@@ -56,34 +68,98 @@ def randomness(literal: str) -> float:
     return min(entropy / 4, 1.0) * (n >= 6) + 0.5 * (kinds > 1) + 0.5 * (kinds > 2)
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, literal, start, end) of each assignment; a copied constant has the place of its literal."""
-    out, known = [], {}
-    toks = [(m.lastgroup, m[0], m.start(), m.end()) for m in _LEX.finditer(text)]
-    for i, (kind, op, _, _) in enumerate(toks):
-        if kind != "op" or op not in ("=", ":", ":=", "=>") or not i or i + 1 == len(toks):
-            continue
-        left = toks[i - 1]
-        if left[0] == "end" and left[1] == "]" and i >= 3:  # d["name"] = ...
-            left = toks[i - 2]
-        if left[0] not in ("word", "quote"):
+Token = tuple[str, str, int, int]
+#: A literal: its characters, the places they come from, whether all were quoted.
+Literal = tuple[str, list[tuple[int, int]], bool]
+
+
+def _opening(toks: list[Token], i: int) -> int:
+    """The place of the bracket that the one at i closes in its line; -1 without one."""
+    depth = 0
+    while i >= 0 and toks[i][1] != "\n":
+        depth += (toks[i][1] == "]") - (toks[i][1] == "[")
+        if not depth:
+            return i
+        i -= 1
+    return -1
+
+
+def _target(toks: list[Token], i: int) -> str | None:
+    """The name that the operator at i gives a value: before it, before its type, or inside its last brackets."""
+    j = i - 1
+    typed = j  # first token of what may be a type
+    if toks[j][1] == "]":
+        typed = _opening(toks, j) - 1
+    if toks[i][1] == "=" and typed >= 2 and toks[typed][0] == "word" and toks[typed - 1][1] == ":" and toks[typed - 2][0] in ("word", "quote"):
+        j = typed - 2
+    elif toks[j][1] == "]":
+        j -= 1
+    return toks[j][1].strip("\"'") if j >= 0 and toks[j][0] in ("word", "quote") else None
+
+
+def _annotates(toks: list[Token], i: int) -> bool:
+    """Whether the colon at i begins a type that an `=` follows in its line."""
+    if toks[i][1] != ":" or i + 2 >= len(toks) or toks[i + 1][0] != "word":
+        return False
+    j = i + 2
+    if toks[j][1] == "[":
+        while j < len(toks) and toks[j][1] not in ("]", "\n"):
+            j += 1
+        j += 1
+    return j < len(toks) and toks[j][1] == "="
+
+
+def _value(toks: list[Token], i: int, known: dict[str, Literal]) -> Literal | None:
+    """The literal at i: quoted pieces and known names joined by `+`, or one bare word; None for calls, templates and unknown names."""
+    parts: list[Literal] = []
+    while i < len(toks):
+        kind, value, start, end = toks[i]
+        after = toks[i + 1] if i + 1 < len(toks) else ("end", "\n", end, end)
+        if kind == "word" and after[0] == "quote" and after[2] == end and value.lower() in ("r", "b", "u", "f", "br", "rb", "fr", "rf"):
+            if "f" in value.lower() and "{" in after[1]:
+                return None
+            i += 1
             continue
-        name = left[1].strip("\"'")
-        kind, value, start, end = toks[i + 1]
         if kind == "quote":
-            value, start, end, j = value[1:-1], start + 1, end - 1, i + 2
-            while j + 1 < len(toks) and toks[j][0] == "plus" and toks[j + 1][0] == "quote":
-                value, end, j = value + toks[j + 1][1][1:-1], toks[j + 1][3] - 1, j + 2
-        elif kind != "word":
+            parts.append((value[1:-1], [(start + 1, end - 1)], True))
+        elif kind == "word" and value in known:
+            parts.append(known[value])
+        elif kind == "word" and "+" in value and all(x in known for x in value.split("+")):
+            parts += [known[x] for x in value.split("+")]
+        elif kind == "word" and not parts and after[0] != "plus" and after[1] not in ("(", "["):
+            parts.append((value, [(start, end)], False))
+        else:
+            return None
+        if after[0] != "plus":
+            break
+        i += 2
+    return ("".join(x[0] for x in parts), [p for x in parts for p in x[1]], all(x[2] for x in parts)) if parts else None
+
+
+def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]], bool]]:
+    """(name, literal, places, quoted) of each assignment; a copied constant has the places of its literals."""
+    out, known = [], {}
+    toks = [(m.lastgroup, m[0], m.start(), m.end()) for m in _LEX.finditer(text)]
+    for i in range(1, len(toks) - 1):
+        if toks[i][0] != "op" or toks[i][1] not in ("=", ":", ":=", "=>") or _annotates(toks, i):
             continue
-        elif value in known:
-            value, start, end = known[value]
-        known[name] = (value, start, end)
-        if value:
-            out.append((name, value, start, end))
+        name = _target(toks, i)
+        literal = _value(toks, i + 1, known) if name else None
+        if literal:
+            known[name] = literal
+            if literal[0]:
+                out.append((name, *literal))
     return out
 
 
+def literal_score(name: str, literal: str, quoted: bool) -> float:
+    """How much an assignment looks like a secret's; bare words without a digit may be names."""
+    said = name_score(name)
+    if said <= 0 or PLACEHOLDER.fullmatch(literal) or len(literal) < 4:
+        return 0.0
+    return said + randomness(literal) - (0.0 if quoted or any(c.isdigit() for c in literal) else 2.0)
+
+
 def spans_of(text: str, needs: tuple[bool, ...] = (True,) * 4) -> list[tuple[str, int, int]]:
     """Base spans and added ones, by start, then kind as listed."""
     out = []
@@ -95,7 +171,7 @@ def spans_of(text: str, needs: tuple[bool, ...] = (True,) * 4) -> list[tuple[str
         out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if needs[3]:
         base = sorted((a, b) for _, a, b in out)
-        added = {(s, e) for name, value, s, e in pairs(text) if (score := name_score(name)) > 0 and score + randomness(value) >= THRESHOLD}
+        added = {place for name, literal, places, quoted in pairs(text) if literal_score(name, literal, quoted) >= THRESHOLD for place in places}
         for s, e in sorted(added):
             if not any(a < e and s < b for a, b in base):
                 out.append((EXTRA, s, e))
@@ -103,29 +179,33 @@ def spans_of(text: str, needs: tuple[bool, ...] = (True,) * 4) -> list[tuple[str
     return sorted(out, key=lambda x: (x[1], order[x[0]]))
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b in slices(batch["_text"]):
-            part = batch.slice(a, b - a)
-            text = part["_text"].cast(pa.large_string()).fill_null("")
-            needs = zip(*[pc.match_substring_regex(text, n).to_pylist() for n in NEEDS], strict=True)
-            spans = [[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(text[i].as_py(), n)] if any(n) else [] for i, n in enumerate(needs)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(spans, pa.list_(pa.struct({"kind": pa.string(), "start": pa.int64(), "end": pa.int64()})))], [*part.schema.names[:-1], "spans"])
-
-
 def find(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns `keep` and `spans`: (kind, start, end) in code points, by start, then kind as listed.
 
-    Null and empty texts have no spans; repeated rows are searched each; columns
-    not in keep are dropped, whatever their names.
+    Null and empty texts have no spans; repeated rows are searched each; an empty table gives an empty result;
+    columns not in keep are dropped, and those in keep may have any names (`spans` is replaced).
     """
-    plain = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema.fields[:-1])
-    return plain.mapInArrow(_find, f"{fields}spans array<struct<kind:string,start:bigint,end:bigint>>")
+    plain = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
+
+    def searched(inside):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = inside(text_col)
+            for batch in batches:
+                for a, b in slices(batch[at]):
+                    part = batch.slice(a, b - a)
+                    text = part[at].cast(pa.large_string()).fill_null("")
+                    needs = zip(*[pc.match_substring_regex(text, n).to_pylist() for n in NEEDS], strict=True)
+                    spans = [[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(text[i].as_py(), n)] if any(n) else [] for i, n in enumerate(needs)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, pa.list_(SPAN))], [*part.schema.names, "+spans"])
+
+        return run
+
+    found = with_columns(plain, searched, SPANS)
+    return found.select(*[F.col(f"`{c}`") for c in keep if c != "spans"], "spans")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Query op9: counts and digests of each document's spans."""
+    """Query op9: counts and digests of each document's spans; an empty table gives an empty result."""
     found = find(docs, keep=("doc_id",))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"] != EXTRA)
