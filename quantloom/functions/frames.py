@@ -34,10 +34,16 @@ def roll_corr(x: str, y: str, n: int, least: int | None = None) -> str:
     return f"(case when count({a}) {over} >= {least or n} then covar_samp({x}, {y}) {over} / {spread} end)"
 
 
+def product(x: str, over: str) -> str:
+    """The product of x over a frame or group: of sizes by logarithms, with signs counted; 0 where one is 0."""
+    odd = f"count(case when {x} < 0 then 1 end) {over}"
+    return f"(case when count(case when {x} = 0 then 1 end) {over} > 0 then 0e0 else exp(sum(ln(nullif(abs({x}), 0))) {over}) * (1 - 2 * ({odd} % 2)) end)"
+
+
 def compound(x: str, n: int, lag: int = 0) -> str:
-    """Compounded return over n rows; returns are above -1."""
+    """Compounded return over n rows that all have one; -1 from a total loss on."""
     over = f"over {frame(n, lag)}"
-    return f"(case when count({x}) {over} >= {n} then exp(sum(ln(1 + {x})) {over}) - 1 end)"
+    return f"(case when count({x}) {over} >= {n} then {product(f'(1 + {x})', over)} - 1 end)"
 
 
 def back(x: str, n: int = 1) -> str:

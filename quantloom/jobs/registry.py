@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,25 +11,21 @@ from ..functions.frames import compound, cs_zscore
 from ..operators import evaluate, factors, joins, performance, portfolio, screen
 from ..sources.panels import FIELDS, panel, panel_sql
 from ..streaming import ticks
+from .catalog import ORACLES, QUERIES, register
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "ic_summary_momentum"
-COLUMNS = ("asset", "date", *FIELDS, "ret", "mkt")
+COLUMNS = ("asset", "date", *FIELDS, "price", "ret", "mkt")
+#: Suppliers that make an asset of the weekly panel: with four, 99.9 % of its cells have a close, so that frames of 20 rows are whole.
+PER = 4
 
 
-def register(name: str, query: Query, sql: str) -> None:
-    QUERIES[name], ORACLES[name] = query, sql
+def _factor(unit: str, per: int, stages: factors.Stages, spark: SparkSession, d: str) -> DataFrame:
+    return factors.compute(panel(spark, d, unit, per), stages)
 
 
-def _factor(unit: str, stages: factors.Stages, spark: SparkSession, d: str) -> DataFrame:
-    return factors.compute(panel(spark, d, unit), stages)
-
-
-for _unit, _family in (("month", factors.MONTHLY), ("week", factors.DAILY), ("week", factors.ALPHA), ("week", {f"formula_{k}": v for k, v in factors.FORMULAS.items()})):
+for _unit, _per, _family in (("month", 1, factors.MONTHLY), ("week", PER, factors.DAILY), ("week", PER, factors.ALPHA), ("week", PER, {f"formula_{k}": v for k, v in factors.FORMULAS.items()})):
     for _name, _stages in _family.items():
-        register(f"factor_{_name}", partial(_factor, _unit, _stages), factors.compute_sql(panel_sql(_unit), COLUMNS, _stages))
+        register(f"factor_{_name}", partial(_factor, _unit, _per, _stages), factors.compute_sql(panel_sql(_unit, _per), COLUMNS, factors.SQL_STAGES.get(_name, _stages)))
 
 for _unit in ("month", "week"):
     _show = ["asset", "date", *[f"round({c}, 11) as {c}" for c in (*FIELDS, "ret", "mkt")]]
@@ -44,9 +39,9 @@ _SIGNAL_SQL = factors.compute_sql(panel_sql("month"), COLUMNS, _MOM)
 
 
 def _study(spark: SparkSession, d: str, lags: tuple[int, ...] = (1,)) -> DataFrame:
-    """asset, date, signal and the forward returns fwd_L."""
-    forward = panel(spark, d, "month").selectExpr("asset", "date", *[f"round({compound('ret', k, -k)}, 9) as fwd_{k}" for k in lags])
-    return factors.compute(panel(spark, d, "month"), _MOM).join(forward, ["asset", "date"])
+    """asset, date, value, signal and the forward returns fwd_L, of one panel."""
+    ahead = panel(spark, d, "month").selectExpr("*", *[f"round({compound('ret', k, -k)}, 9) as fwd_{k}" for k in lags])
+    return factors.compute(ahead, _MOM, keep=tuple(f"fwd_{k}" for k in lags))
 
 
 def _study_sql(lags: tuple[int, ...] = (1,)) -> str:
@@ -137,7 +132,7 @@ register(
     "interval_orders",
     _intervals,
     """with o as (select o_orderkey, o_custkey as customer, o_orderdate::date as since, o_orderpriority as priority from orders),
-    v as (select *, coalesce(lead(since) over (partition by customer order by since, o_orderkey) - 1, date '2099-12-31') as until from o)
+    v as (select *, coalesce(lead(since) over (partition by customer order by since, o_orderkey) - 1, date '9999-12-31') as until from o)
     select l_orderkey, l_linenumber, l_shipdate::date as shipped, v.* from lineitem join o on l_orderkey = o.o_orderkey join v on v.customer = o.customer and l_shipdate::date between v.since and v.until""",
 )
 
@@ -164,3 +159,5 @@ register("blended_signal", lambda spark, d: screen.blend(_tall(spark, d), _BLEND
 register("residual_returns", lambda spark, d: screen.residual(panel(spark, d, "month").selectExpr(*_PAIRS)), screen.residual_sql(f"select {', '.join(_PAIRS)} from ({panel_sql('month')})"))
 register("monthly_movers", lambda spark, d: screen.movers(panel(spark, d, "month"), 5), screen.movers_sql(panel_sql("month"), 5))
 register("volume_anomalies", lambda spark, d: screen.anomalies(panel(spark, d, "week").selectExpr(*_METRIC)), screen.anomalies_sql(f"select {', '.join(_METRIC)} from ({panel_sql('week')})"))
+
+from . import cleaning_queries, evaluation_queries, factor_queries, regime_queries, risk_queries, signal_queries  # noqa: E402, F401  they register themselves

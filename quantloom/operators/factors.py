@@ -29,7 +29,7 @@ MONTHLY: dict[str, Stages] = {
     "downside_vol": [{"d": "least(ret, 0e0)", "r": "ret"}, {"d": "case when r is not null then d end"}, {"value": f"{roll('stddev_samp', 'd', 12, 1)} * sqrt(12e0)"}],
     "max_return_12m": _v(roll("max", "ret", 12, 1)),
     "vol_term_structure": _v(ratio(roll("stddev_samp", "ret", 3, 1), roll("stddev_samp", "ret", 12, 1))),
-    "skewness_12m": [{"a": roll("avg", "ret", 12, 1), "b": roll("avg", "ret * ret", 12, 1), "c": roll("avg", "ret * ret * ret", 12, 1)}, {"v": "nullif(round(b - a * a, 12), 0)"}, {"value": "round((c - 3 * a * b + 2 * a * a * a) / power(case when v > 0 then v end, 1.5e0) * sqrt(132e0) / 10, 5)"}],
+    "skewness_12m": [{"k": f"count(ret) over {frame(12, 1)}", "g": f"skewness(ret) over {frame(12, 1)}"}, {"value": "round(case when k >= 12 then g * sqrt(132e0) / 10 end, 6)"}],
     "beta_market": [{"c": f"case when count(*) over {_PAST} >= 36 and count(case when mkt is not null then ret end) over {_PAST} >= 18 then covar_samp(ret, mkt) over {_PAST} end", "v": f"var_pop(mkt) over {_PAST}"}, {"value": "c / nullif(case when v >= 1e-10 then v end, 0)"}],
     "vol_momentum": [{"s": roll("stddev_samp", "ret", 12, 1)}, {"value": f"{ratio('s', back('s', 3))} - 1"}],
 }
@@ -41,32 +41,32 @@ DAILY: dict[str, Stages] = {
     "momentum_5d": _v(f"{ratio('close', back('close', 5))} - 1"),
     "momentum_20d": _v(f"{ratio('close', back('close', 20))} - 1"),
     "momentum_reversal_5d": _v(f"-{roll('sum', 'ret', 5)}"),
-    "volume_surge": _v(ratio("volume", roll("avg", "volume", 20, least=10))),
+    "volume_surge": _v(ratio("volume", roll("avg", "volume", 20))),
     "dollar_volume_rank": _v("volume * close"),
-    "volume_price_trend": [{"x": f"sign(close - {back('close')}) * volume"}, {"value": roll("sum", "x", 20, least=10)}],
+    "volume_price_trend": [{"x": f"sign(close - {back('close')}) * volume"}, {"value": roll("sum", "x", 20)}],
     "vwap_deviation": _v(ratio("close - vwap", "vwap")),
-    "vwap_reversion": [{"x": ratio("close - vwap", "vwap")}, {"value": f"-{roll('sum', 'x', 5, least=3)}"}],
+    "vwap_reversion": [{"x": ratio("close - vwap", "vwap")}, {"value": f"-{roll('sum', 'x', 5)}"}],
     "realized_vol_20d": _v(f"-{roll('stddev_samp', 'ret', 20, least=15)} * sqrt(252e0)"),
     "vol_breakout": [{"x": "abs(ret)"}, {"value": ratio("x", roll("avg", "x", 20))}],
-    "vol_breakout_hl": [{"x": ratio("high - low", "close")}, {"value": ratio("x", roll("avg", "x", 20, least=10))}],
+    "vol_breakout_hl": [{"x": ratio("high - low", "close")}, {"value": ratio("x", roll("avg", "x", 20))}],
     "overnight_gap": _v(f"{ratio('open_', back('close'))} - 1"),
     "amihud_illiquidity": [{"x": ratio("abs(ret)", "volume * close")}, {"value": f"-{roll('avg', 'x', 20, least=10)}"}],
     "trade_intensity": _v(ratio("volume", "trade_count")),
     "high_low_spread": _v(f"-{ratio('high - low', 'close')}"),
-    "order_flow_imbalance": [{"x": f"volume * (2 * greatest(least({_RANGE}, 1e0), 0e0) - 1)", "r": _RANGE}, {"x": "case when r is not null then x end"}, {"value": roll("sum", "x", 10, least=5)}],
-    "realized_spread": [{"x": ratio("2 * close - high - low", "close")}, {"value": roll("avg", "x", 20, least=10)}],
-    "overnight_return": [{"x": f"{ratio('open_', back('close'))} - 1"}, {"value": roll("sum", "x", 20, least=10)}],
-    "intraday_return": [{"x": f"{ratio('close', 'open_')} - 1"}, {"value": roll("sum", "x", 20, least=10)}],
-    "overnight_intraday_divergence": [{"x": f"{ratio('open_', back('close'))} - {ratio('close', 'open_')}"}, {"value": roll("sum", "x", 20, least=10)}],
-    "price_volume_correlation": _v(roll_corr("ret", "volume", 20, 10)),
-    "volume_autocorrelation": [{"x": back("volume")}, {"value": roll_corr("volume", "x", 20, 10)}],
-    "abnormal_volume_return": [{"m": roll("avg", "volume", 20, least=10)}, {"x": "case when ret is null then null when volume > 2 * m then ret else 0e0 end"}, {"value": roll("sum", "x", 20, least=10)}],
-    "garman_klass_vol": [{"x": f"0.5e0 * power(ln({ratio('high', 'low')}), 2) - (2 * ln(2e0) - 1) * power(ln({ratio('close', 'open_')}), 2)"}, {"m": roll("avg", "x", 20, least=10)}, {"value": "case when m >= 0 then 0e0 - sqrt(greatest(m, 0e0)) end"}],
-    "tick_size_clustering": [{"c": "round(close, 6) % 1"}, {"x": "case when c <= 0.02 or c >= 0.98 or abs(c - 0.5) <= 0.02 then 1e0 when c is not null then 0e0 end"}, {"value": f"0e0 - {roll('avg', 'x', 20, least=10)}"}],
+    "order_flow_imbalance": [{"x": f"volume * (2 * greatest(least({_RANGE}, 1e0), 0e0) - 1)", "r": _RANGE}, {"x": "case when r is not null then x end"}, {"value": roll("sum", "x", 10)}],
+    "realized_spread": [{"x": ratio("2 * close - high - low", "close")}, {"value": roll("avg", "x", 20)}],
+    "overnight_return": [{"x": f"{ratio('open_', back('close'))} - 1"}, {"value": roll("sum", "x", 20)}],
+    "intraday_return": [{"x": f"{ratio('close', 'open_')} - 1"}, {"value": roll("sum", "x", 20)}],
+    "overnight_intraday_divergence": [{"x": f"{ratio('open_', back('close'))} - {ratio('close', 'open_')}"}, {"value": roll("sum", "x", 20)}],
+    "price_volume_correlation": _v(roll_corr("ret", "volume", 20)),
+    "volume_autocorrelation": [{"x": back("volume")}, {"value": roll_corr("volume", "x", 20)}],
+    "abnormal_volume_return": [{"m": roll("avg", "volume", 20)}, {"x": "case when ret is null then null when volume > 2 * m then ret else 0e0 end"}, {"value": roll("sum", "x", 20)}],
+    "garman_klass_vol": [{"x": f"0.5e0 * power(ln({ratio('high', 'low')}), 2) - (2 * ln(2e0) - 1) * power(ln({ratio('close', 'open_')}), 2)"}, {"m": roll("avg", "x", 20)}, {"value": "case when m >= 0 then 0e0 - sqrt(greatest(m, 0e0)) end"}],
+    "tick_size_clustering": [{"c": "round(close, 6) % 1"}, {"x": "case when c < 0.02 or c > 0.98 or abs(c - 0.5) < 0.02 then 1e0 else 0e0 end"}, {"value": f"0e0 - {roll('avg', 'x', 20)}"}],
     "kyle_lambda": [{"whole": "case when ret is not null and volume is not null then 1 else 0 end"}, {"value": f"case when whole = 1 and count(*) over {_WHOLE} >= 20 then 0e0 - covar_pop(abs(ret), volume) over {_WHOLE} / nullif(var_pop(volume) over {_WHOLE}, 0) end"}],
-    "parkinson_vol": [{"x": f"power(ln({ratio('high', 'low')}), 2)"}, {"value": f"-sqrt({roll('avg', 'x', 20, least=10)} / (4 * ln(2e0)))"}],
+    "parkinson_vol": [{"x": f"power(ln({ratio('high', 'low')}), 2)"}, {"value": f"-sqrt({roll('avg', 'x', 20)} / (4 * ln(2e0)))"}],
     "vol_of_vol": [{"s": roll("stddev_samp", "ret", 10)}, {"value": f"-{roll('stddev_samp', 's', 60)}"}],
-    "range_expansion": [{"x": "high - low"}, {"value": f"{ratio('x', roll('avg', 'x', 20, least=10))} * ({_RANGE} * 2 - 1)"}],
+    "range_expansion": [{"x": "high - low"}, {"value": f"{ratio('x', roll('avg', 'x', 20))} * ({_RANGE} * 2 - 1)"}],
     "relative_strength_vs_market": [{"x": "ret - mkt"}, {"value": roll("sum", "x", 20)}],
     "beta_adjusted_momentum": [{"c": roll2("covar_samp", "ret", "mkt", 60), "v": roll("var_samp", "mkt", 60)}, {"x": f"ret - {ratio('c', 'v')} * mkt"}, {"value": roll("sum", "x", 60)}],
 }
@@ -75,12 +75,12 @@ ALPHA: dict[str, Stages] = {
     "liquidity_shock": [{"x": "volume * close"}, {"value": ratio(roll("avg", "x", 5, least=2), roll("avg", "x", 60, least=30))}],
     "higher_highs": [{"p": back("high")}, {"x": "case when high > p then 1e0 else 0e0 end"}, {"value": roll("sum", "x", 20, least=10)}],
     "lower_lows": [{"p": back("low")}, {"x": "case when low < p then 1e0 else 0e0 end"}, {"value": f"-{roll('sum', 'x', 20, least=10)}"}],
-    "price_acceleration": _v(f"({ratio('close', back('close', 5))} - 1) - ({ratio('close', back('close', 20))} - 1) * 0.25e0"),
+    "price_acceleration": _v(f"({ratio('price', back('price', 5))} - 1) - ({ratio('price', back('price', 20))} - 1) * 0.25e0"),
     "support_distance": _v(f"-{ratio('close - ' + roll('min', 'low', 60, least=30), 'close')}"),
     "resistance_distance": _v(f"-{ratio(roll('max', 'high', 60, least=30) + ' - close', 'close')}"),
     "candlestick_body": _v(ratio("abs(close - open_)", "high - low")),
     "autocorrelation": [{"x": back("ret")}, {"value": roll_corr("ret", "x", 20, 10)}],
-    "variance_ratio": [{"s": roll("sum", "ret", 5), "v": roll("var_samp", "ret", 5)}, {"value": f"{ratio(roll('var_samp', 's', 20, least=10), 'v * 4')} - 1"}],
+    "variance_ratio": [{"s": roll("sum", "ret", 20, least=10), "v": roll("var_samp", "ret", 5, least=2)}, {"value": f"{ratio(roll('var_samp', 's', 20, least=10), 'v * 4')} - 1"}],
     "co_movement": _v(f"-{roll_corr('ret', 'mkt', 20, 10)}"),
     "lead_lag": [{"x": "lead(mkt, 1) over (partition by asset order by date)"}, {"value": roll_corr("ret", "x", 20, 10)}],
     "frog_in_pan": [{"u": "case when ret > 0 then 1e0 when ret is not null then 0e0 end", "d": "case when ret < 0 then 1e0 when ret is not null then 0e0 end"}, {"value": f"sign({roll('sum', 'ret', 60, least=30)}) * ({roll('avg', 'u', 60, least=30)} - {roll('avg', 'd', 60, least=30)})"}],
@@ -109,12 +109,16 @@ FORMULAS: dict[str, Stages] = {
 }
 
 
-def compute(panel: DataFrame, stages: Stages, least: int = 10) -> DataFrame:
-    """asset, date, value (rounded, so that ties are ties) and signal, its rank in [-1, 1]."""
+#: Stages whose SQL differs: DuckDB's skewness is corrected for the sample's size already.
+SQL_STAGES: dict[str, Stages] = {"skewness_12m": [MONTHLY["skewness_12m"][0], {"value": "round(case when k >= 12 then g end, 6)"}]}
+
+
+def compute(panel: DataFrame, stages: Stages, least: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
+    """asset, date, value (rounded, so that ties are ties) and signal, its rank in [-1, 1]; and columns to keep."""
     for stage in stages:
         panel = panel.selectExpr(*[c for c in panel.columns if c not in stage], *[f"{x} as {name}" for name, x in stage.items()])
-    rounded = panel.selectExpr("asset", "date", "round(cast(value as double), 9) as value")
-    return rounded.selectExpr("asset", "date", "value", f"round({cs_rank('value', least)}, 9) as signal")
+    rounded = panel.selectExpr("asset", "date", *keep, "round(cast(value as double), 9) as value")
+    return rounded.selectExpr("asset", "date", *keep, "value", f"round({cs_rank('value', least)}, 9) as signal")
 
 
 def compute_sql(panel_sql: str, columns: tuple[str, ...], stages: Stages, least: int = 10) -> str:

@@ -26,15 +26,19 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, values: list[
 
 
 def validity(facts: DataFrame, key: str, start: str, tie: str) -> DataFrame:
-    """facts with `until`, the last day before the key's next row; open at the end."""
+    """facts with `until`, the last day before the key's next row; the end of time for the last one."""
     after = F.lead(start).over(Window.partitionBy(key).orderBy(start, tie))
-    return facts.withColumn("until", F.coalesce(F.date_sub(after, 1), F.lit("2099-12-31").cast("date")))
+    return facts.withColumn("until", F.coalesce(F.date_sub(after, 1), F.lit("9999-12-31").cast("date")))
 
 
 def interval_join(facts: DataFrame, periods: DataFrame, key: str, at: str, start: str, until: str) -> DataFrame:
     """Facts with each period of their key that holds their date; both ends belong to it.
 
-    Years are part of the equality, so a key with many rows is spread over its years.
+    Years are part of the equality, so a key with many rows is spread over its years.  A period is repeated for the
+    years in which facts lie, which are asked for first: an open end costs no more than the facts' span.
     """
-    spread = periods.where(f"{start} <= {until}").withColumn("_year", F.explode(F.sequence(F.year(start), F.least(F.year(until), F.lit(2099)))))
+    first, last = facts.agg(F.min(F.year(at)), F.max(F.year(at))).first()
+    years = F.sequence(F.greatest(F.year(start), F.lit(first)), F.least(F.year(until), F.lit(last)))
+    meets = (F.year(start) <= F.lit(last)) & (F.year(until) >= F.lit(first)) if first is not None else F.lit(False)
+    spread = periods.where(F.expr(f"{start} <= {until}") & meets).withColumn("_year", F.explode(years))
     return facts.withColumn("_year", F.year(at)).join(spread, [key, "_year"]).where(F.col(at).between(F.col(start), F.col(until))).drop("_year")
