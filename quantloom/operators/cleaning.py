@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_DATE = Window.partitionBy("asset").orderBy("date")
+
+def by_date():
+    return Window.partitionBy("asset").orderBy("date")
 
 
 def adjusted_price(price: Column, factor: Column) -> Column:
@@ -113,7 +115,7 @@ def from_market_symbol(symbol: Column) -> Column:
 
 def average_dollar_volume(panel: DataFrame, n: int = 20) -> DataFrame:
     """asset, date, adv: the mean of volume times price over n rows that all have both."""
-    over, x = BY_DATE.rowsBetween(1 - n, 0), F.col("volume") * F.col("close")
+    over, x = by_date().rowsBetween(1 - n, 0), F.col("volume") * F.col("close")
     return panel.select("asset", "date", F.when(F.count(x).over(over) >= n, F.avg(x).over(over)).alias("adv"))
 
 
@@ -144,10 +146,10 @@ def adjust_for_actions(bars: DataFrame, actions: DataFrame) -> DataFrame:
     """
     events = actions.groupBy("asset", F.col("ex_date").alias("date")).agg(F.product(F.coalesce("ratio", F.lit(1.0))).alias("_ratio"), F.sum(F.coalesce("cash", F.lit(0.0))).alias("_cash"))
     both = bars.join(events, ["asset", "date"], "full")
-    ahead = BY_DATE.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = by_date().rowsBetween(Window.unboundedPreceding, -1)
     before = F.last("close", ignorenulls=True).over(ahead)
     factor = F.coalesce((1 - F.coalesce(F.try_divide(F.col("_cash"), before), F.lit(0.0))) / F.col("_ratio"), F.lit(1.0))
-    later = BY_DATE.rowsBetween(1, Window.unboundedFollowing)
+    later = by_date().rowsBetween(1, Window.unboundedFollowing)
     found = both.withColumn("_factor", factor).withColumn("_factor", F.coalesce(F.product("_factor").over(later), F.lit(1.0)))
     return found.where("close is not null").select(*bars.columns, (F.col("close") * F.col("_factor")).alias("adj_close"))
 
@@ -162,6 +164,6 @@ def book_summary(books: DataFrame) -> DataFrame:
 
 def default_features(panel: DataFrame, n: int = 20) -> DataFrame:
     """Return, its spread and the price's change over n rows; 0 where they are missing."""
-    over = BY_DATE.rowsBetween(1 - n, 0)
+    over = by_date().rowsBetween(1 - n, 0)
     vol = F.when(F.count("ret").over(over) >= n, F.stddev_samp("ret").over(over))
-    return panel.select("asset", "date", *[F.coalesce(x, F.lit(0.0)).alias(c) for c, x in (("ret", F.col("ret")), ("vol", vol), ("momentum", F.try_divide(F.col("close"), F.lag("close", n).over(BY_DATE)) - 1))])
+    return panel.select("asset", "date", *[F.coalesce(x, F.lit(0.0)).alias(c) for c, x in (("ret", F.col("ret")), ("vol", vol), ("momentum", F.try_divide(F.col("close"), F.lag("close", n).over(by_date())) - 1))])

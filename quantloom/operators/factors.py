@@ -7,6 +7,8 @@ partitioned by asset, so a factor costs one exchange by asset and one by date.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 from ..functions.frames import back, compound, cs_rank, cs_share, frame, ratio, roll, roll2, roll_corr
@@ -129,3 +131,45 @@ def compute_sql(panel_sql: str, columns: tuple[str, ...], stages: Stages, least:
         cols += list(stage)
     q = f"select asset, date, round(cast(value as double), 9) as value from ({q})"
     return f"select asset, date, value, round({cs_rank('value', least)}, 9) as signal from ({q})"
+
+
+#: Members of the composites by family, with signs and weights of 1.
+FAMILIES: dict[str, tuple[str, ...]] = {
+    "daily": ("momentum_5d", "momentum_20d", "momentum_reversal_5d", "volume_surge", "dollar_volume_rank", "volume_price_trend", "vwap_deviation", "vwap_reversion", "realized_vol_20d", "vol_breakout", "vol_breakout_hl", "overnight_gap", "amihud_illiquidity", "trade_intensity", "high_low_spread"),
+    "advanced": ("kyle_lambda", "order_flow_imbalance", "realized_spread", "tick_size_clustering", "overnight_return", "intraday_return", "overnight_intraday_divergence", "volume_autocorrelation", "price_volume_correlation", "abnormal_volume_return", "garman_klass_vol", "parkinson_vol", "vol_of_vol", "range_expansion", "relative_strength_vs_market", "beta_adjusted_momentum"),
+    "liquidity": ("roll_spread", "liquidity_shock"),
+    "trend": ("higher_highs", "lower_lows", "price_acceleration", "support_distance", "resistance_distance", "candlestick_body"),
+    "statistics": ("autocorrelation", "variance_ratio"),
+    "network": ("co_movement", "lead_lag"),
+    "behaviour": ("frog_in_pan", "max_return"),
+    "dynamics": ("time_series_momentum", "momentum_crash_filter"),
+}
+
+
+def _own(x: str, name: str, seen: set[str]) -> str:
+    """x with the factor's own columns under names that no other factor has."""
+    return re.sub(r"\b(" + "|".join(sorted(seen)) + r")\b", rf"{name}__\1", x) if seen else x
+
+
+def compute_all(panel: DataFrame, members: dict[str, Stages], least: int = 10) -> DataFrame:
+    """factor, asset, date, value and signal of many factors from one pass: stages of equal depth share the frames' one exchange by asset.
+
+    For factors whose stages look along an asset only; ranks take one exchange by factor and date.
+    """
+    for depth in range(max(len(s) for s in members.values())):
+        more = []
+        for name, stages in members.items():
+            if depth < len(stages):
+                seen = {c for stage in stages[:depth] for c in stage}
+                more += [f"{_own(x, name, seen)} as {name}__{c}{'_' if c in seen else ''}" for c, x in stages[depth].items()]
+        panel = panel.selectExpr("*", *more)
+        again = {f"{name}__{c}" for name, stages in members.items() if depth < len(stages) for c in stages[depth] if any(c in s for s in stages[:depth])}
+        panel = panel.drop(*again).withColumnsRenamed({f"{c}_": c for c in again})
+    values = {name: f"{name}__value" for name in members}
+    tall = panel.selectExpr("asset", "date", *[f"round(cast({c} as double), 9) as `{n}`" for n, c in values.items()]).unpivot(["asset", "date"], list(values), "factor", "value")
+    return tall.selectExpr("factor", "asset", "date", "value", f"round({cs_rank('value', least).replace('partition by date', 'partition by factor, date')}, 9) as signal")
+
+
+def compute_all_sql(panel_sql: str, columns: tuple[str, ...], members: dict[str, Stages], least: int = 10) -> str:
+    each = " union all ".join(f"select '{n}' as factor, * from ({compute_sql('select * from panel', columns, SQL_STAGES.get(n, s), least)})" for n, s in members.items())
+    return f"with panel as materialized ({panel_sql}) {each}"

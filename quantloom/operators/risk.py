@@ -8,8 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("strategy").orderBy("date")
-SOFAR = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+
+def in_order():
+    return Window.partitionBy("strategy").orderBy("date")
+
+
+def so_far():
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def part(a: Column, b: Column) -> Column:
@@ -19,8 +24,8 @@ def part(a: Column, b: Column) -> Column:
 
 def equity(returns: DataFrame) -> DataFrame:
     """returns with equity (from 1) and drawdown from the highest equity so far, the start included."""
-    grown = returns.withColumn("equity", F.product(1 + F.col("r")).over(SOFAR))
-    return grown.withColumn("drawdown", F.col("equity") / F.greatest(F.max("equity").over(SOFAR), F.lit(1.0)) - 1)
+    grown = returns.withColumn("equity", F.product(1 + F.col("r")).over(so_far()))
+    return grown.withColumn("drawdown", F.col("equity") / F.greatest(F.max("equity").over(so_far()), F.lit(1.0)) - 1)
 
 
 def sample_skew(x: str) -> Column:
@@ -70,7 +75,7 @@ def metrics(returns: DataFrame, benchmark: DataFrame, rf: float) -> DataFrame:
 def tail_stats(returns: DataFrame) -> DataFrame:
     """Skewness, kurtosis, tails at 95 and 99 %, extremes, share of losses, ratio of mean win to mean loss, longest run of losses."""
     r = F.col("r")
-    run = returns.withColumn("loss", (r < 0).cast("int")).withColumn("run", F.row_number().over(ORDER) - F.sum("loss").over(SOFAR))
+    run = returns.withColumn("loss", (r < 0).cast("int")).withColumn("run", F.row_number().over(in_order()) - F.sum("loss").over(so_far()))
     longest = run.groupBy("strategy", "run").agg(F.sum("loss").alias("n")).groupBy("strategy").agg(F.max("n").alias("longest_losses"))
     simple = returns.groupBy("strategy").agg(sample_skew("r").alias("skew"), sample_kurtosis("r").alias("kurtosis"), F.min("r").alias("worst"), F.max("r").alias("best"), F.avg((r < 0).cast("double")).alias("loss_share"), part(F.avg(F.when(r > 0, r)), F.abs(F.avg(F.when(r < 0, r)))).alias("win_loss"))
     return simple.join(tails(returns, 0.95, 0.99), "strategy").join(longest, "strategy")
@@ -135,7 +140,7 @@ def crisis_replay(returns: DataFrame, benchmark: DataFrame, crises: list[tuple[s
 def synthetic_shocks(returns: DataFrame, shocks: tuple[float, ...] = (0.0, -0.1, -0.2, -0.3, -0.5)) -> DataFrame:
     """Sharpe ratio and drawdown of each strategy with its middle month replaced by a shock (0: left as it is), and with its spread doubled."""
     whole = Window.partitionBy("strategy")
-    placed = returns.withColumn("k", F.row_number().over(ORDER) - 1).withColumn("mid", F.floor(F.count("*").over(whole) / 2)).withColumn("mean", F.avg("r").over(whole))
+    placed = returns.withColumn("k", F.row_number().over(in_order()) - 1).withColumn("mid", F.floor(F.count("*").over(whole) / 2)).withColumn("mean", F.avg("r").over(whole))
     cases = [F.struct(F.lit(f"shock {x:+.0%}" if x else "baseline").alias("scenario"), (F.when(F.col("k") == F.col("mid"), F.lit(x)).otherwise(F.col("r")) if x else F.col("r")).alias("r")) for x in shocks]
     cases.append(F.struct(F.lit("spread x2").alias("scenario"), (F.col("mean") + 2 * (F.col("r") - F.col("mean"))).alias("r")))
     tall = placed.select("strategy", "date", F.explode(F.array(*cases)).alias("c")).select("strategy", "date", "c.scenario", "c.r")
@@ -199,14 +204,14 @@ def kelly(returns: DataFrame) -> DataFrame:
 
 def vol_target_scale(returns: DataFrame, n: int, target: float, low: float, high: float, periods: int = 12) -> DataFrame:
     """strategy, date, scale: the target over the volatility a year of the n months before, within bounds; 1 before there are n."""
-    past = ORDER.rowsBetween(-n, -1)
+    past = in_order().rowsBetween(-n, -1)
     vol = F.when(F.count("r").over(past) >= n, F.stddev_samp("r").over(past) * F.sqrt(F.lit(float(periods))))
     return returns.withColumn("v", vol).select("strategy", "date", F.when(F.col("v") >= 1e-8, F.greatest(F.least(target / F.col("v"), F.lit(high)), F.lit(low))).otherwise(1.0).alias("scale"))
 
 
 def drawdown_scale(returns: DataFrame, steps: tuple[tuple[float, float], ...]) -> DataFrame:
     """strategy, date, scale by the drawdown at the end of the month before; steps: (drawdown beyond, scale), the deepest first."""
-    before = F.lag("drawdown").over(ORDER)
+    before = F.lag("drawdown").over(in_order())
     scale = F.lit(1.0)
     for depth, x in reversed(steps):
         scale = F.when(before < -depth, x).otherwise(scale)

@@ -49,13 +49,13 @@ def masked_sql(signals: str, panel: str, q: float, fall: float = 0.1) -> str:
 def blend(tall: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted mean of the factors that a name has, ranked again; tall has date, asset, factor and signal."""
     w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))])[F.col("factor")]
-    mean = tall.where("signal is not null").withColumn("w", w).where("w is not null").groupBy("date", "asset").agg(F.round(F.sum(F.col("w") * F.col("signal")) / F.sum("w"), 9).alias("x"))
+    mean = tall.where("signal is not null").withColumn("w", w).where("w is not null").groupBy("date", "asset").agg(F.round(F.sum(F.col("w") * F.col("signal")) / F.sum("w"), 6).alias("x"))
     return mean.selectExpr("date", "asset", "x as value", f"round({cs_rank('x')}, 9) as signal")
 
 
 def blend_sql(tall: str, weights: dict[str, float]) -> str:
     w = " ".join(f"when '{k}' then {v}e0" for k, v in weights.items())
-    return f"""select date, asset, x as value, round({cs_rank('x')}, 9) as signal from (select date, asset, round(sum(w * signal) / sum(w), 9) as x from (
+    return f"""select date, asset, x as value, round({cs_rank('x')}, 9) as signal from (select date, asset, round(sum(w * signal) / sum(w), 6) as x from (
       select *, case factor {w} end as w from ({tall}) where signal is not null) where w is not null group by date, asset)"""
 
 
