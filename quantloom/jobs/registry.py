@@ -59,7 +59,7 @@ register("market_drawdown", lambda spark, d: evaluate.drawdown(panel(spark, d, "
 register("market_tail_risk", lambda spark, d: evaluate.tail_risk(panel(spark, d, "month")), evaluate.tail_risk_sql(panel_sql("month")))
 
 _WEIGHTS_SQL = portfolio.weights_sql(_SIGNAL_SQL, 3, 3)
-_REPLAY_SQL = portfolio.replay_sql(_WEIGHTS_SQL, panel_sql("month"), 6, 0.0015)
+_REPLAY_SQL = portfolio.replay_sql(_WEIGHTS_SQL, panel_sql("month"), 0.0015)
 _SERIES_SQL = f"select date, net as r from ({_REPLAY_SQL})"
 
 
@@ -68,7 +68,7 @@ def _weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replay(spark: SparkSession, d: str) -> DataFrame:
-    return portfolio.replay(_weights(spark, d), panel(spark, d, "month"), 6, 0.0015)
+    return portfolio.replay(_weights(spark, d), panel(spark, d, "month"), 0.0015)
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +83,31 @@ register("yearly_momentum", lambda spark, d: performance.yearly(_series(spark, d
 register("rolling_sharpe_momentum", lambda spark, d: performance.rolling_sharpe(_series(spark, d)), performance.rolling_sharpe_sql(_SERIES_SQL))
 register("drawdown_episodes_momentum", lambda spark, d: performance.drawdown_episodes(_series(spark, d)), performance.drawdown_episodes_sql(_SERIES_SQL))
 
+_SHORT = f"(select date, sum(greatest(-weight, 0)) as short, 1.3 / count(*) as pos from ({_WEIGHTS_SQL}) group by 1)"
+_ADV = "select asset, date, close * volume as adv from ({}) where close is not null"
+_RATES = {"fixed": "0.00035", "tiered": "case when pos * 1e6 < 1e4 then 0.002 when pos * 1e6 < 1e5 then 0.001 else 0.0005 end", "default": "0.00104"}
+for _model in ("fixed", "tiered", "default", "linear", "sqrt", "full"):
+    _each = f"sum(trades * pos * ({_RATES[_model]}))" if _model in _RATES else f"sum(0.00035 * pos + 0.3 * {'least(part, 0.5)' if _model == 'linear' else 'sqrt(least(part, 1))'} * pos + 0.00004 * pos) + any_value(short) * 0.00025"
+    register(
+        f"rebalance_costs_{_model}",
+        lambda spark, d, m=_model: portfolio.rebalance_costs(_weights(spark, d), panel(spark, d, "month").where("close is not null").selectExpr("asset", "date", "close * volume as adv"), m, 1e6).select("date", F.round("cost", 9).alias("cost")),
+        f"select date, round({_each}, 9) as cost from (select *, 1e6 * pos / (coalesce(greatest(adv, 1e4), 1e9) + 1e-6) as part from ({portfolio.orders_sql(_WEIGHTS_SQL)}) o left join ({_ADV.format(panel_sql('month'))}) a using (asset, date) join {_SHORT} s using (date)) group by 1",
+    )
+register("entries_exits", lambda spark, d: portfolio.entries_exits(factors.compute(panel(spark, d, "month"), _MOM), 5, 3), f"""with s as ({_SIGNAL_SQL}), d as (select date, row_number() over (order by date) - 1 as i from (select distinct date from s where signal is not null)), b as (select i, asset from s join d using (date) where signal is not null and i % 3 = 0 qualify row_number() over (partition by date order by signal desc, asset) <= 5),
+e as (select i, asset, 'entry' as event from b where (i - 3, asset) not in (select i, asset from b) union all select i + 3, asset, 'exit' from b where (i + 3, asset) not in (select i, asset from b)) select date, asset, event from e join d using (i)""")
+register("ma_crossover", lambda spark, d: portfolio.ma_crossover(panel(spark, d, "month"), 3, 12).select("asset", "date", "position", F.round("earned", 9).alias("earned")), f"""with m as (select asset, date, ret, case when count(price) over f >= 3 and count(price) over s >= 12 then (round(avg(price) over f - avg(price) over s, 9) > 0)::int end as above from ({panel_sql('month')}) window f as (partition by asset order by date rows between 2 preceding and current row), s as (partition by asset order by date rows between 11 preceding and current row)),
+p as (select *, coalesce(lag(above) over (partition by asset order by date), 0) as position from m) select asset, date, position, round(position * coalesce(ret, 0), 9) as earned from p""")
+register("limited_weights", lambda spark, d: portfolio.risk_limits(_weights(spark, d), 0.3, 0.8, 0.5).select("date", "asset", F.round("weight", 9).alias("weight")), f"with c as (select date, asset, greatest(least(weight, 0.3), -0.3) as w from ({_WEIGHTS_SQL})), t as (select *, sum(abs(w)) over (partition by date, w > 0) as t from c) select date, asset, round(w * least(1, case when w > 0 then 0.8 else 0.5 end / t), 9) as weight from t")
+
+
+def _plan(spark: SparkSession, d: str) -> DataFrame:
+    supplier = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("asset"), "s_acctbal")
+    prices = supplier.select("asset", (F.abs("s_acctbal") / 1000 + 1).alias("price"))
+    return portfolio.order_plan(supplier.where("asset % 3 = 0").select("asset"), supplier.where("asset % 2 = 0").selectExpr("asset", "100 + asset as shares"), prices, 1e5)
+
+
+register("order_plan", _plan, "with s as (select s_suppkey as asset, floor(100000.0 / (select count(*) from supplier where s_suppkey % 3 = 0) / (abs(s_acctbal) / 1000 + 1) / 100) * 100 as lots from supplier) select asset, 'sell' as side, (100 + asset)::bigint as shares from s where asset % 2 = 0 and asset % 3 <> 0 union all select asset, 'buy', lots::bigint from s where asset % 3 = 0 and asset % 2 <> 0 and lots >= 100")
+
 _FIT = ("count(*) as n", "round(regr_slope(ret, mkt), 6) as beta", "round(regr_intercept(ret, mkt) * 12, 6) as alpha", "round(regr_r2(ret, mkt), 6) as r2")
 register("market_attribution", lambda spark, d: panel(spark, d, "month").where("ret is not null and mkt is not null").groupBy("asset").agg(*[F.expr(x) for x in _FIT]), f"select asset, {', '.join(_FIT)} from ({panel_sql('month')}) where ret is not null and mkt is not null group by asset")
 

@@ -42,14 +42,31 @@ def test_orders_and_total_loss(spark):
     day = lambda m: dt.date(2020, m, 1)
     weights = spark.createDataFrame([(day(1), 1, 1.0), (day(1), 2, -1.0), (day(2), 1, -1.0), (day(2), 3, 1.0)], "date date, asset int, weight double")
     got = {(r["date"], r["asset"]): (r["action"], r["trades"]) for r in portfolio.rebalance_orders(weights).collect()}
-    assert got[day(2), 1] == ("TO_SHORT", 2) and got[day(2), 2] == ("CLOSE_SHORT", 1) and got[day(2), 3] == ("LONG", 1) and got[day(3), 3] == ("CLOSE_LONG", 1)
+    assert got == {(day(1), 1): ("LONG", 1), (day(1), 2): ("SHORT", 1), (day(2), 1): ("TO_SHORT", 2), (day(2), 2): ("CLOSE_SHORT", 1), (day(2), 3): ("LONG", 1)}
     panel = spark.createDataFrame([(day(2), 1, -0.9), (day(2), 2, 0.6), (day(3), 1, 0.1), (day(3), 3, None)], "date date, asset int, ret double")
-    by = {r["date"]: r for r in portfolio.replay(weights, panel, 2, 0.0).collect()}
-    assert by[day(2)]["net"] == pytest.approx(-1.5) and by[day(3)]["gross"] == pytest.approx(-0.1) and by[day(3)]["equity"] == 0.0
+    by = {r["date"]: r for r in portfolio.replay(weights, panel, 0.0).collect()}
+    assert by[day(1)]["gross"] == 0.0 and by[day(2)]["net"] == pytest.approx(-1.5) and by[day(3)]["gross"] == pytest.approx(-0.1) and by[day(3)]["equity"] == 0.0
     series = spark.createDataFrame([(day(1), 0.5), (day(2), -1.5), (day(3), 0.2)], "date date, r double")
     assert performance.measures(series).first()["total"] == -1.0
 
 
+def test_replay_charges_opening_and_keeps_positions(spark):
+    day = lambda m: dt.date(2020, m, 1)
+    weights = spark.createDataFrame([(day(1), 1, 0.5), (day(1), 2, -0.5), (day(4), 1, 0.5), (day(4), 3, -0.5)], "date date, asset int, weight double")
+    panel = spark.createDataFrame([(day(m), a, 0.1 * a) for m in range(1, 6) for a in (1, 2, 3)], "date date, asset int, ret double")
+    by = {r["date"].month: r for r in portfolio.replay(weights, panel, 0.01).collect()}
+    assert by[1]["trades"] == 2 and by[1]["net"] == pytest.approx(-2 * 1.3 / 2 * 0.01)
+    assert [by[m]["gross"] for m in (2, 3, 4)] == pytest.approx([-0.05] * 3) and by[2]["net"] == pytest.approx(-0.05)
+    assert by[4]["trades"] == 2 and by[4]["net"] == pytest.approx(-0.05 - 0.013) and by[5]["gross"] == pytest.approx(-0.1)
+
+
+def test_intervals_without_an_end(spark):
+    facts = spark.createDataFrame([(1, dt.date(2150, 5, 1)), (1, dt.date(1999, 1, 1)), (2, dt.date(2000, 1, 1))], "k int, at date")
+    periods = spark.createDataFrame([(1, dt.date(2000, 1, 1), dt.date(9999, 12, 31), "a")], "k int, since date, until date, v string")
+    assert [(r["k"], r["at"].year, r["v"]) for r in joins.interval_join(facts, periods, "k", "at", "since", "until").collect()] == [(1, 2150, "a")]
+    assert joins.interval_join(facts.limit(0), periods, "k", "at", "since", "until").count() == 0
+
+
 def test_blend_weighs_what_is_there(spark):
     tall = spark.createDataFrame([("d", k, f, v) for k in range(10) for f, v in (("a", float(k)), ("b", None if k == 3 else 1.0), ("other", 9.0))], "date string, asset int, factor string, signal double")
     got = {r["asset"]: r["value"] for r in screen.blend(tall, {"a": 3.0, "b": 1.0}).collect()}
