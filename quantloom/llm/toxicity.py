@@ -65,14 +65,14 @@ def features(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def patterns(text: pa.Array) -> np.ndarray:
     """Habits of writing as 0 or 1: any '!!', mostly upper case, a letter four times in a row."""
-    t = text.cast(pa.large_string()).fill_null("")
-    upper = pa.compute.utf8_length(pa.compute.replace_substring_regex(t, r"[^A-Z]", "")).to_numpy(zero_copy_only=False)
-    lower = pa.compute.utf8_length(pa.compute.replace_substring_regex(t, r"[^a-z]", "")).to_numpy(zero_copy_only=False)
-    bangs = pa.compute.match_substring(t, "!!").to_numpy(zero_copy_only=False)
+    bangs = pa.compute.match_substring(text.cast(pa.large_string()).fill_null(""), "!!").to_numpy(zero_copy_only=False)
     data, offsets = utf8(text)
-    same = (data[3:] == data[2:-1]) & (data[2:-1] == data[1:-2]) & (data[1:-2] == data[:-3]) if len(data) > 3 else np.zeros(0, bool)
-    letter = (LOWER[data[: len(same)]] >= 97) & (LOWER[data[: len(same)]] <= 122)
-    drawn = np.bincount(np.searchsorted(offsets, np.flatnonzero(same & letter), side="right") - 1, minlength=len(text))[: len(text)] > 0
+    count = lambda flags, ends: (sums := np.concatenate([[0], np.cumsum(flags)]))[np.minimum(ends, len(flags))] - sums[np.minimum(offsets[:-1], len(flags))]
+    letter = (LOWER[data] >= 97) & (LOWER[data] <= 122)
+    small = data >= 97
+    upper, lower = count(letter & ~small, offsets[1:]), count(letter & small, offsets[1:])
+    same = letter[3:] & (data[3:] == data[2:-1]) & (data[2:-1] == data[1:-2]) & (data[1:-2] == data[:-3]) if len(data) > 3 else np.zeros(0, bool)
+    drawn = count(same, np.maximum(offsets[1:] - 3, offsets[:-1])) > 0
     return np.stack([bangs.astype(np.int64), (upper > lower).astype(np.int64), drawn.astype(np.int64)], axis=1)
 
 
