@@ -119,10 +119,10 @@ def _actions(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(month(spark, d).where("date = '1999-06-01' and asset % 2 = 0").selectExpr("asset", "date as ex_date", "1.5e0 as ratio", "cast(null as double) as cash"))
 
 
-register("adjusted_for_actions", lambda spark, d: rounded(cleaning.adjust_for_actions(month(spark, d).select("asset", "date", "close"), _actions(spark, d))), f"""with p as (select asset, date, close, max(date) filter (close is not null) over (partition by asset order by date rows between unbounded preceding and 1 preceding) as last from ({MONTH})),
+register("adjusted_for_actions", lambda spark, d: rounded(cleaning.adjust_for_actions(month(spark, d).select("asset", "date", "close"), _actions(spark, d)), 8), f"""with p as (select asset, date, close, max(date) filter (close is not null) over (partition by asset order by date rows between unbounded preceding and 1 preceding) as last from ({MONTH})),
 f as (select p.asset, p.date as ex, (1 - coalesce(round(p.close * 0.01, 6) / q.close, 0)) / ((case when year(p.date) % 2 = 0 then 2 else 1 end) * (case when p.date = date '1999-06-01' and p.asset % 2 = 0 then 1.5 else 1 end)) as k from p left join p q on q.asset = p.asset and q.date = p.last where month(p.date) = 6 and p.close is not null
   union all select asset, date, 1 / 1.5 from p where close is null and date = date '1999-06-01' and asset % 2 = 0)
-select p.asset, p.date, round(any_value(close), 6) as close, round(any_value(close) * coalesce(product(k), 1), 6) as adj_close from p left join f on f.asset = p.asset and f.ex > p.date where close is not null group by 1, 2""")
+select p.asset, p.date, round(any_value(close), 8) as close, round(any_value(close) * coalesce(product(k), 1), 8) as adj_close from p left join f on f.asset = p.asset and f.ex > p.date where close is not null group by 1, 2""")
 
 
 def _books(spark: SparkSession, d: str) -> DataFrame:

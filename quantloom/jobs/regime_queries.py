@@ -42,7 +42,7 @@ def _series(spark: SparkSession, d: str) -> DataFrame:
 
 
 _S = f"(select strategy as series, date, r as x from ({STRATEGIES}))"
-register("regime_z", lambda spark, d: rounded(macro.regime_z(_series(spark, d), 3, 36, 12)), f"select series, date, round(greatest(least((m - {_mean('m', 36, 'series', 12)}) / nullif({_mean('m', 36, 'series', 12, 'stddev_samp')}, 0), 3), -3) / 3, 6) as z from (select *, {_mean('x', 3, 'series')} as m from {_S})")
+register("regime_z", lambda spark, d: rounded(macro.regime_z(_series(spark, d), 3, 36, 12)), f"select series, date, round(case when z > 3 then 3 when z < -3 then -3 else z end / 3, 6) as z from (select series, date, (m - {_mean('m', 36, 'series', 12)}) / nullif({_mean('m', 36, 'series', 12, 'stddev_samp')}, 0) as z from (select *, {_mean('x', 3, 'series')} as m from {_S}))")
 register("flow_factor", lambda spark, d: rounded(macro.flow_factor(week(spark, d).withColumn("flow", F.col("volume") * F.signum("ret")), "flow")), f"select asset, date, round(({_mean('flow', 5, least=3)} - {_mean('flow', 20, least=10)}) / nullif(abs({_mean('flow', 20, least=10)}), 0), 6) as value from (select *, volume * sign(ret) as flow from ({WEEK}))")
 _THEN = "case when ret >= 0.02 then lead(price, 3) over (partition by asset order by date) / nullif(price, 0) - 1 end"
 _LIMIT = f"select asset, date, sum((coalesce(ret, 0) >= 0.02)::int) {_frame(20)} as hits, avg(t) {_frame(20)} as t from (select *, {_THEN} as t from ({WEEK}))"

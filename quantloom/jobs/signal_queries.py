@@ -23,7 +23,7 @@ SCORES = f"""with t as (select doc_id, unnest(w) as w, unnest(range(len(w))) as
 k as (select *, w in {_L(signals.NEGATIONS)} as neg, w not in {_L(signals.NEGATIONS)} and w in {_L(signals.AMPLIFIERS)} as amp from t), g as (select *, count(*) filter (not neg and not amp) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as g from k),
 f as (select *, bool_or(neg) over (partition by doc_id, g) as no, bool_or(amp) over (partition by doc_id, g) as more from g),
 s as (select doc_id, sum(case when neg or amp then 0 when w in {_L(signals.POSITIVE)} then 1 when w in {_L(signals.NEGATIVE)} then -1 else 0 end * case when no then -1 else 1 end * case when more then 1.5 else 1 end) / any_value(n) as score from f group by 1)
-select d.doc_id, d.doc_id % 25 as symbol, coalesce(source, '') as source, timestamp '2024-01-01' + to_hours((d.doc_id % 48)::int) as created_at, round(coalesce(greatest(least(score, 1), -1), 0), 9)::double as score from documents d left join s using (doc_id)"""
+select d.doc_id, d.doc_id % 25 as symbol, coalesce(source, '') as source, timestamp '2024-01-01' + to_hours((d.doc_id % 48)::int) as created_at, round(greatest(least(coalesce(score, 0), 1), -1), 9)::double as score from documents d left join s using (doc_id)"""
 register("headline_scores", lambda spark, d: _news(spark, d).select("doc_id", "score"), f"select doc_id, score from ({SCORES})")
 
 

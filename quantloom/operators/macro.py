@@ -55,7 +55,7 @@ def regime_z(series: DataFrame, n: int = 20, long: int = 252, least: int = 60) -
     """series, date, z: the n-row mean of x against its own long mean and spread, cut at 3 and divided by 3."""
     m = series.withColumn("m", mean("x", n, "series"))
     z = F.try_divide(F.col("m") - mean("m", long, "series", least), spread("m", long, "series", least))
-    return m.select("series", "date", (F.greatest(F.least(z, F.lit(3.0)), F.lit(-3.0)) / 3).alias("z"))
+    return m.withColumn("z", z).select("series", "date", F.when(F.col("z").isNotNull(), F.greatest(F.least("z", F.lit(3.0)), F.lit(-3.0)) / 3).alias("z"))
 
 
 def flow_factor(panel: DataFrame, x: str) -> DataFrame:

@@ -190,7 +190,7 @@ def risk_budget(returns: DataFrame, total: float, periods: int = 12) -> DataFram
     filled = vol.withColumn("vol", F.coalesce(F.when(F.col("vol") > 0, F.col("vol")), F.avg(F.when(F.col("vol") > 0, F.col("vol"))).over(one)))
     raw = filled.withColumn("w", 1 / F.col("vol") / F.sum(1 / F.col("vol")).over(one)).withColumn("k", F.count("*").over(one))
     series = returns.join(raw.select("strategy", "w"), "strategy").groupBy("date").agg(F.sum(F.col("w") * F.col("r")).alias("p"))
-    scale = series.agg(F.least(F.try_divide(F.lit(total), F.stddev_samp("p") * F.sqrt(F.lit(float(periods)))), F.lit(2.0)).alias("scale"))
+    scale = series.agg(F.least(F.coalesce(F.try_divide(F.lit(total), F.stddev_samp("p") * F.sqrt(F.lit(float(periods)))), F.lit(1.0)), F.lit(2.0)).alias("scale"))
     return raw.crossJoin(F.broadcast(scale)).select("strategy", F.when(F.col("n") < 20, 1 / F.col("k")).otherwise(F.col("w") * F.coalesce("scale", F.lit(1.0))).alias("weight"))  # one row of scale
 
 
@@ -199,7 +199,7 @@ def kelly(returns: DataFrame) -> DataFrame:
     r = F.col("r")
     agg = returns.groupBy("strategy").agg(F.avg((r > 0).cast("double")).alias("p"), F.avg(F.when(r > 0, r)).alias("win"), F.abs(F.avg(F.when(r < 0, r))).alias("loss"))
     b = part(F.col("win"), F.col("loss"))
-    return agg.select("strategy", F.coalesce(F.greatest(F.least(part(F.col("p") * b - (1 - F.col("p")), b) / 2, F.lit(0.25)), F.lit(0.0)), F.lit(0.0)).alias("fraction"))
+    return agg.select("strategy", F.greatest(F.least(F.coalesce(part(F.col("p") * b - (1 - F.col("p")), b) / 2, F.lit(0.0)), F.lit(0.25)), F.lit(0.0)).alias("fraction"))
 
 
 def vol_target_scale(returns: DataFrame, n: int, target: float, low: float, high: float, periods: int = 12) -> DataFrame:
@@ -323,5 +323,5 @@ def health_score(z: Column, drawdown: Column, isolation: Column, cusum: Column)
     down = F.when(d <= 0.02, 100.0).when(d <= 0.08, 100 - (d - 0.02) / 0.06 * 40).when(d <= 0.15, 60 - (d - 0.08) / 0.07 * 40).otherwise(F.greatest(F.lit(0.0), 20 - (d - 0.15) * 200))
     odd = F.when(isolation >= 0.1, 100.0).when(isolation >= 0, 70 + isolation * 300).when(isolation >= -0.3, 70 + isolation / 0.3 * 70).otherwise(0.0)
     shift = F.when(cusum <= 0.5, 100 - cusum * 40).when(cusum <= 1, 80 - (cusum - 0.5) * 80).otherwise(F.greatest(F.lit(0.0), 40 - (cusum - 1) * 80))
-    parts = [(away, 0.3), (down, 0.3), (odd, 0.2), (shift, 0.2)]
+    parts = [(F.when(x.isNotNull(), y), w) for x, y, w in ((a, away, 0.3), (d, down, 0.3), (isolation, odd, 0.2), (cusum, shift, 0.2))]  # what is missing counts as well
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), sum((w * F.coalesce(x, F.lit(100.0)) for x, w in parts), F.lit(0.0)))), 1)

@@ -32,7 +32,8 @@ def score_headline(text: Column) -> Column:
             .when(w.isin(POSITIVE), after(a["s"] + weight, off, off)).when(w.isin(NEGATIVE), after(a["s"] - weight, off, off)).otherwise(after(a["s"], off, off))
         )
 
-    return F.coalesce(F.greatest(F.least(F.try_divide(F.aggregate(words, start, step, lambda a: a["s"]), F.size(words)), F.lit(1.0)), F.lit(-1.0)), F.lit(0.0))
+    raw = F.coalesce(F.try_divide(F.aggregate(words, start, step, lambda a: a["s"]), F.size(words)), F.lit(0.0))  # least and greatest skip nulls
+    return F.greatest(F.least(raw, F.lit(1.0)), F.lit(-1.0))
 
 
 def sentiment(news: DataFrame, as_of: Column, hours: float = 24, decay: float = 0.1) -> DataFrame:
