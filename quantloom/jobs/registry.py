@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import compound, cs_zscore
 from ..operators import evaluate, factors, joins, performance, portfolio, screen
 from ..sources.panels import FIELDS, panel, panel_sql
-from ..streaming import ticks
+from ..streaming import indicators, ticks
 from .catalog import ORACLES, QUERIES, register
 
 FLAGSHIP = "ic_summary_momentum"
@@ -132,6 +132,34 @@ register(
 )
 
 
+_DAY_BARS = "select user_id as symbol, date_trunc('hour', ts) as start, max(value) as high, min(value) as low, arg_max(value, (ts, event_id)) as close, count(*)::double as volume from events where ts is not null group by 1, 2"
+_WEIGHTS = {"momentum": 0.5, "vwap_deviation": 0.3, "volume_surge": 0.2}
+
+
+def _indicators(spark: SparkSession, d: str) -> DataFrame:
+    bars = ticks.tick_bars(_ticks(spark, d), "1 hour").selectExpr("symbol", "start", "high", "low", "close", "cast(trade_count as double) as volume")
+    x = indicators.indicators(bars, 5)
+    return x.select("symbol", "start", *[F.round(c, 6).alias(c) for c in _WEIGHTS])
+
+
+_INDICATORS_SQL = f"""select symbol, start, round(close / nullif(lag(close, 5) over s, 0) - 1, 6) as momentum, round((close - v) / nullif(v, 0), 6) as vwap_deviation, round(volume / case when k >= 4 then u end - 1, 6) as volume_surge from (
+  select *, sum((high + low + close) / 3 * volume) over (partition by symbol, start::date order by start) / sum(volume) over (partition by symbol, start::date order by start) as v, count(*) over (partition by symbol order by start rows between 4 preceding and 1 preceding) as k, avg(volume) over (partition by symbol order by start rows between 4 preceding and 1 preceding) as u
+  from ({_DAY_BARS})) window s as (partition by symbol order by start)"""
+_MEAN_SQL = f"({' + '.join(f'coalesce({c} * {w}, 0)' for c, w in _WEIGHTS.items())}) / nullif({' + '.join(f'case when {c} is null then 0 else {w} end' for c, w in _WEIGHTS.items())}, 0)"
+_COMPOSITE_SQL = f"select symbol, start, round(case when m > 1 then 1 when m < -1 then -1 else m end, 9) as composite from (select symbol, start, {_MEAN_SQL} as m from ({_INDICATORS_SQL}))"
+
+
+def _composite(spark: SparkSession, d: str) -> DataFrame:
+    return indicators.composite(_indicators(spark, d), _WEIGHTS).select("symbol", "start", F.round("composite", 9).alias("composite"))
+
+
+register("realtime_indicators", _indicators, _INDICATORS_SQL)
+register("realtime_composite", _composite, _COMPOSITE_SQL)
+register("realtime_cross_section", lambda spark, d: indicators.cross_section(_composite(spark, d)).select("symbol", "start", F.round("signal", 6).alias("signal")), f"select symbol, start, round(case when composite is not null and n >= 5 then 2 * p / n - 1 end, 6) as signal from (select *, count(composite) over (partition by start) as n, rank() over (partition by start order by composite nulls last) + (count(composite) over (partition by start, composite) - 1) / 2 as p from ({_COMPOSITE_SQL}))")
+register("last_ticks", lambda spark, d: indicators.last_n(_ticks(spark, d), 3), f"select symbol, kind, ts, event_id, price, (row_number() over (partition by symbol, kind order by ts desc, event_id desc))::int as place from ({_TICKS_SQL}) qualify place <= 3")
+register("buffer_stats", lambda spark, d: indicators.buffer_stats(_ticks(spark, d), spark.range(0, 200, 2).toDF("symbol")), "select user_id as symbol, event_type as kind, count(*) as n from events where user_id % 2 = 0 and user_id < 200 group by 1, 2")
+
+
 def _asof(spark: SparkSession, d: str) -> DataFrame:
     every = _ticks(spark, d)
     quotes = every.where("kind = 'signup'").selectExpr("symbol", "ts", "event_id as quote_id", "price as quote")

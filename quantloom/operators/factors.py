@@ -85,6 +85,7 @@ ALPHA: dict[str, Stages] = {
     "variance_ratio": [{"s": roll("sum", "ret", 20, least=10), "v": roll("var_samp", "ret", 5, least=2)}, {"value": f"{ratio(roll('var_samp', 's', 20, least=10), 'v * 4')} - 1"}],
     "co_movement": _v(f"-{roll_corr('ret', 'mkt', 20, 10)}"),
     "lead_lag": [{"x": "lead(mkt, 1) over (partition by asset order by date)"}, {"value": roll_corr("ret", "x", 20, 10)}],
+    "lead_lag_leak_free": [{"x": back("ret")}, {"value": roll_corr("x", "mkt", 20, 10)}],
     "frog_in_pan": [{"u": "case when ret > 0 then 1e0 when ret is not null then 0e0 end", "d": "case when ret < 0 then 1e0 when ret is not null then 0e0 end"}, {"value": f"sign({roll('sum', 'ret', 60, least=30)}) * ({roll('avg', 'u', 60, least=30)} - {roll('avg', 'd', 60, least=30)})"}],
     "max_return": _v(f"-{roll('max', 'ret', 20, least=10)}"),
     "time_series_momentum": _v(roll("sum", "ret", 252, least=126)),
