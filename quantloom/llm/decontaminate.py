@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import IntegralType
+
 from .shared import tidy
 from .textkit import ALNUM_WORDS, Words, slices
 
@@ -31,11 +33,12 @@ BLOCK_BYTES = 8 << 20
 class Queries:
     """Suffixes of a block of benchmark items, as codes of the block's own vocabulary."""
 
-    items: np.ndarray  # item id by item
+    items: np.ndarray  # item id by item, in ascending order
     vocabulary: np.ndarray  # sorted word hashes; code = place + 1
     codes: np.ndarray  # all items' words, a 0 after each item
     windows: np.ndarray  # distinct windows as fixed-width byte strings
     lengths: np.ndarray  # words of each window
+    tops: np.ndarray  # for windows of fewer than `width` words, the largest key that begins with them
     owner_rows: np.ndarray  # window w belongs to owners[owner_rows[w]:owner_rows[w + 1]]
     owners: np.ndarray  # places in items
     starts: np.ndarray  # one start in codes for each owner entry
@@ -50,8 +53,8 @@ def _keys(codes: np.ndarray, at: np.ndarray, run: np.ndarray, width: int) -> np.
     return np.ascontiguousarray(grid).view(f"S{4 * width}").ravel()
 
 
-def prepare(rows: list[tuple[int, str]], width: int) -> Queries | None:
-    """None if no item has a word."""
+def prepare(rows: list[tuple], width: int) -> Queries | None:
+    """The block of rows (item id, text), sorted by id; None if no item has a word."""
     if not rows:
         return None
     words = Words(pa.array([r[1] for r in rows], pa.string()), ALNUM_WORDS, lower=True)
@@ -72,7 +75,12 @@ def prepare(rows: list[tuple[int, str]], width: int) -> Queries | None:
     order = np.argsort(which, kind="stable")
     lengths = np.zeros(len(windows), np.int64)
     lengths[which] = length
-    return Queries(np.array([r[0] for r in rows], np.int64), vocabulary, codes, windows, lengths, np.searchsorted(which[order], np.arange(len(windows) + 1)), owner[order], start[order], width)
+    low = windows[lengths < width]
+    grid = np.frombuffer(low.tobytes(), np.uint8).reshape(len(low), 4 * width)
+    tops = np.where(np.arange(4 * width) < 4 * lengths[lengths < width][:, None], grid, 255).astype(np.uint8)
+    tops = np.ascontiguousarray(tops).view(windows.dtype).ravel()
+    ids = np.array([r[0] for r in rows], np.int64 if isinstance(rows[0][0], int) else object)
+    return Queries(ids, vocabulary, codes, windows, lengths, tops, np.searchsorted(which[order], np.arange(len(windows) + 1)), owner[order], start[order], width)
 
 
 def _lookup(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -107,9 +115,7 @@ def search_shard(text: pa.Array, q: Queries) -> dict:
     array, suffix = keys[order], keep[order]  # the shard's suffix array
     low = np.searchsorted(array, q.windows)
     high = np.searchsorted(array, q.windows, side="right")
-    for w in np.flatnonzero(q.lengths < q.width):  # a short item is a prefix of what it matches
-        top = q.windows[w].ljust(4 * q.width, b"\0")[: 4 * q.lengths[w]].ljust(4 * q.width, b"\xff")
-        high[w] = np.searchsorted(array, np.array([top], array.dtype))[0]
+    high[q.lengths < q.width] = np.searchsorted(array, q.tops)  # a short item is a prefix of what it matches
     found = high - low
     window = np.repeat(np.arange(len(found)), found)
     within = np.arange(len(window)) - np.repeat(np.cumsum(found) - found, found)
@@ -140,9 +146,14 @@ def maximal_matches(q: Queries, hits: dict) -> dict:
     return {"doc": hits["doc"][which], "item": q.owners[entry], "at": at, "start": start, "size": size}
 
 
+def _item_type(benchmark: DataFrame, item_col: str) -> str:
+    """Integers stay integers, so that ties go to the smaller number; all else is a string."""
+    return "long" if isinstance(benchmark.schema[item_col].dataType, IntegralType) else "string"
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int, block_bytes: int) -> Iterator[Queries | None]:
     """The benchmark in blocks of at most about block_bytes, by a hash of the item's id."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(f"`{item_col}`").cast(_item_type(benchmark, item_col)).alias("i"), F.col(f"`{text_col}`").alias("t")).where("i is not null and t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
     for k in range(n):
@@ -158,14 +169,18 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc
     words is one window.  Columns: the id, n_words, n_hit (words inside an
     occurrence), items (sorted ids of items with occurring windows), longest
     (words of the longest verbatim match, 0 without one), longest_item and
-    longest_at (where it starts, in words).
+    longest_at (where it starts, in words).  Item ids that are integers stay so; those
+    of any other type are compared and given back as strings.
 
     Null and empty texts have no words and no hits.  Items without id, text or
     words match nothing; an empty benchmark matches nothing.  Repeated rows are
     judged one by one, and columns besides id and text are not looked at.
     """
-    spark = docs.sparkSession
-    df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(b"").alias("spans"), F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("longest"), F.lit(None).cast("long").alias("longest_item"), F.lit(None).cast("long").alias("longest_at"))
+    spark, kind = docs.sparkSession, _item_type(benchmark, item_col)
+    df = docs.select(
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(b"").alias("spans"), F.array().cast(f"array<{kind}>").alias("items"),
+        F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("longest"), F.lit(None).cast(kind).alias("longest_item"), F.lit(None).cast("long").alias("longest_at"),
+    )
     for q in _blocks(benchmark, item_col, item_text_col, width, block_bytes):
         df = df.mapInArrow(tidy(_searcher(spark.sparkContext.broadcast(q))), df.schema)
     return df.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "longest", "longest_item", "longest_at")
@@ -190,8 +205,9 @@ def _merge(part: pa.RecordBatch, q: Queries | None) -> pa.RecordBatch:
     else:
         hits = search_shard(part["text"], q)
         n_words = hits["counts"]
-        for d in np.unique(hits["doc"]):
-            mine = hits["doc"] == d
+        by_doc = np.argsort(hits["doc"], kind="stable")
+        hit_docs, firsts = np.unique(hits["doc"][by_doc], return_index=True)
+        for d, mine in zip(hit_docs, np.split(by_doc, firsts[1:]), strict=True) if len(hit_docs) else ():
             n = int(n_words[d])
             old = np.frombuffer(cols["spans"][d], np.int64).reshape(-1, 2)
             at = np.concatenate([hits["at"][mine] - hits["first"][d], old[:, 0]])
@@ -207,8 +223,8 @@ def _merge(part: pa.RecordBatch, q: Queries | None) -> pa.RecordBatch:
         for d, i in set(zip(doc[which].tolist(), q.items[q.owners[entry]].tolist(), strict=True)):
             cols["items"][d].append(i)
         m = maximal_matches(q, hits)
-        for k in np.lexsort((q.items[m["item"]], m["at"], -m["size"])) if len(m["doc"]) else ():
-            d, size, at, item = int(m["doc"][k]), int(m["size"][k]), int(m["at"][k]), int(q.items[m["item"][k]])
+        for k in np.lexsort((m["item"], m["at"], -m["size"])) if len(m["doc"]) else ():
+            d, size, at, item = int(m["doc"][k]), int(m["size"][k]), int(m["at"][k]), q.items.item(m["item"][k])
             at -= int(hits["first"][d])
             if not cols["longest"][d] or (-size, at, item) < (-cols["longest"][d], cols["longest_at"][d], cols["longest_item"][d]):
                 cols["longest"][d], cols["longest_item"][d], cols["longest_at"][d] = size, item, at

@@ -62,6 +62,10 @@ def test_decontamination(spark, docs, empty):
     assert sorted(several.collect()) == sorted(decontaminate.match_documents(docs, bench).select("doc_id", "n_hit", "items", "longest").collect())
     assert decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.report(empty, bench).count() == 0
+    named = spark.createDataFrame([(None if i is None else f"q-{i}", t) for i, t in items], "item_id string, text string")
+    as_text = by_id(decontaminate.report(docs, named))
+    assert {i: r["items_sha256"] for i, r in as_text.items()} == {i: sha(",".join(sorted(f"q-{x}" for x in r["items"]))) for i, r in by_id(decontaminate.match_documents(docs, bench)).items()}
+    assert {i: (r["longest"], r["longest_at"]) for i, r in as_text.items()} == {i: (r["longest"], r["longest_at"]) for i, r in got.items()} and as_text[7]["longest_item"] == "q-1"
     assert set(decontaminate.decontaminate(docs, bench).columns) == set(docs.columns)
 
 
@@ -191,6 +195,10 @@ def test_far_repeats_share_labels():
     crf = pii.Crf(chain=0.0, skip=4.0)
     odds = pii.propagate(unary, np.zeros((0, 2), int), near, crf)
     assert (odds > 0).all() and np.ptp(odds[1:]) < 0.01
+    # what stands beside a document doesn't change it, and one that has not settled goes on from below
+    other, links, docs_of = np.concatenate([unary, [4.0, -4.0, 2.0]]), np.concatenate([near, [[n, n + 1], [n + 1, n + 2]]]), np.repeat([0, 1], [n, 3])
+    assert (pii.propagate(other, links[-2:], links[:-2], crf, docs_of)[:n] == odds).all()
+    assert np.allclose(pii.propagate(unary, np.zeros((0, 2), int), near, crf, limit=1), odds, atol=0.02)
     # two tokens: the exact marginals of the field
     a, b = 1.5, -0.5
     p = {(x, y): np.exp(a * x + b * y + 4.0 * (x == y)) for x in (0, 1) for y in (0, 1)}
