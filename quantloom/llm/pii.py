@@ -110,6 +110,7 @@ _CLASS = np.zeros(256, np.int64)  # columns of the counts below
 for _k, _chars in enumerate((b"0123456789", b"@", b".", b"-", b"+", b"()", b":/", bytes(range(97, 123)))):
     _CLASS[list(_chars)] = _k + 1
 N_FEATURES = 21
+_SURE = 0.999999
 
 
 def _order_hash(byte: np.ndarray, owner: np.ndarray, rank: np.ndarray, n: int, salt: int) -> np.ndarray:
@@ -189,13 +190,17 @@ def _groups(skip: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def propagate(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, crf: Crf, limit: int = 1_000) -> np.ndarray:
+def propagate(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, crf: Crf, doc: np.ndarray | None = None, limit: int = 1_000) -> np.ndarray:
     """Log odds of each token by damped, synchronous loopy belief propagation on the two kinds of edges.
 
     Tokens that skip edges join are linked through one node of their group, at a
     strength that makes two such links one skip edge, so that each repeat is two
-    links from any other.  Rounds end when no message changes by TOLERANCE;
-    fields with loops need not settle, so that there is a limit far above need.
+    links from any other.  A document (doc, of each token; without it all are one)
+    is done when none of its own messages changes by TOLERANCE, whatever stands
+    beside it.  Edges only ever attract (see fit()), so that a message never falls
+    when another rises: documents that have not settled after `limit` rounds start
+    again with all messages at their least, from where they can only rise, and so
+    must come to rest.
     """
     if not len(chain) + len(skip):
         return unary
@@ -209,14 +214,21 @@ def propagate(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, crf: Crf,
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     strength = np.concatenate([strength, strength])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
+    home = np.zeros(len(edges), np.int64) if doc is None else doc[edges[:, 0]]  # an edge's first end is a token
+    home = np.concatenate([home, home])
     message = np.zeros(len(source))
-    for _ in range(limit):
-        belief = unary + np.bincount(target, weights=message, minlength=len(unary))
-        cavity = belief[source] - message[back]
-        step = np.arctanh(np.clip(strength * np.tanh(np.clip(cavity, -20, 20) / 2), -0.999999, 0.999999)) - 0.5 * message
-        message = message + step
-        if np.abs(step).max() < TOLERANCE:
-            break
+    live, rounds = np.arange(len(source)), 0
+    while len(live):
+        belief = unary + np.bincount(target[live], weights=message[live], minlength=len(unary))
+        cavity = belief[source[live]] - message[back[live]]
+        step = np.arctanh(np.clip(strength[live] * np.tanh(np.clip(cavity, -20, 20) / 2), -_SURE, _SURE)) - 0.5 * message[live]
+        message[live] += step
+        most = np.zeros(home.max() + 1)
+        np.maximum.at(most, home[live], np.abs(step))
+        live = live[most[home[live]] >= TOLERANCE]
+        rounds += 1
+        if rounds == limit:
+            message[live] = -2 * np.arctanh(np.minimum(strength[live], _SURE))
     return (unary + np.bincount(target, weights=message, minlength=len(unary)))[:n]
 
 
@@ -295,7 +307,7 @@ def spans_in(text: pa.Array, crf: Crf) -> list[list[tuple[str, int, int]]]:
     found = _base(text)
     t = tokens(text)
     sure = _covered(t, found)
-    odds = propagate(t.features @ crf.weights + crf.bias + EVIDENCE * sure, t.chain, t.skip, crf)
+    odds = propagate(t.features @ crf.weights + crf.bias + EVIDENCE * sure, t.chain, t.skip, crf, t.doc)
     for i in np.flatnonzero((odds > 0) & ~sure):
         found[t.doc[i]].append((EXTRA, int(t.start[i]), int(t.end[i])))
     return found
