@@ -37,8 +37,6 @@ from .textkit import slices
 
 #: Bytes of text in a block, whose documents share one list of words, and in a packet of it; a longer text has a block of its own.
 BLOCK_BYTES, PACKET_BYTES = 8 << 20, 1 << 20
-#: Words whose ids a task remembers; one that comes again after that is encoded again.
-REMEMBERED = 2_000_000
 #: What an exchange carries: packets of documents by block, lists of words by bucket.
 _PACKED = "key long, block long, bucket int, packed binary"
 
@@ -133,7 +131,7 @@ def _pack(pattern: str, block_bytes: int, packet_bytes: int, buckets: int):
 
 
 def _encode_lists(path: str):
-    """All lists of a bucket come to one task, which encodes a word when it first shows."""
+    """All lists of a bucket come to one task, which encodes each of its distinct words once, when it first shows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, place, ids, ends = _word_encoder(path), {}, array("I"), array("Q", [0])
@@ -145,8 +143,6 @@ def _encode_lists(path: str):
                 for word in _expand(words.as_py()):
                     at = place.get(word)
                     if at is None:
-                        if len(place) >= REMEMBERED:
-                            place, ids, ends = {}, array("I"), array("Q", [0])
                         at = place[word] = len(place)
                         ids.extend(encode(word))
                         ends.append(len(ids))
@@ -214,7 +210,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc
 
     vocabulary names a rank file that every executor can read; pattern cuts
     texts into pre-tokens; words are encoded in `buckets` groups, by default as many
-    as the session has shuffle partitions.  Null and empty texts have no ids; an empty table gives
+    as the session has shuffle partitions; a task keeps the distinct words of its buckets, some 150
+    bytes each, so that more buckets make tasks smaller.  Null and empty texts have no ids; an empty table gives
     an empty result; repeated rows are encoded each; ids may be null or of any type; other columns are
     not looked at.  A text longer than a block is held whole by one task, at some ten times its bytes.  docs should come
     from files or another source that gives a task the same rows again: else the job ends with an error.
