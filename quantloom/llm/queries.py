@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, media, neardup, pii, secrets, sharding, substrings, toxicity
+from . import bpe, conversations, decontaminate, licenses, media, neardup, pages, pii, secrets, sharding, spelling, substrings, toxicity
 from .shared import table
 
 
@@ -18,8 +18,12 @@ def _op8(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.report(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def _over(name: str, report: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: report(table(spark, d, name))
+
+
 def _documents(report: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: report(table(spark, d, "documents"))
+    return _over("documents", report)
 
 
 def _pipeline(spark: SparkSession, d: str) -> DataFrame:
@@ -40,6 +44,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_weak_toxicity": _op8,
         "op9_assignment_secrets": _documents(secrets.report),
         "op10_byte_bpe": _documents(bpe.report),
+        "op11_spelling_variants": _documents(spelling.report),
+        "op12_conversation_repair": _over("conversations", conversations.report),
+        "op13_html_extraction": _over("pages", pages.report),
         "pipeline": _pipeline,
     }
 
@@ -47,4 +54,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from .sql import DECONTAMINATION, SUBSTRINGS
 
-    return {"op1_decontamination": DECONTAMINATION, "op6_substring_dedup": SUBSTRINGS, "op7_license_digests": licenses.oracle()}
+    return {
+        "op1_decontamination": DECONTAMINATION,
+        "op6_substring_dedup": SUBSTRINGS,
+        "op7_license_digests": licenses.oracle(),
+        "op11_spelling_variants": spelling.oracle(),
+        "op12_conversation_repair": conversations.oracle(),
+    }

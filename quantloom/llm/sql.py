@@ -35,3 +35,9 @@ covered as (select doc_id, list(distinct p) as ps from (select doc_id, unnest(ra
 kept as (select d.doc_id, len(w) as n, case when ps is null then w else list_filter(list_transform(range(1, len(w) + 1), lambda i: case when list_contains(ps, i) then null else w[i] end), lambda x: x is not null) end as words from d left join covered using (doc_id))
 select doc_id, n::bigint as n_words, (n - len(words))::bigint as n_removed, sha256(array_to_string(words, ' ')) as kept_sha256 from kept
 """
+
+#: The table of CRC-32 by its rule, as a list of 256 numbers.
+CRC32 = r"""
+crc_table as (
+    select list_transform(range(256), lambda i: list_reduce([cast(i as bigint), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as entries
+)"""
