@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html import unescape
 
@@ -114,6 +115,7 @@ def read(source: str) -> _Page:
     pieces: list[str] = []
     linked = links = 0
     muted: list[str] = []  # inline tags, from one that is outside an article on
+    opened: Counter[str] = Counter()  # open elements by tag
 
     def add(raw: str) -> None:
         nonlocal linked
@@ -134,9 +136,16 @@ def read(source: str) -> _Page:
             pieces.clear()
         linked = 0
 
+    def open_(element: int) -> None:
+        stack.append(element)
+        opened[page.tag[element]] += 1
+
     def close(tags: set[str], barrier: set[str] = frozenset()) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if page.tag[stack[k]] in tags:
+                opened.subtract(page.tag[e] for e in stack[k:])
                 del stack[k:]
                 return
             if page.tag[stack[k]] in barrier:
@@ -144,7 +153,7 @@ def read(source: str) -> _Page:
 
     position, end = 0, len(source)
     while position < end:
-        m = _TAG.search(source, position)
+        m = _TAG.search(source, position) if source.find(">", position) >= 0 or source.find("<!--", position) >= 0 else None
         if m is None:
             tail = re.search(r"<[A-Za-z/!?]", source[position:])  # a tag that the page's end cuts off
             add(source[position : position + tail.start()] if tail else source[position:])
@@ -187,7 +196,7 @@ def read(source: str) -> _Page:
                 close(*ENDS[tag])
         if tag in VOID:
             continue
-        stack.append(page.element(stack[-1], tag, _attributes(m[3]) if m[3] else {}))
+        open_(page.element(stack[-1], tag, _attributes(m[3]) if m[3] else {}))
     flush()
     return page
 
