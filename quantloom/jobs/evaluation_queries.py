@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import compound
+from ..functions.normal import normal_cdf_sql, two_sided
 from ..operators import evaluate, factors, significance
 from ..sources.panels import FIELDS, panel, panel_sql
 from .catalog import MONTH, month, register
@@ -34,7 +35,9 @@ FORWARD = f"select asset, date, round(lead(ret) over (partition by asset order b
 
 
 def ics(spark: SparkSession, d: str) -> DataFrame:
-    return significance.ic_by_factor(tall(spark, d), forward(spark, d))
+    """Signals and forward returns of one panel: no join."""
+    ahead = month(spark, d).selectExpr("*", f"round({compound('ret', 1, -1)}, 9) as fwd")
+    return significance.ic_by_factor(factors.compute_all(ahead, MEMBERS, keep=("fwd",)))
 
 
 _BOTH = f"select factor, date, asset, signal, fwd from ({TALL}) join ({FORWARD}) using (asset, date) where signal is not null and fwd is not null"
@@ -57,14 +60,14 @@ select factor, n, round(rho, 6) as rho, round(eff, 6) as n_effective, round(mean
 
 
 def _tests(spark: SparkSession, d: str) -> DataFrame:
-    """A stand-in p for each factor, of its t: 1 / (1 + t * t)."""
-    return significance.newey_west(ics(spark, d)).select("factor", F.round(1 / (1 + F.col("t_adjusted") * F.col("t_adjusted")), 6).alias("p"))
+    """The two-sided probability of each factor's adjusted t."""
+    return significance.newey_west(ics(spark, d)).select("factor", F.round(F.expr(two_sided("t_adjusted")), 9).alias("p"))
 
 
-_TESTS = f"t as (with {_NW} select factor, round(1 / (1 + (mean / se) ** 2), 6) as p from g where n >= 10), r as (select *, row_number() over (order by p, factor) as k, count(*) over () as n from t)"
+_TESTS = f"t as (with {_NW} select factor, round(2 * ({normal_cdf_sql('-abs(mean / se)')}), 9) as p from g where n >= 10), r as (select *, row_number() over (order by p, factor) as k, count(*) over () as n from t)"
 _ADJUST = {"bonferroni": "p * n", "holm": "max(p * (n - k + 1)) over (order by k)", "bh": "min(p * n / k) over (order by k desc)", "by": "min(p * n / k * (select sum(1 / i) from range(1, 6) g(i))) over (order by k desc)"}
 for _method, _x in _ADJUST.items():
-    register(f"multiple_tests_{_method}", lambda spark, d, m=_method: rounded(significance.multiple_tests(_tests(spark, d), m)), f"with {_TESTS} select factor, p, round(least({_x}, 1), 6) as p_adjusted, least({_x}, 1) <= 0.05 as reject from r")
+    register(f"multiple_tests_{_method}", lambda spark, d, m=_method: rounded(significance.multiple_tests(_tests(spark, d), m)), f"with {_TESTS} select factor, round(p, 6) as p, round(least({_x}, 1), 6) as p_adjusted, least({_x}, 1) <= 0.05 as reject from r")
 register("rank_autocorrelation", lambda spark, d: rounded(significance.rank_autocorrelation(tall(spark, d), 3)), f"""with r as (select factor, date, asset, rank() over (partition by factor, date order by signal) + (count(*) over (partition by factor, date, signal) - 1) / 2 as r, dense_rank() over (partition by factor order by date) as k from ({TALL}) where signal is not null)
 select x.factor, x.date, round(corr(x.r, y.r), 6) as autocorrelation from r x join r y on y.factor = x.factor and y.asset = x.asset and y.k = x.k - 3 group by 1, 2""")
 
@@ -88,8 +91,8 @@ def _folds(expanding: bool):
 
 
 def _folds_sql(expanding: bool) -> str:
-    return f"""(with d as (select date, row_number() over (order by date) - 1 as i, count(*) over () as n from (select distinct date from ({MONTH}))), f as (select unnest(range(0, (select any_value(n) from d) - 36, 12)) as s)
-select (s // 12)::int as fold, case when i < s + 36 then 'train' else 'test' end as role, date from d join f on i >= {0 if expanding else 's'} and i < least(s + 48, n))"""
+    return f"""(with d as (select date, row_number() over (order by date) - 1 as i, count(*) over () as n from (select distinct date from ({MONTH}))), f as (select unnest(range(0, (select any_value(n) from d) - 36 - 12 + 1, 12)) as s)
+select (s // 12)::int as fold, case when i < s + 36 then 'train' else 'test' end as role, date from d join f on i >= {0 if expanding else 's'} and i < s + 48)"""
 
 
 register("walk_forward_folds", _folds(False), f"select * from {_folds_sql(False)}")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import risk
+from ..functions.normal import normal_cdf_sql
+from ..operators import anomaly, risk
 from .catalog import MARKET, MONTH, REGIONS, STRATEGIES, market, month, read, register, regions, strategies
 
 RF, PLACES = 0.002, 6
@@ -42,8 +43,9 @@ c as (select strategy, var_95, var_99, avg(r) filter (r <= var_95) as cvar_95, a
 runs as (select strategy, max(n) as longest_losses from (select strategy, g, count(*) filter (r < 0) as n from (select *, sum(case when r < 0 then 0 else 1 end) over (partition by strategy order by date) as g from s) group by 1, 2) group by 1)
 select strategy, longest_losses::bigint as longest_losses, {shown("skew kurtosis worst best loss_share win_loss var_95 cvar_95 var_99 cvar_99")} from (select strategy, skewness(r) as skew, kurtosis(r) as kurtosis, min(r) as worst, max(r) as best, avg((r < 0)::int) as loss_share, avg(r) filter (r > 0) / abs(avg(r) filter (r < 0)) as win_loss from s group by 1) join c using (strategy) join runs using (strategy)""")
 register("deflated_sharpe", lambda spark, d: rounded(risk.deflated_sharpe(strategies(spark, d), 20), 5), f"""with s as ({STRATEGIES}), a as (select strategy, count(r) as n, avg(r) / (stddev_samp(r) + 1e-10) as s, skewness(r) as g, kurtosis(r) as k from s group by 1),
-b as (select *, (sqrt(2 * ln(20)) - (ln(pi()) + 0.5772) / (2 * sqrt(2 * ln(20)))) / sqrt(n) as best, sqrt((1 + 0.5 * s ** 2 - g * s + (k + 3) / 4 * s ** 2) / (n - 1)) as spread from a)
-select strategy, n, round(case when n < 12 then 0 else (s - best) / (spread + 1e-10) end, 5) as z from b""")
+b as (select *, (sqrt(2 * ln(20)) - (ln(pi()) + 0.5772) / (2 * sqrt(2 * ln(20)))) / sqrt(n) as best, sqrt((1 + 0.5 * s ** 2 - g * s + (k + 3) / 4 * s ** 2) / (n - 1)) as spread from a),
+z as (select strategy, n, case when n < 12 then 0 else (s - best) / (spread + 1e-10) end as z from b)
+select strategy, n, round(z, 5) as z, round({normal_cdf_sql('z')}, 5) as dsr, round(1 - {normal_cdf_sql('z')}, 5) as p from z""")
 _VALUES = " union all ".join(f"select strategy, '{n}' as name, {n}::double as value, '{op}' as op, {t}::double as threshold, '{c}' as category from m" for n, op, t, c in risk.GATES)
 _CHECKS = f"with m as ({_METRICS}), g as ({_VALUES}) select *, value > threshold as passed from g"
 register("gate_check", lambda spark, d: risk.gate_check(_metrics(spark, d)), _CHECKS)
@@ -135,13 +137,35 @@ register("metric_summary", lambda spark, d: rounded(risk.metric_summary(_metric_
 select strategy, metric, n, {shown("current mean spread low high")}, round(case when spread >= 1e-10 then (current - mean) / spread else 0 end, 6) as z from a""")
 
 
-def _health(spark: SparkSession, d: str) -> DataFrame:
-    wide = risk.metric_summary(_metric_values(spark, d)).groupBy("strategy").pivot("metric", ["ret", "drawdown"]).agg(F.first("z").alias("z"), F.first("current").alias("now"))
-    return wide.select("strategy", risk.health_score(F.round(F.greatest(F.abs("ret_z"), F.abs("drawdown_z")), 6), F.round("drawdown_now", 6), F.lit(0.05), F.round(F.abs("ret_z") / 4, 6)).alias("health"))
+WINDOW = 24
 
 
-register("health_score", _health, f"""with v as ({_METRIC_VALUES}), a as (select strategy, metric, arg_max(x, date) as now, abs((arg_max(x, date) - avg(x)) / stddev_pop(x)) as z from v group by 1, 2),
-w as (select strategy, round(max(z), 6) as z, round(abs(max(now) filter (metric = 'drawdown')), 6) as dd, round(max(z) filter (metric = 'ret') / 4, 6) as c from a group by 1)
+def _health(spark: SparkSession, d: str) -> DataFrame:
+    """The last date's largest distance, drawdown and shift; no forest has been grown."""
+    shifts = anomaly.cusum(_metric_values(spark, d), WINDOW)
+    last = shifts.groupBy("strategy").agg(F.max("date").alias("date"))
+    now = shifts.join(F.broadcast(last), ["strategy", "date"]).groupBy("strategy").agg(
+        F.coalesce(F.max(F.abs("z")), F.lit(0.0)).alias("z"), F.max(F.when(F.col("metric") == "drawdown", F.col("x"))).alias("drawdown"), F.coalesce(F.max(F.greatest("up", "down") / F.col("limit")), F.lit(0.0)).alias("ratio")
+    )
+    return now.select("strategy", risk.health_score(F.round("z", 6), F.round("drawdown", 6), F.lit(None).cast("double"), F.round("ratio", 6)).alias("health"))
+
+
+def _health_forest(spark: SparkSession, d: str) -> DataFrame:
+    """health_score with the isolation of the last date's return and drawdown among all strategies' dates."""
+    values = _metric_values(spark, d)
+    wide = values.groupBy("strategy", "date").pivot("metric", ["ret", "drawdown"]).agg(F.first("x"))
+    scored = anomaly.isolation_forest(wide, ["ret", "drawdown"]).withColumn("k", F.row_number().over(Window.partitionBy("strategy").orderBy(F.desc("date")))).where("k = 1")
+    shifts = anomaly.cusum(values, WINDOW).join(scored.select("strategy", "date"), ["strategy", "date"]).groupBy("strategy").agg(F.max(F.abs("z")).alias("z"), F.max(F.greatest("up", "down") / F.col("limit")).alias("ratio"))
+    return scored.join(shifts, "strategy").select("strategy", F.round("isolation", 6).alias("isolation"), risk.health_score(F.round("z", 6), F.round("drawdown", 6), F.col("isolation"), F.round("ratio", 6)).alias("health"))
+
+
+_SHIFTS = anomaly.cusum_sql(_METRIC_VALUES, WINDOW)
+register("cusum_shifts", lambda spark, d: rounded(anomaly.cusum(_metric_values(spark, d), WINDOW)), f"select strategy, metric, date, {shown('x z')}, round(\"limit\", 6) as \"limit\", {shown('up down')}, alarm from ({_SHIFTS})")
+register("cusum_alerts", lambda spark, d: rounded(anomaly.alerts(anomaly.cusum(_metric_values(spark, d), WINDOW))), f"""select strategy, metric, date, split_part(alarm, ' ', 1) as severity, split_part(alarm, ' ', 2) as direction, round(greatest(up, down), 6) as amount, round("limit", 6) as "limit" from ({_SHIFTS}) where alarm is not null""")
+register("isolation_scores", lambda spark, d: rounded(anomaly.isolation_forest(month(spark, d).selectExpr("asset", "date", "round(ret, 9) as ret", "round(volume, 9) as volume", "round(high / low - 1, 9) as span"), ["ret", "volume", "span"])), None)
+register("health_score_isolation", _health_forest, None)
+register("health_score", _health, f"""with s as ({_SHIFTS}), l as (select strategy, max(date) as date from s group by 1),
+w as (select strategy, round(coalesce(max(abs(z)), 0), 6) as z, round(abs(max(x) filter (metric = 'drawdown')), 6) as dd, round(coalesce(max(greatest(up, down) / "limit"), 0), 6) as c from s join l using (strategy, date) group by 1)
 select strategy, round(0.3 * (100 - case when z <= 1 then 0 when z <= 2.5 then (z - 1) * 20 when z <= 3.5 then 30 + (z - 2.5) * 30 else least(100, 60 + (z - 3.5) * 20) end)
- + 0.3 * case when dd <= 0.02 then 100 when dd <= 0.08 then 100 - (dd - 0.02) / 0.06 * 40 when dd <= 0.15 then 60 - (dd - 0.08) / 0.07 * 40 else greatest(0, 20 - (dd - 0.15) * 200) end + 0.2 * 85
+ + 0.3 * case when dd <= 0.02 then 100 when dd <= 0.08 then 100 - (dd - 0.02) / 0.06 * 40 when dd <= 0.15 then 60 - (dd - 0.08) / 0.07 * 40 else greatest(0, 20 - (dd - 0.15) * 200) end + 0.2 * 100
  + 0.2 * case when c <= 0.5 then 100 - c * 40 when c <= 1 then 80 - (c - 0.5) * 80 else greatest(0, 40 - (c - 1) * 80) end, 1) as health from w""")

@@ -152,8 +152,8 @@ def _own(x: str, name: str, seen: set[str]) -> str:
     return re.sub(r"\b(" + "|".join(sorted(seen)) + r")\b", rf"{name}__\1", x) if seen else x
 
 
-def compute_all(panel: DataFrame, members: dict[str, Stages], least: int = 10) -> DataFrame:
-    """factor, asset, date, value and signal of many factors from one pass: stages of equal depth share the frames' one exchange by asset.
+def compute_all(panel: DataFrame, members: dict[str, Stages], least: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
+    """factor, asset, date, columns to keep, value and signal of many factors from one pass: stages of equal depth share the frames' one exchange by asset.
 
     For factors whose stages look along an asset only; ranks take one exchange by factor and date.
     """
@@ -167,8 +167,8 @@ def compute_all(panel: DataFrame, members: dict[str, Stages], least: int = 10) -
         again = {f"{name}__{c}" for name, stages in members.items() if depth < len(stages) for c in stages[depth] if any(c in s for s in stages[:depth])}
         panel = panel.drop(*again).withColumnsRenamed({f"{c}_": c for c in again})
     values = {name: f"{name}__value" for name in members}
-    tall = panel.selectExpr("asset", "date", *[f"round(cast({c} as double), 9) as `{n}`" for n, c in values.items()]).unpivot(["asset", "date"], list(values), "factor", "value")
-    return tall.selectExpr("factor", "asset", "date", "value", f"round({cs_rank('value', least).replace('partition by date', 'partition by factor, date')}, 9) as signal")
+    tall = panel.selectExpr("asset", "date", *keep, *[f"round(cast({c} as double), 9) as `{n}`" for n, c in values.items()]).unpivot(["asset", "date", *keep], list(values), "factor", "value")
+    return tall.selectExpr("factor", "asset", "date", *keep, "value", f"round({cs_rank('value', least).replace('partition by date', 'partition by factor, date')}, 9) as signal")
 
 
 def compute_all_sql(panel_sql: str, columns: tuple[str, ...], members: dict[str, Stages], least: int = 10) -> str:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.recursion import ewm
+
 
 def by(key: str = "asset"):
     return Window.partitionBy(key).orderBy("date")
@@ -143,3 +145,21 @@ def hold_weights(labels: DataFrame, table: DataFrame, returns: DataFrame, every:
     held = placed.withColumn("g", F.floor(F.col("i") / every).cast("int")).join(F.broadcast(marks), "g")  # one row for each rebalance
     both = held.join(F.broadcast(table.withColumnRenamed("label", "held")), "held").join(returns, ["date", "bucket"])
     return both.groupBy("date").agg(F.sum(F.col("w") * F.col("r")).alias("r"))
+
+
+def trend_regime(bars: DataFrame, fast: int = 50, slow: int = 200, n: int = 14, usual: int = 252, least: int = 60) -> DataFrame:
+    """asset, date and trend of bars (asset, date, high, low, price): bull or bear where the fast mean is above or below the slow one and the
+    move over n rows, against the exponential mean of true ranges, is above its own median; else sideways."""
+    w = Window.partitionBy("asset").orderBy("date")
+    before = F.lag("price").over(w)
+    ranged = bars.withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))).withColumn("moved", F.col("price") - F.lag("price", n).over(w))
+    atr = ewm(ranged, F.col("tr"), 2 / (n + 1), "atr", adjust=True)
+    mean = lambda k: F.round(F.when(F.count("price").over(w.rowsBetween(1 - k, 0)) >= k, F.avg("price").over(w.rowsBetween(1 - k, 0))), 9)
+    enough = F.count("tr").over(w.rowsBetween(Window.unboundedPreceding, 0)) >= n
+    rows = atr.select("asset", "date", mean(fast).alias("fast"), mean(slow).alias("slow"), F.round(F.when(enough, F.abs("moved") / (F.col("atr") * n**0.5 + 1e-10)), 9).alias("strength"))
+    year = w.rowsBetween(1 - usual, 0)
+    held = F.sort_array(F.collect_list("strength").over(year))  # `usual` numbers for each row
+    middle = (F.element_at(held, F.floor((F.size(held) + 1) / 2).cast("int")) + F.element_at(held, F.floor((F.size(held) + 2) / 2).cast("int"))) / 2
+    strong = F.col("strength") > F.when(F.size(held) >= least, F.round(middle, 9))
+    label = F.when(strong & (F.col("fast") > F.col("slow")), "bull").when(strong & (F.col("fast") < F.col("slow")), "bear").otherwise("sideways")
+    return rows.select("asset", "date", label.alias("trend"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normal import normal_cdf
+
 
 def in_order():
     return Window.partitionBy("strategy").orderBy("date")
@@ -82,13 +84,15 @@ def tail_stats(returns: DataFrame) -> DataFrame:
 
 
 def deflated_sharpe(returns: DataFrame, trials: int) -> DataFrame:
-    """The z-score of each strategy's monthly Sharpe ratio against the best of so many trials without skill; 0 under 12 months."""
+    """The z-score of each strategy's monthly Sharpe ratio against the best of so many trials without skill, the probability of skill
+    (dsr) and of as much without it (p); 0, 0.5 and 0.5 under 12 months."""
     agg = returns.groupBy("strategy").agg(F.count("r").alias("n"), (F.avg("r") / (F.stddev_samp("r") + 1e-10)).alias("s"), sample_skew("r").alias("g"), sample_kurtosis("r").alias("k"))
     root = F.sqrt(2 * F.ln(F.lit(float(max(trials, 2)))))
     best = (root - (F.ln(F.pi()) + 0.5772) / (2 * root)) / F.sqrt("n")
     s, g = F.col("s"), F.col("g")
     spread = F.sqrt((1 + 0.5 * s * s - g * s + (F.col("k") + 3) / 4 * s * s) / F.greatest(F.col("n") - 1, F.lit(1)))
-    return agg.select("strategy", "n", F.when(F.col("n") < 12, 0.0).otherwise((s - best) / (spread + 1e-10)).alias("z"))
+    z = agg.select("strategy", "n", F.when(F.col("n") < 12, 0.0).otherwise((s - best) / (spread + 1e-10)).alias("z"))
+    return z.withColumn("dsr", F.expr(normal_cdf("z"))).withColumn("p", 1 - F.col("dsr"))
 
 
 #: The usual gates, as measure, comparison, threshold and category.

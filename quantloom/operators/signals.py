@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normal import normal_cdf, normal_cdf_sql
+from ..functions.recursion import ewm
+
 #: Words of the headline scorer.
 POSITIVE = (
     "beat surge rally upgrade growth profit record breakthrough soar bullish outperform raise strong positive approve gain rise expand exceed boost buy recommend innovation deal partnership dividend "
@@ -137,3 +140,67 @@ def option_signal(measures: DataFrame) -> DataFrame:
     z = lambda c: F.when(F.col(c).isNotNull(), F.coalesce(F.try_divide(F.col(c) - F.avg(c).over(one), F.stddev_samp(c).over(one)), F.lit(0.0)))
     x = measures.select("underlying", F.round(0.4 * z("iv_skew") - 0.3 * z("put_call_ratio") - 0.3 * z("term_structure"), 9).alias("x"))
     return x.select("underlying", F.when(F.count("x").over(one) <= 1, F.when(F.col("x").isNotNull(), 0.0)).otherwise(share_rank("x")).alias("signal"))
+
+
+#: The bracket of an implied volatility, and how often it is halved: to 1e-14.
+LEAST_VOLATILITY, MOST_VOLATILITY, HALVINGS = 0.01, 5.0, 50
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL text: body, in which name stands for value, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def option_price(kind: str, spot: str, strike: str, years: str, rate: str, sigma: str) -> str:
+    """SQL text: the price of a European option without dividends."""
+    d1 = f"(ln({spot} / {strike}) + ({rate} + v * v / 2) * {years}) / (v * sqrt({years}))"
+    call = _let("v", sigma, _let("p", d1, _let("q", f"p - v * sqrt({years})", f"{spot} * {normal_cdf('p')} - {strike} * exp(-({rate}) * {years}) * {normal_cdf('q')}")))
+    return f"({call} + case when {kind} = 'call' then 0e0 else {strike} * exp(-({rate}) * {years}) - {spot} end)"
+
+
+def implied_vol(chain: DataFrame, rate: float = 0.05) -> DataFrame:
+    """chain (kind, mid, spot, strike, dte) with iv: the volatility at which the price is mid, found by halving a bracket; where mid
+    is outside the bracket's prices the proxy, and null where that is none either.
+
+    A higher-order function halves all quotes' brackets inside the scan: no Python, no shuffle.
+    """
+    years = "(dte / 365e0)"
+    at = lambda sigma: option_price("kind", "spot", "strike", years, f"{rate}e0", sigma)
+    good = chain.withColumn("_good", F.expr("dte > 0 and mid > 0 and spot > 0 and strike > 0 and kind in ('call', 'put')"))
+    inside = good.withColumn("_in", F.expr(f"case when _good then mid > {at(f'{LEAST_VOLATILITY}e0')} and mid < {at(f'{MOST_VOLATILITY}e0')} else false end"))
+    half = "((b.low + b.high) / 2)"
+    halved = f"aggregate(sequence(1, {HALVINGS}), named_struct('low', {LEAST_VOLATILITY}D, 'high', {MOST_VOLATILITY}D), (b, i) -> case when {at(half)} > mid then named_struct('low', b.low, 'high', {half}) else named_struct('low', {half}, 'high', b.high) end, b -> {half})"
+    found = inside.withColumn("iv", F.when(F.col("_in"), F.expr(halved)).otherwise(F.when(F.col("_good"), implied_vol_proxy(F.col("mid"), F.col("spot"), F.col("dte")))))
+    return found.drop("_good", "_in")
+
+
+def implied_vol_sql(chain: str, rate: float = 0.05) -> str:
+    """DuckDB: the bracket halved by a recursion over all quotes, on prices by series."""
+    d1 = "((ln(spot / strike) + ({r} + {s} * {s} / 2) * y) / ({s} * sqrt(y)))"
+
+    def price(s: str) -> str:
+        a = d1.format(r=rate, s=s)
+        call = f"(spot * ({normal_cdf_sql(a)}) - strike * exp(-{rate} * y) * ({normal_cdf_sql(f'({a} - {s} * sqrt(y))')}))"
+        return f"(case when kind = 'call' then {call} else {call} - spot + strike * exp(-{rate} * y) end)"
+
+    lows, highs = price(f"{LEAST_VOLATILITY}::double"), price(f"{MOST_VOLATILITY}::double")
+    mid = price("((low + high) / 2)")
+    return f"""with recursive g as (select row_number() over () as id, *, dte / 365 as y, dte > 0 and mid > 0 and spot > 0 and strike > 0 as good from ({chain})),
+    f as (select *, case when good then mid > {lows} and mid < {highs} else false end as within from g),
+    r as (select id, 0 as k, {LEAST_VOLATILITY}::double as low, {MOST_VOLATILITY}::double as high from f where within
+      union all select id, k + 1, case when above then low else (low + high) / 2 end, case when above then (low + high) / 2 else high end
+      from (select r.id, k, low, high, {mid} > mid as above from r join f on f.id = r.id where k < {HALVINGS})),
+    v as (select id, (low + high) / 2 as sigma from r where k = {HALVINGS})
+    select f.* exclude (id, y, good, within), case when within then sigma when good and mid / (0.4 * spot * sqrt(y)) > 0 and mid / (0.4 * spot * sqrt(y)) <= 5 then mid / (0.4 * spot * sqrt(y)) end as iv from f left join v on v.id = f.id"""
+
+
+def trend_follow(bars: DataFrame, fast: int = 10, slow: int = 50, loud: int = 20, long_only: bool = False) -> DataFrame:
+    """asset, date and signal of bars (asset, date, price, volume): the side of two exponential means, taken at a crossing if its volume
+    is above the mean of `loud` rows, and on rows without a crossing from row `slow` on; until then, and between, what was taken last, 0 before."""
+    w = Window.partitionBy("asset").orderBy("date")
+    both = ewm(ewm(bars, F.col("price"), 2 / (fast + 1), "fast"), F.col("price"), 2 / (slow + 1), "slow")
+    gap, frame = F.round(F.col("fast") - F.col("slow"), 9), w.rowsBetween(1 - loud, 0)
+    rows = both.select("asset", "date", (F.row_number().over(w) - 1).alias("i"), F.when(gap > 0, 1).when(gap < 0, 0 if long_only else -1).otherwise(0).alias("trend"), F.coalesce(F.col("volume") > F.when(F.count("volume").over(frame) >= loud, F.avg("volume").over(frame)), F.lit(False)).alias("loud"))
+    crossed = F.coalesce(F.col("trend") != F.lag("trend").over(w), F.lit(False))
+    taken = rows.withColumn("crossed", crossed).withColumn("taken", F.when(F.col("crossed") & F.col("loud"), F.col("trend")).when(~F.col("crossed") & (F.col("i") >= slow), F.col("trend")))
+    return taken.select("asset", "date", F.coalesce(F.last("taken", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("int").alias("signal"))

@@ -19,9 +19,10 @@ def forward_sum(panel: DataFrame, n: int) -> DataFrame:
     return panel.select("asset", "date", F.when(F.count("ret").over(ahead) >= n, F.sum("ret").over(ahead)).alias("fwd"))
 
 
-def ic_by_factor(tall: DataFrame, forward: DataFrame, least: int = 20) -> DataFrame:
-    """Rank correlation of each factor with forward returns (date, asset, fwd) on dates with enough names that have both."""
-    both = tall.where("signal is not null").join(forward.where("fwd is not null"), ["date", "asset"])
+def ic_by_factor(tall: DataFrame, forward: DataFrame | None = None, least: int = 20) -> DataFrame:
+    """Rank correlation of each factor with forward returns (date, asset, fwd; without them tall's own fwd) on dates with enough names that have both."""
+    known = tall.where("signal is not null")
+    both = known.where("fwd is not null") if forward is None else known.join(forward.where("fwd is not null"), ["date", "asset"])
     place = lambda x: F.rank().over(Window.partitionBy("factor", "date").orderBy(x)) + (F.count("*").over(Window.partitionBy("factor", "date", x)) - 1) / 2
     ranked = both.select("factor", "date", place("signal").alias("a"), place("fwd").alias("b"))
     return ranked.groupBy("factor", "date").agg(F.round(F.corr("a", "b"), 6).alias("ic"), F.count("*").alias("n")).where(F.col("n") >= least)
@@ -39,16 +40,15 @@ def turnover(tall: DataFrame, n: int) -> DataFrame:
 
 
 def newey_west(ics: DataFrame) -> DataFrame:
-    """Mean, naive t and t with a Bartlett-weighted long-run error of m = max(1, whole part of n**(1/3)) lags; null under 10 dates."""
-    base = ics.where("ic is not null").select("factor", "date", "ic").withColumn("k", F.row_number().over(by_factor()))
-    stats = base.groupBy("factor").agg(F.count("*").alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("sd"))
-    stats = stats.withColumn("m", F.greatest(F.lit(1), F.floor(F.pow("n", F.lit(1 / 3)) + 1e-9).cast("int")))
-    e = base.join(stats, "factor").select("factor", "k", "n", "m", "mean", "sd", (F.col("ic") - F.col("mean")).alias("e"))
-    lagged = e.select("factor", "k", "e", F.explode(F.sequence(F.lit(0), F.col("m"))).alias("lag"), "n", "m", "mean", "sd")
-    other = e.select("factor", (F.col("k")).alias("j"), F.col("e").alias("f"))
-    pairs = lagged.withColumn("j", F.col("k") - F.col("lag")).join(other, ["factor", "j"])
-    weight = F.when(F.col("lag") == 0, 1.0).otherwise(2 * (1 - F.col("lag") / (F.col("m") + 1)))
-    agg = pairs.groupBy("factor", "n", "m", "mean", "sd").agg(F.sqrt(F.sum(weight * F.col("e") * F.col("f")) / F.col("n") / F.col("n")).alias("se"))
+    """Mean, naive t and t with a Bartlett-weighted long-run error of m = max(1, whole part of n**(1/3)) lags; null under 10 dates.
+
+    One exchange: a factor's series, a value for each date, is an array whose products with itself some dates on are added up.
+    """
+    series = ics.where("ic is not null").groupBy("factor").agg(F.count("*").alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("sd"), F.sort_array(F.collect_list(F.struct("date", "ic"))).alias("s"))
+    series = series.withColumn("m", F.greatest(F.lit(1), F.floor(F.pow("n", F.lit(1 / 3)) + 1e-9).cast("int"))).withColumn("e", F.expr("transform(s, x -> x.ic - mean)"))
+    apart = "aggregate(zip_with(slice(e, 1, size(e) - lag), slice(e, lag + 1, size(e) - lag), (a, b) -> a * b), 0D, (t, p) -> t + p)"
+    long_run = f"aggregate(sequence(0, least(m, size(e) - 1)), 0D, (acc, lag) -> acc + case when lag = 0 then 1D else 2 * (1 - lag / (m + 1)) end * {apart})"
+    agg = series.withColumn("se", F.expr(f"sqrt({long_run}) / n"))
     enough = F.col("n") >= 10
     return agg.select("factor", "n", F.when(enough, F.col("m")).alias("lags"), F.when(enough, F.col("mean")).alias("mean"), F.when(enough, F.try_divide(F.col("mean"), F.col("sd") / F.sqrt("n"))).alias("t_naive"), F.when(enough, F.try_divide(F.col("mean"), F.col("se"))).alias("t_adjusted"))
 
@@ -128,27 +128,42 @@ def fundamental_law(quality: DataFrame, names: float, periods: int) -> DataFrame
 
 
 def walk_forward(dates: DataFrame, train: int, test: int, step: int, expanding: bool) -> DataFrame:
-    """fold, role (train or test) and date: windows over the order of dates."""
+    """fold, role (train or test) and date: windows over the order of dates, as long as a whole test window is left."""
     placed = dates.select("date").distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("date")) - 1)  # a row for each date
     n = placed.count()
-    folds = [(k, 0 if expanding else s, s + train, min(s + train + test, n)) for k, s in enumerate(range(0, max(n - train, 0), step)) if s + train < n]
+    folds = [(k, 0 if expanding else s, s + train, s + train + test) for k, s in enumerate(range(0, n - train - test + 1, step))]
     table = dates.sparkSession.createDataFrame(folds or [(0, 0, 0, 0)], "fold int, start int, cut int, stop int")
     inside = placed.join(F.broadcast(table), (F.col("i") >= F.col("start")) & (F.col("i") < F.col("stop")))  # a row for each fold
     return inside.select("fold", F.when(F.col("i") < F.col("cut"), "train").otherwise("test").alias("role"), "date")
 
 
-def walk_forward_run(study: DataFrame, folds: DataFrame) -> DataFrame:
-    """Sharpe ratio of buying the top fifth and selling the bottom fifth (five names at least) by fold and role."""
+def _long_short(study: DataFrame) -> DataFrame:
+    """date and x: the mean of the top fifth (five names at least) less that of the bottom fifth."""
     known = study.where("signal is not null and fwd is not null")
     by = Window.partitionBy("date")
     n = F.count("*").over(by)
     placed = known.withColumn("k", F.greatest(F.lit(5), F.floor(n / 5))).withColumn("up", F.row_number().over(by.orderBy(F.desc("signal"), "asset"))).withColumn("down", F.row_number().over(by.orderBy("signal", "asset"))).withColumn("n", n)
-    daily = placed.where("n >= 2 * k").groupBy("date").agg((F.avg(F.when(F.col("up") <= F.col("k"), F.col("fwd"))) - F.avg(F.when(F.col("down") <= F.col("k"), F.col("fwd")))).alias("x"))
+    return placed.where("n >= 2 * k").groupBy("date").agg((F.avg(F.when(F.col("up") <= F.col("k"), F.col("fwd"))) - F.avg(F.when(F.col("down") <= F.col("k"), F.col("fwd")))).alias("x"))
+
+
+def walk_forward_run(study: DataFrame, folds: DataFrame) -> DataFrame:
+    """Sharpe ratio of buying the top fifth and selling the bottom fifth (five names at least) by fold and role."""
     sharpe = F.coalesce(F.try_divide(F.avg("x"), F.stddev_samp("x")) * F.sqrt(F.lit(12.0)), F.lit(0.0))
-    wide = daily.join(folds, "date").groupBy("fold").pivot("role", ["train", "test"]).agg(sharpe)
+    wide = _long_short(study).join(folds, "date").groupBy("fold").pivot("role", ["train", "test"]).agg(sharpe)
     return wide.withColumn("retention", F.try_divide(F.col("test"), F.col("train"))).withColumn("decay", 1 - F.try_divide(F.col("test"), F.col("train")))
 
 
+def walk_forward_summary(study: DataFrame, folds: DataFrame) -> DataFrame:
+    """One row: the Sharpe ratio of all test returns together, mean ratios in and out of sample, retention of folds that earn in sample, and decay. A ratio of fewer than three returns is 0."""
+    sharpe = lambda: F.when((F.count("x") >= 3) & (F.stddev_samp("x") > 0), F.avg("x") / F.stddev_samp("x") * F.sqrt(F.lit(12.0))).otherwise(0.0)
+    both = _long_short(study).join(folds, "date")
+    by = both.groupBy("fold", "role").agg(sharpe().alias("sharpe"))
+    each = by.groupBy("fold").pivot("role", ["train", "test"]).agg(F.first("sharpe"))
+    means = each.agg(F.count("*").alias("folds"), F.avg("train").alias("train"), F.avg("test").alias("test"), F.avg(F.when(F.col("train") > 0, F.col("test") / F.col("train"))).alias("retention"))
+    pooled = both.where("role = 'test'").agg(F.when(F.stddev_samp("x") > 0, F.avg("x") / F.stddev_samp("x") * F.sqrt(F.lit(12.0))).otherwise(0.0).alias("pooled"))
+    return means.join(pooled, how="cross").withColumn("decay", F.when(F.col("train") > 0, 1 - F.col("test") / F.col("train")))  # one row each
+
+
 def rolling_ic(ics: DataFrame, n: int) -> DataFrame:
     """Each date's mean coefficient over n dates and the sum so far."""
     last = by_factor().rowsBetween(1 - n, 0)
@@ -177,3 +192,12 @@ def consensus(scores: DataFrame, names: list[str]) -> DataFrame:
     one = Window.partitionBy(F.lit(0))  # a row for each factor
     place = lambda c: F.rank().over(one.orderBy(F.desc_nulls_last(c))) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
     return scores.select("factor", (sum((place(c) for c in names[1:]), place(names[0])) / len(names)).alias("mean_place"))
+
+
+def ic_histogram(ics: DataFrame, bins: int = 30) -> DataFrame:
+    """factor, bin (from 1), its lower edge and the number of coefficients in it: equal bins from the factor's least to its largest, the last one closed."""
+    ends = Window.partitionBy("factor")
+    low, wide = F.min("ic").over(ends), (F.max("ic").over(ends) - F.min("ic").over(ends)) / bins
+    placed = ics.where("ic is not null").select("factor", "ic", low.alias("low"), wide.alias("wide"))
+    k = F.when(F.col("wide") > 0, F.least(F.floor(F.round((F.col("ic") - F.col("low")) / F.col("wide"), 9)) + 1, F.lit(bins))).otherwise(1).cast("int")
+    return placed.groupBy("factor", k.alias("bin")).agg(F.max("low").alias("low"), F.max("wide").alias("wide"), F.count("*").alias("n")).select("factor", "bin", (F.col("low") + (F.col("bin") - 1) * F.col("wide")).alias("edge"), "n")
