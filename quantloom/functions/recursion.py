@@ -25,26 +25,26 @@ def ewm(df: DataFrame, x: Column, alpha: float, out: str, *, adjust: bool = Fals
     keep = 1 - alpha
     rows = max(1, int(math.log(1e6) / -math.log(keep)))
     so_far = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_x", x.cast("double")).withColumn("_k", F.count("_x").over(so_far) - 1)
-    df = df.withColumn("_b", F.floor(F.col("_k") / rows)).withColumn("_j", F.col("_k") - F.col("_b") * rows)
-    weight = F.lit(1.0) if adjust else F.when(F.col("_k") == 0, 1.0).otherwise(alpha)
-    inside = Window.partitionBy(*by, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_s", F.sum(F.col("_x") * weight * F.pow(F.lit(keep), -F.col("_j"))).over(inside) * F.pow(F.lit(keep), F.col("_j")))
-    whole = F.max(F.when((F.col("_j") == rows - 1) & F.col("_x").isNotNull(), F.col("_s")))
-    blocks = Window.partitionBy(*by).orderBy("_b")
+    df = df.withColumn("__ewm_x", x.cast("double")).withColumn("__ewm_k", F.count("__ewm_x").over(so_far) - 1)
+    df = df.withColumn("__ewm_b", F.floor(F.col("__ewm_k") / rows)).withColumn("__ewm_j", F.col("__ewm_k") - F.col("__ewm_b") * rows)
+    weight = F.lit(1.0) if adjust else F.when(F.col("__ewm_k") == 0, 1.0).otherwise(alpha)
+    inside = Window.partitionBy(*by, "__ewm_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__ewm_s", F.sum(F.col("__ewm_x") * weight * F.pow(F.lit(keep), -F.col("__ewm_j"))).over(inside) * F.pow(F.lit(keep), F.col("__ewm_j")))
+    whole = F.max(F.when((F.col("__ewm_j") == rows - 1) & F.col("__ewm_x").isNotNull(), F.col("__ewm_s")))
+    blocks = Window.partitionBy(*by).orderBy("__ewm_b")
     before = sum((F.coalesce(whole.over(blocks.rangeBetween(-m, -m)), F.lit(0.0)) * keep ** (rows * (m - 1)) for m in (1, 2, 3)), F.lit(0.0))
-    value = F.col("_s") + before * F.pow(F.lit(keep), F.col("_j") + 1)
+    value = F.col("__ewm_s") + before * F.pow(F.lit(keep), F.col("__ewm_j") + 1)
     if adjust:
-        value = value * alpha / (1 - F.pow(F.lit(keep), F.col("_k") + 1))
-    return df.withColumn(out, F.when(F.col("_k") >= 0, value)).drop("_x", "_k", "_b", "_j", "_s")
+        value = value * alpha / (1 - F.pow(F.lit(keep), F.col("__ewm_k") + 1))
+    return df.withColumn(out, F.when(F.col("__ewm_k") >= 0, value)).drop("__ewm_x", "__ewm_k", "__ewm_b", "__ewm_j", "__ewm_s")
 
 
 def wilder(df: DataFrame, x: Column, n: int, out: str, *, by: tuple[str, ...] = ("asset",), order: str = "date") -> DataFrame:
     """df with out: the mean of the first n values, from then on 1/n of the new value and the rest of what was; null before, and where x is not there from its first value on."""
     w = Window.partitionBy(*by).orderBy(order)
-    df = df.withColumn("_v", x.cast("double")).withColumn("_n", F.count("_v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    seed = F.when(F.col("_n") == n, F.avg("_v").over(w.rowsBetween(1 - n, 0))).when(F.col("_n") > n, F.col("_v"))
-    return ewm(df.withColumn("_z", seed), F.col("_z"), 1 / n, out, by=by, order=order).drop("_v", "_n", "_z")
+    df = df.withColumn("__wilder_v", x.cast("double")).withColumn("__wilder_n", F.count("__wilder_v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    seed = F.when(F.col("__wilder_n") == n, F.avg("__wilder_v").over(w.rowsBetween(1 - n, 0))).when(F.col("__wilder_n") > n, F.col("__wilder_v"))
+    return ewm(df.withColumn("__wilder_z", seed), F.col("__wilder_z"), 1 / n, out, by=by, order=order).drop("__wilder_v", "__wilder_n", "__wilder_z")
 
 
 def ewm_sql(rows: str, x: str, alpha: float, out: str, adjust: bool = False, by: str = "asset", order: str = "date") -> str:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import normal_cdf_sql
 from ..functions.recursion import ewm, ewm_sql, wilder
-from ..operators import audit, factors, macro, significance, signals
+from ..operators import audit, factors, macro, signals, significance
+from ..streaming import indicators, ticks
 from .catalog import MONTH, ORACLES, month, register
 from .cleaning_queries import CHAIN, chain
 from .evaluation_queries import _NW, _STUDY, ICS, NAMES, TALL, _folds, _folds_sql, _study, ics, tall
 from .factor_queries import WEEK, week
-from .registry import _MOM, _SIGNAL_SQL
+from .registry import _DAY_BARS, _INDICATORS_SQL, _MOM, _SIGNAL_SQL, _ticks
 from .risk_queries import rounded, shown
 
 _WIDE = f"select date, asset, {', '.join(f'max(signal) filter (factor = {n!r}) as {n}' for n in NAMES)} from ({TALL}) group by 1, 2"
@@ -102,3 +103,21 @@ c as (select *, coalesce(trend <> lag(trend) over (partition by asset order by d
 a as (select asset, date, case when crossed and loud then trend when not crossed and i >= 50 then trend end as taken from c)
 select asset, date, coalesce(last_value(taken ignore nulls) over (partition by asset order by date rows between unbounded preceding and current row), 0)::int as signal from a"""
 register("trend_follow", lambda spark, d: signals.trend_follow(week(spark, d)), _FOLLOW)
+
+
+def _five(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars of events, with the hour's range as the quotes."""
+    rows = ticks.tick_bars(_ticks(spark, d), "1 hour").selectExpr("symbol", "start", "high", "low", "close", "cast(trade_count as double) as volume", "low as bid", "high as ask")
+    return rounded(indicators.five(rows, 5, 3))
+
+
+_HOURS = f"select symbol, start, high, low, close, volume, case when low > 0 and high > 0 then (high - low) / ((high + low) / 2) end as s, close - lag(close) over (partition by symbol order by start) as c from ({_DAY_BARS})"
+_DONE = f"select *, count(c) over (partition by symbol order by start) as n, avg(greatest(c, 0)) over l as g0, avg(greatest(-c, 0)) over l as l0 from ({_HOURS}) window l as (partition by symbol order by start rows between 2 preceding and current row)"
+_SMOOTHED = ewm_sql(ewm_sql(_DONE, "case when n = 3 then g0 when n > 3 then greatest(c, 0) end", 1 / 3, "gain", by="symbol", order="start"), "case when n = 3 then l0 when n > 3 then greatest(-c, 0) end", 1 / 3, "loss", by="symbol", order="start")
+register(
+    "realtime_five", _five,
+    f"""select symbol, start, momentum, case when n >= 1 then vwap_deviation end as vwap_deviation, volume_surge, round(case when k >= 5 and q >= 2 then case when sd < 1e-12 then 0 else greatest(least(-(now - usual) / sd / 3, 1), -1) end end, 6) as spread_signal,
+    round(case when gain is not null then case when loss = 0 then 1 else 1 - 2 / (1 + gain / loss) end end, 6) as rsi from (
+      select symbol, start, n, gain, loss, row_number() over (partition by symbol order by start) as k, count(s) over w as q, avg(s) over w as usual, stddev_pop(s) over w as sd, last_value(s ignore nulls) over w as now
+      from ({_SMOOTHED}) window w as (partition by symbol order by start rows between 4 preceding and current row)) join ({_INDICATORS_SQL}) using (symbol, start)""",
+)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.recursion import wilder
+
 
 def by_symbol():
     return Window.partitionBy("symbol").orderBy("start")
@@ -50,3 +52,21 @@ def buffer_stats(ticks: DataFrame, symbols: DataFrame | None = None) -> DataFram
     """Records by symbol and kind, of the subscribed symbols if they are given."""
     kept = ticks if symbols is None else ticks.join(F.broadcast(symbols), "symbol", "left_semi")  # a subscription is a short list
     return kept.groupBy("symbol", "kind").agg(F.count("*").alias("n"))
+
+
+def five(bars: DataFrame, n: int = 20, rsi_n: int = 14) -> DataFrame:
+    """symbol, start and five indicators of bars (symbol, start, high, low, close, volume, bid, ask), each row from its symbol's rows up to it.
+
+    momentum, vwap_deviation (from the second bar on) and volume_surge as in indicators(); spread_signal: minus a third of the last quoted
+    spread's standard score among n bars, half of which need quotes, within -1 and 1; rsi: gains against losses by Wilder's averages, -1 to 1.
+    """
+    w, last = by_symbol(), by_symbol().rowsBetween(1 - n, 0)
+    spread = F.when((F.col("bid") > 0) & (F.col("ask") > 0), (F.col("ask") - F.col("bid")) / ((F.col("ask") + F.col("bid")) / 2))
+    change = F.col("close") - F.lag("close").over(w)
+    rows = indicators(bars, n).withColumn("_s", spread).withColumn("_up", F.greatest(change, 0 * change)).withColumn("_down", F.greatest(-change, 0 * change)).withColumn("_i", F.row_number().over(w))
+    rows = wilder(wilder(rows, F.col("_up"), rsi_n, "_gain", by=("symbol",), order="start"), F.col("_down"), rsi_n, "_loss", by=("symbol",), order="start")
+    sd, quoted = F.stddev_pop("_s").over(last), (F.col("_i") >= n) & (F.count("_s").over(last) >= max(n // 2, 1))
+    z = (F.last("_s", ignorenulls=True).over(last) - F.avg("_s").over(last)) / sd
+    signal = F.when(quoted, F.when(sd < 1e-12, 0.0).otherwise(F.greatest(F.least(-z / 3, F.lit(1.0)), F.lit(-1.0))))
+    rsi = F.when(F.col("_loss") == 0, 1.0).otherwise(1 - 2 / (1 + F.col("_gain") / F.col("_loss")))
+    return rows.select("symbol", "start", "momentum", F.when(F.col("_i") >= 2, F.col("vwap_deviation")).alias("vwap_deviation"), "volume_surge", signal.alias("spread_signal"), F.when(F.col("_gain").isNotNull(), rsi).alias("rsi"))
