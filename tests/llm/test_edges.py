@@ -212,6 +212,23 @@ def test_added_secrets_against_labels():
     assert precision >= 0.95 and recall >= 0.9, (precision, recall)
 
 
+def test_secrets_in_forms_that_code_has():
+    added = lambda t: [t[a:b] for k, a, b in secrets.spans_of(t) if k == secrets.EXTRA]
+    one = "Hunter2Secret9"
+    for text in [
+        f'pwd = """{one}"""', f"pwd = (\n  '{one}'\n)", f'x_credential = get("x") or "{one}"', f'x_credential = cfg.x || "{one}"', f'v = os.getenv("DB_PWD", "{one}")', f"<credential>{one}</credential>",
+        f"pwd: |\n  {one}\n", f'pwd = v\nv = "{one}"', f'def h():\n    v = "{one}"\n    pwd = v\n', f'function h() {{\n  const v = "{one}";\n  let pwd = v;\n}}\n', f'pwd = a or b or "{one}"',
+    ]:
+        assert added(text) == [one], text
+    assert added('pwd = "Hunter2" "Secret9"') == added('pwd = (\n "Hunter2"\n + "Secret9")') == ["Hunter2", "Secret9"]
+    for text in [
+        'encryption_key = "AES-256-GCM"', 'auth_token_type = "Bearer_2A"', f'def g():\n    v = "{one}"\n\ndef h():\n    pwd = v\n', 'signing_key_algorithm = "HS256"', 'pwd = getpass("Pass word 1")', 'pwd = (other_name)', "pwd = a or b",
+    ]:
+        assert added(text) == [], text
+    for odd in ("pwd = " + "(" * 100_000, "pwd = " + "a or " * 50_000, "pwd=f(" * 30_000, 'pwd = """' * 9_999, "<credential>" * 20_000, "def f(\n" * 20_000 + "pwd = x"):
+        assert isinstance(secrets.spans_of(odd), list)
+
+
 def test_added_personal_data_against_labels(spark):
     """Numbers that the patterns find once and miss elsewhere in the document, among numbers that are no personal data."""
     rng, rows, wanted = random.Random(5), [], {}
