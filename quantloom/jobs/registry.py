@@ -213,4 +213,4 @@ register("residual_returns", lambda spark, d: screen.residual(panel(spark, d, "m
 register("monthly_movers", lambda spark, d: screen.movers(panel(spark, d, "month"), 5), screen.movers_sql(panel_sql("month"), 5))
 register("volume_anomalies", lambda spark, d: screen.anomalies(panel(spark, d, "week").selectExpr(*_METRIC)), screen.anomalies_sql(f"select {', '.join(_METRIC)} from ({panel_sql('week')})"))
 
-from . import allocation_queries, audit_queries, cleaning_queries, evaluation_queries, factor_queries, learning_queries, regime_queries, regression_queries, risk_queries, signal_queries, simulation_queries, sleeve_queries  # noqa: E402, F401  they register themselves
+from . import allocation_queries, audit_queries, cleaning_queries, dispatch_queries, evaluation_queries, factor_queries, learning_queries, regime_queries, regression_queries, risk_queries, signal_queries, simulation_queries, sleeve_queries  # noqa: E402, F401  they register themselves

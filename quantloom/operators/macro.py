@@ -163,3 +163,17 @@ def trend_regime(bars: DataFrame, fast: int = 50, slow: int = 200, n: int = 14,
     strong = F.col("strength") > F.when(F.size(held) >= least, F.round(middle, 9))
     label = F.when(strong & (F.col("fast") > F.col("slow")), "bull").when(strong & (F.col("fast") < F.col("slow")), "bear").otherwise("sideways")
     return rows.select("asset", "date", label.alias("trend"))
+
+
+def liquidity_regime(bars: DataFrame, year: int = 252) -> DataFrame:
+    """asset, date and liquidity of bars (asset, date, high, low, price, volume): ample, normal or tight by where ranges over prices, less volume against its usual, stand among the year's."""
+    w = Window.partitionBy("asset").orderBy("date")
+    mean = lambda x, n, least: F.when(F.count(x).over(w.rowsBetween(1 - n, 0)) >= least, F.avg(x).over(w.rowsBetween(1 - n, 0)))
+    rows = bars.withColumn("range", F.try_divide(F.col("high") - F.col("low"), F.col("price")))
+    rows = rows.select("asset", "date", mean("range", 20, 15).alias("a"), F.try_divide(mean("volume", 20, 15), mean("volume", 60, 40)).alias("b"))
+    frame = w.rowsBetween(1 - year, 0)
+    z = lambda x: F.when(F.count(x).over(frame) >= 60, (F.col(x) - F.avg(x).over(frame)) / (F.stddev_samp(x).over(frame) + 1e-10))
+    scored = rows.select("asset", "date", F.round(z("a") - z("b"), 9).alias("score"))
+    held = F.collect_list("score").over(frame)  # the year's numbers for each row
+    share = F.when(F.col("score").isNotNull() & (F.size(held) >= 60), F.size(F.filter(held, lambda x: x < F.col("score"))) / (F.count("*").over(frame) - 1))
+    return scored.withColumn("share", share).select("asset", "date", F.when(F.col("share") < 0.3, "ample").when(F.col("share") > 0.7, "tight").otherwise("normal").alias("liquidity"))
