@@ -252,9 +252,9 @@ def correlation_alerts(positions: DataFrame, returns: DataFrame, top: int = 10,
     """Pairs among an account's largest positions whose returns correlate beyond the threshold, over dates that all of them have."""
     place = Window.partitionBy("account").orderBy(F.abs("market_value").desc(), "asset")
     largest = positions.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top).select("account", "asset")
-    held = returns.select("asset", "date", "ret").where("ret is not null").join(F.broadcast(largest), "asset")  # top rows for each account
+    held = returns.select("asset", "date", "ret").where("ret is not null").join(largest, "asset")
     n = largest.groupBy("account").agg(F.count("*").alias("n"))
-    whole = held.withColumn("k", F.count("*").over(Window.partitionBy("account", "date"))).join(F.broadcast(n), "account").where("k = n")
+    whole = held.withColumn("k", F.count("*").over(Window.partitionBy("account", "date"))).join(n, "account").where("k = n")
     a, b = whole.selectExpr("account", "date", "asset as a", "ret as x"), whole.selectExpr("account", "date", "asset as b", "ret as y")
     pairs = a.join(b, ["account", "date"]).where("a < b").groupBy("account", "a", "b").agg(F.corr("x", "y").alias("correlation"))
     c = F.abs("correlation")

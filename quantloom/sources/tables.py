@@ -39,9 +39,9 @@ def parse_news(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def write_panel(panel: DataFrame, path: str) -> None:
-    """panel by year and month; only the months that it has are replaced."""
+    """panel by year and month, assets in ranges, so that a large month is written by several tasks; only the months that it has are replaced."""
     parts = panel.withColumn("year", F.year("date")).withColumn("month", F.month("date"))
-    parts.repartition("year", "month").write.partitionBy("year", "month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    parts.repartitionByRange("year", "month", "asset").write.partitionBy("year", "month").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_ranking(ranking: DataFrame, path: str) -> None:
@@ -63,3 +63,23 @@ def to_wide(panel: DataFrame, field: str, assets: list) -> DataFrame:
 def to_long(wide: DataFrame, field: str) -> DataFrame:
     """The rows of a wide table's cells that have a value."""
     return wide.unpivot(["date"], [c for c in wide.columns if c != "date"], "asset", field).where(F.col(field).isNotNull())
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, column: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
+    """A table or query of a database, read in `parts` ranges of a numeric column by as many connections; rows outside low and high are in the first and last."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+    return reader.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts).options(**options).load()
+
+
+#: Ticks as a stream has them.
+TICKS = "event_id long, symbol long, ts timestamp, kind string, price double"
+
+
+def read_ticks_stream(spark: SparkSession, source: str, schema: str = TICKS, kind: str = "parquet", files: int | None = None, **options: str) -> DataFrame:
+    """Ticks of a folder that files are added to (or of another source: kind and its options), at most `files` new files a batch."""
+    reader = spark.readStream.format(kind).options(**options)
+    if kind in ("parquet", "json", "csv", "orc", "text"):
+        reader = reader.schema(schema)
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.load(source) if source else reader.load()

@@ -50,7 +50,7 @@ def last_n(ticks: DataFrame, n: int) -> DataFrame:
 
 def buffer_stats(ticks: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """Records by symbol and kind, of the subscribed symbols if they are given."""
-    kept = ticks if symbols is None else ticks.join(F.broadcast(symbols), "symbol", "left_semi")  # a subscription is a short list
+    kept = ticks if symbols is None else ticks.join(symbols, "symbol", "left_semi")
     return kept.groupBy("symbol", "kind").agg(F.count("*").alias("n"))
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import anomaly
+from quantloom.sources import tables
 from quantloom.streaming import indicators, live
 
 START = datetime.datetime(2024, 1, 1, 9)
@@ -125,7 +126,7 @@ def test_late_ticks_are_counted(spark, tmp_path):
     tick = lambda i, minute, price: (i, 1, START + datetime.timedelta(minutes=minute), "trade", price)
     for batch in ([tick(1, 0, 5.0), tick(2, 4, 6.0)], [tick(3, 3, 4.0), tick(4, 12, 7.0)], [tick(5, 30, 8.0)], [tick(8, 31, 8.0)], [tick(6, 1, 99.0)], [tick(7, 60, 8.0)]):
         put(spark, f"{tmp_path}/in", batch, schema)
-    query = run(live.live_bars(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), "10 minutes", "5 minutes"), f"{tmp_path}/out", f"{tmp_path}/check")
+    query = run(live.live_bars(tables.read_ticks_stream(spark, f"{tmp_path}/in", files=1), "10 minutes", "5 minutes"), f"{tmp_path}/out", f"{tmp_path}/check")
     first = spark.read.parquet(f"{tmp_path}/out").where(F.col("start") == F.lit(START)).collect()
     assert [(r["open_"], r["high"], r["low"], r["close"], r["trade_count"]) for r in first] == [(5.0, 6.0, 4.0, 6.0, 3)]  # the late tick within five minutes counts
     assert live.dropped(query) == 1
