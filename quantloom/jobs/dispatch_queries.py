@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dispatch, factors, macro
-from .catalog import MARKET, MONTH, REGIONS, STRATEGIES, market, month, read, regions, register, strategies
+from ..operators import dispatch, factors, macro, portfolio
+from . import audit_queries  # noqa: F401  trend_regime comes first
+from .catalog import MARKET, MONTH, ORACLES, REGIONS, STRATEGIES, market, month, read, regions, register, strategies
 from .evaluation_queries import COLUMNS, TALL, tall
 from .factor_queries import WEEK, week
 from .registry import _MOM, _SIGNAL_SQL
@@ -85,3 +86,30 @@ register(
     r as (select *, case when score is not null and k >= 60 then len(list_filter(held, lambda x: x < score)) / (n - 1) end as share from h)
     select asset, date, case when share < 0.3 then 'ample' when share > 0.7 then 'tight' else 'normal' end as liquidity from r""",
 )
+COMBOS = {
+    "peaks": {"momentum_12_1": 0.6, "high_52_week": 0.4}, "calm_peaks": {"momentum_12_1": 0.5, "high_52_week": 0.3, "volatility_12m": -0.2}, "lottery": {"max_return_12m": -1.0}, "defensive": {"volatility_12m": -0.5, "downside_vol": -0.5},
+    "all": {"momentum_12_1": 0.3, "volatility_12m": -0.2, "max_return_12m": -0.1, "high_52_week": 0.3, "downside_vol": -0.1}, "timed_peaks": {"momentum_12_1": 0.6, "high_52_week": 0.4},
+}
+_SUMS = " union all ".join(
+    f"select '{n}' as combo, date, asset, round(sum(signal * case factor {' '.join(f'when {f!r} then {w}' for f, w in c.items())} end) / nullif(sum(case when signal is not null then abs(case factor {' '.join(f'when {f!r} then {w}' for f, w in c.items())} end) end), 0), 9) as x from ({TALL}) where factor in ({', '.join(map(repr, c))}) group by 2, 3"
+    for n, c in COMBOS.items()
+)
+register(
+    "signal_catalogue", lambda spark, d: rounded(dispatch.catalogue(tall(spark, d), COMBOS, market(spark, d), ("timed_peaks",))),
+    f"select combo, date, asset, round(signal * case when combo = 'timed_peaks' then coalesce(momentum, 1) else 1 end, 6) as signal from (select combo, date, asset, {_place('x', 'combo, date')} as signal from ({_SUMS})) left join ({_SCALES}) using (date)",
+)
+register(
+    "regime_history", lambda spark, d: dispatch.regime_history({"trend": macro.trend_regime(week(spark, d)), "liquidity": macro.liquidity_regime(week(spark, d))}, 10),
+    f"select asset, date, trend, liquidity from ({ORACLES['trend_regime']}) join ({ORACLES['liquidity_regime']}) using (asset, date) qualify row_number() over (partition by asset order by date desc) <= 10",
+)
+_EVENTS = f"select date, count(*) * 0.001 / 5 as paid from ({ORACLES['entries_exits']}) group by 1"
+register(
+    "long_only_replay", lambda spark, d: portfolio.long_only(factors.compute(month(spark, d), _MOM), month(spark, d), 5, 3, 0.001).select("date", F.round("equity", 6).alias("equity"), "names"),
+    f"""with s as ({_SIGNAL_SQL}), c as (select date, row_number() over (order by date) - 1 as i from (select distinct date from s where signal is not null)), m as (select date as bought, lead(date) over (order by date) as sold from c where i % 3 = 0),
+    h as (select date as bought, asset from s join c using (date) where signal is not null and i % 3 = 0 qualify row_number() over (partition by date order by signal desc, asset) <= 5),
+    x as (select h.bought, h.asset, p.date, coalesce(p.ret, 0) as r from h join m using (bought) join ({MONTH}) p on p.asset = h.asset and p.date > h.bought and (sold is null or p.date <= sold)),
+    g as (select bought, asset, date, case when min(r) over w <= -1 then 0 else exp(sum(case when r > -1 then ln(1 + r) end) over w) end as g from x window w as (partition by bought, asset order by date)),
+    a as (select bought, date, avg(g) as m, count(*) as names from g group by 1, 2), e as (select bought, arg_max(a.m, a.date) * (1 - coalesce(any_value(paid), 0)) as step, coalesce(any_value(paid), 0) as paid from a left join ({_EVENTS}) v on v.date = a.bought group by 1),
+    k as (select bought, paid, coalesce(product(step) over (order by bought rows between unbounded preceding and 1 preceding), 1) as carried from e)
+    select date, round(carried * (1 - paid) * m, 6) as equity, names from a join k using (bought)""",
+)

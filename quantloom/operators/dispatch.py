@@ -113,3 +113,33 @@ def labelled(signals: DataFrame, prices: DataFrame, periods: tuple[int, ...] = (
     one = Window.partitionBy("date")
     rank = F.row_number().over(one.orderBy("signal", "asset"))
     return both.select("date", "asset", F.col("signal").alias("factor"), (F.floor((rank - 1) * quantiles / F.count("*").over(one)) + 1).cast("int").alias("bucket"), *[f"fwd_{k}" for k in periods])
+
+
+def catalogue(tall: DataFrame, combos: dict[str, dict[str, float]], market: DataFrame | None = None, wild: tuple[str, ...] = (), least: int = 10) -> DataFrame:
+    """combo, date, asset and signal of all combinations from one pivot: the rank of the weighted sum of the factors that a name has, by their weights; names without any have none.
+
+    Combinations named in wild are then scaled as momentum is by the market's regime (see regime_scale()).
+    """
+    names = sorted({f for w in combos.values() for f in w})
+    wide = tall.groupBy("date", "asset").pivot("factor", names).agg(F.first("signal"))
+
+    def mean(weights: dict[str, float]):
+        total = sum((F.coalesce(F.col(f), F.lit(0.0)) * w for f, w in weights.items()), F.lit(0.0))
+        return F.try_divide(total, sum((F.when(F.col(f).isNotNull(), abs(w)).otherwise(0.0) for f, w in weights.items()), F.lit(0.0)))
+
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("combo"), F.round(mean(w), 9).alias("x")) for n, w in combos.items()]))
+    rows = wide.select("date", "asset", each.alias("e")).select("e.combo", "date", "asset", "e.x")
+    ranked = rows.select("combo", "date", "asset", place("x", ("combo", "date"), least).alias("signal"))
+    if market is None or not wild:
+        return ranked
+    scale = F.when(F.col("combo").isin(*wild), F.coalesce("momentum", F.lit(1.0))).otherwise(1.0)
+    return ranked.join(F.broadcast(regime_scale(market)), "date", "left").select("combo", "date", "asset", (F.col("signal") * scale).alias("signal"))  # a row for each date
+
+
+def regime_history(labels: dict[str, DataFrame], n: int) -> DataFrame:
+    """asset, date and a column for each of labels (asset, date, label as the third column), on the last n dates of each asset that all have."""
+    out = None
+    for name, table in labels.items():
+        part = table.select("asset", "date", F.col(table.columns[2]).alias(name))
+        out = part if out is None else out.join(part, ["asset", "date"])
+    return out.withColumn("_k", F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("date")))).where(F.col("_k") <= n).drop("_k")

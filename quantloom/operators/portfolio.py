@@ -135,3 +135,25 @@ def replay_sql(weights: str, panel: str, rate: float) -> str:
     t as (select date, count(*) as k, (select coalesce(sum(trades), 0) from ({orders_sql(weights)}) o where o.date = w.date)::bigint as trades from w group by 1),
     n as (select date, coalesce(gross, 0) as gross, coalesce(trades, 0) as trades, round(coalesce(gross, 0) - coalesce(trades * {EXPOSURE}e0 / k * {rate}e0, 0), 9) as net from g full join t using (date))
     select *, {_EQUITY} from n"""
+
+
+def long_only(signals: DataFrame, panel: DataFrame, n: int, every: int, fee: float) -> DataFrame:
+    """date, equity and names of buying the n best names alike at each every-th date with signals and holding them until the next; each
+    name that enters or leaves pays fee on its share. Names drift between; a missing return is 0, a return of -1 or less ends a name."""
+    events = entries_exits(signals, n, every)
+    dates = Window.partitionBy(F.lit(0)).orderBy("date")  # a row for each date
+    marked = signals.where("signal is not null").select("date").distinct().withColumn("i", F.row_number().over(dates) - 1).where(F.col("i") % every == 0)
+    best = signals.where("signal is not null").join(F.broadcast(marked), "date").withColumn("k", F.row_number().over(Window.partitionBy("date").orderBy(F.desc("signal"), "asset"))).where(F.col("k") <= n)
+    held = best.select(F.col("date").alias("bought"), "asset")
+    paid = events.groupBy("date").agg((F.count("*") * fee / n).alias("paid"))
+    periods = marked.select(F.col("date").alias("bought"), F.lead("date").over(dates).alias("sold"))
+    days = panel.select("date", "asset", F.coalesce("ret", F.lit(0.0)).alias("r"))
+    inside = held.join(F.broadcast(periods), "bought").join(days, "asset").where("date > bought and (sold is null or date <= sold)")
+    grown = inside.withColumn("g", F.expr(GROWTH.format(r="r", over=" over (partition by bought, asset order by date)")))
+    mean = grown.groupBy("bought", "date").agg(F.avg("g").alias("m"), F.count("*").alias("names"))
+    ends = mean.groupBy("bought").agg(F.max_by("m", "date").alias("whole")).join(paid.withColumnRenamed("date", "bought"), "bought", "left").withColumn("step", F.col("whole") * (1 - F.coalesce("paid", F.lit(0.0))))
+    order = Window.partitionBy(F.lit(0)).orderBy("bought")  # a row for each rebalance
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("bought", "paid", F.when(F.coalesce(F.min("step").over(before), F.lit(1.0)) <= 0, 0.0).otherwise(F.exp(F.coalesce(F.sum(F.when(F.col("step") > 0, F.ln("step"))).over(before), F.lit(0.0)))).alias("carried"))
+    both = mean.join(F.broadcast(carried), "bought")
+    return both.select("date", F.round(F.col("carried") * (1 - F.coalesce("paid", F.lit(0.0))) * F.col("m"), 9).alias("equity"), "names")

@@ -84,3 +84,28 @@ def test_stream_of_bars_equals_the_batch(spark, tmp_path):
     query.awaitTermination(120)
     batch = ticks.tick_bars(events, "1 hour")
     assert rows(spark.table("hour_bars").collect(), batch.columns) == rows(batch.collect(), batch.columns)
+
+
+def test_long_only_replay_by_hand(spark):
+    import datetime
+    import random
+
+    from quantloom.operators import portfolio
+
+    rng, days = random.Random(3), [datetime.date(2020, 1, 1) + datetime.timedelta(days=k) for k in range(13)]
+    ret = {(k, a): None if rng.random() < 0.1 else round(rng.gauss(0, 0.05), 4) for k in range(13) for a in range(6)}
+    signal = {(k, a): None if rng.random() < 0.1 else rng.random() for k in range(13) for a in range(6)}
+    panel = spark.createDataFrame([(days[k], a, v) for (k, a), v in ret.items()], "date date, asset long, ret double")
+    signals = spark.createDataFrame([(days[k], a, v) for (k, a), v in signal.items()], "date date, asset long, signal double")
+    got = {r["date"]: (r["equity"], r["names"]) for r in portfolio.long_only(signals, panel, 2, 4, 0.01).collect()}
+    cash, held, worth = 1.0, [], {}
+    for k in range(13):
+        if held:
+            worth = {a: w * (1 + (ret[k, a] or 0)) for a, w in worth.items()}
+            cash = sum(worth.values())
+            assert got[days[k]] == (pytest.approx(cash, abs=1e-8), 2)
+        if k % 4 == 0:
+            best = sorted((a for a in range(6) if signal[k, a] is not None), key=lambda a: (-signal[k, a], a))[:2]
+            cash *= 1 - 0.01 * (len(set(best) - set(held)) + len(set(held) - set(best))) / 2
+            held, worth = best, {a: cash / 2 for a in best}
+    assert len(got) == 12
