@@ -511,3 +511,23 @@ def test_crc_of_the_tail(spark):
     got = media.report(spark.createDataFrame([(1, "ab" * 100)], KEPT)).first()
     payload = ("ab" * 100).encode().ljust(256, b"\0")
     assert got["tail_crc32"] == zlib.crc32(payload[-64:]) and got["rgb_bytes"] == 3 * 16 * 16
+
+
+def test_more_notices_and_short_licenses(spark):
+    """Licences as files have them: with title and holder, wrapped, as comments."""
+    import textwrap
+
+    texts, wanted = [], []
+    for name, text in licenses.NOTICES:
+        paragraphs = [textwrap.fill(p, 68) for p in text.split("\n\n")]
+        if len(text) > 500 and name in ("0BSD", "Unlicense", "BSL-1.0"):
+            title = {"0BSD": "BSD Zero Clause License", "Unlicense": "The Unlicense", "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003"}[name]
+            texts.append(f"{title}\n\nCopyright (c) 2020 Some One\n\n" + "\n\n".join(paragraphs) + "\n")
+            wanted.append((name, None))
+        elif "SPDX" in text or "free software" in text or "Apache" in text:
+            texts.append("/*\n" + "\n".join(f" * {x}" for x in paragraphs[0].split("\n")) + "\n *\n * More words.\n */\nint main;\n")
+            wanted.append((None, name))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licenses.known_digests(spark)).collect()}
+    assert len(texts) > 50
+    for i, (whole, notice) in enumerate(wanted):
+        assert got[i]["license"] == whole and (notice is None or got[i]["notice_licenses"] == notice), (texts[i], got[i])
