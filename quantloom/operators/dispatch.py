@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import average_rank, dealt
+
 #: The classic composite's weights, what the market's volatility over its usual one does to momentum and to other factors, largest first.
 CLASSIC = {"momentum": 0.5, "acceleration": 0.2, "volatility": -0.1, "quality": 0.2}
 MOMENTUM_SCALE, OTHER_SCALE = ((1.5, 0.5), (1.2, 0.75)), ((1.5, 1.1),)
@@ -16,10 +18,8 @@ CALM_MOMENTUM, CALM_OTHER = (0.8, 1.2), (0.7, 0.9)
 
 def place(x: str, by: tuple[str, ...], least: int = 10):
     """The average rank of x in its group, -1 to 1; null in groups with fewer than `least` values."""
-    group = Window.partitionBy(*by)
-    n = F.count(x).over(group)
-    average = F.rank().over(group.orderBy(F.col(x).asc_nulls_last())) + (F.count(x).over(Window.partitionBy(*by, x)) - 1) / 2
-    return F.when(F.col(x).isNotNull() & (n >= least), 2 * average / n - 1)
+    n = F.count(x).over(Window.partitionBy(*by).orderBy(F.col(x).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.when(F.col(x).isNotNull() & (n >= least), 2 * average_rank(x, *by) / n - 1)
 
 
 def as_signal(rows: DataFrame, x: str, method: str = "rank") -> DataFrame:
@@ -45,7 +45,7 @@ def interactions(tall: DataFrame, pairs: dict[str, tuple[str, str]], least: int
     names = sorted({f for p in pairs.values() for f in p})
     wide = tall.groupBy("date", "asset").pivot("factor", names).agg(F.first("signal"))
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.round(F.col(a) * F.col(b), 9).alias("x")) for n, (a, b) in pairs.items()]))
-    rows = wide.select("date", "asset", each.alias("e")).select("e.factor", "date", "asset", "e.x")
+    rows = dealt(wide.select("date", "asset", each.alias("e")).select("e.factor", "date", "asset", "e.x"), "factor", "date")
     return rows.select("factor", "date", "asset", place("x", ("factor", "date"), least).alias("signal"))
 
 
@@ -128,7 +128,7 @@ def catalogue(tall: DataFrame, combos: dict[str, dict[str, float]], market: Data
         return F.try_divide(total, sum((F.when(F.col(f).isNotNull(), abs(w)).otherwise(0.0) for f, w in weights.items()), F.lit(0.0)))
 
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("combo"), F.round(mean(w), 9).alias("x")) for n, w in combos.items()]))
-    rows = wide.select("date", "asset", each.alias("e")).select("e.combo", "date", "asset", "e.x")
+    rows = dealt(wide.select("date", "asset", each.alias("e")).select("e.combo", "date", "asset", "e.x"), "combo", "date")
     ranked = rows.select("combo", "date", "asset", place("x", ("combo", "date"), least).alias("signal"))
     if market is None or not wild:
         return ranked

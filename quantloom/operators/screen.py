@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import cs_rank
+from ..functions.frames import cs_place, cs_rank
 
 
 def universe(panel: DataFrame, least_price: float, least_share: float) -> DataFrame:
@@ -50,7 +50,7 @@ def blend(tall: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Weighted mean of the factors that a name has, ranked again; tall has date, asset, factor and signal."""
     w = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v))])[F.col("factor")]
     mean = tall.where("signal is not null").withColumn("w", w).where("w is not null").groupBy("date", "asset").agg(F.round(F.sum(F.col("w") * F.col("signal")) / F.sum("w"), 6).alias("x"))
-    return mean.selectExpr("date", "asset", "x as value", f"round({cs_rank('x')}, 9) as signal")
+    return mean.selectExpr("date", "asset", "x as value", f"round({cs_place('x')}, 9) as signal")
 
 
 def blend_sql(tall: str, weights: dict[str, float]) -> str:

@@ -53,3 +53,19 @@ def test_compound_needs_all_values(spark):
     data = [(1, k, 0.1 if k != 3 else None) for k in range(6)]
     got = {r["date"]: r["c"] for r in spark.createDataFrame(data, "asset int, date int, ret double").selectExpr("date", f"{compound('ret', 2, 1)} as c").collect()}
     assert got[2] == pytest.approx(0.21) and got[1] is None and got[4] is None and got[5] is None
+
+
+def test_ranks_of_many_factors_take_one_sort_and_keep_their_parts(spark):
+    from quantloom.functions.frames import average_rank, cs_place
+    from quantloom.operators.factors import MONTHLY, compute_all
+    from quantloom.operators.significance import ic_by_factor
+
+    data = [("a", k, float(v) if v is not None else None) for k, v in enumerate([1, 1, 2, 3, 4, -0.0, 0.0, 7, float("nan"), 9, None, None, 9, 9])] + [("b", k, float(k)) for k in range(9)] + [("c", k, None) for k in range(12)]
+    df = spark.createDataFrame(data, "date string, asset int, x double").repartition(3)
+    got = df.select("date", "asset", df["x"], average_rank("x", "date").alias("r")).selectExpr("*", f"{cs_rank('x')} as old", f"{cs_place('x')} as new", "rank() over (partition by date order by x nulls last) + (count(x) over (partition by date, x) - 1) / 2 as place").collect()
+    assert len(got) == len(data) and all(r["old"] == r["new"] and r["r"] == r["place"] for r in got)
+    panel = spark.range(4000).selectExpr("id % 200 as asset", "date_add(date '2020-01-01', cast(id / 200 as int)) as date", "rand(3) as ret", "rand(4) as close", "rand(5) as fwd")
+    tall = compute_all(panel, {n: MONTHLY[n] for n in ("momentum_12_1", "volatility_12m", "max_return_12m")}, keep=("fwd",))
+    sorts = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Sort [factor")
+    assert sorts(tall) == 1 and sorts(ic_by_factor(tall)) == 3
+    assert tall.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # small parts are not put together
