@@ -82,3 +82,17 @@ def test_gates_and_empty_tables(spark):
     for df in (risk.metrics(none, market, 0.0), risk.tail_stats(none), risk.synthetic_shocks(none), risk.monthly_table(none), risk.kelly(none), macro.regime_z(none.selectExpr("strategy as series", "date", "r as x"))):
         assert df.count() == 0
     assert significance.multiple_tests(spark.createDataFrame([("a", None)], "factor string, p double"), "holm").first()["reject"] is False
+
+
+def test_screens_rank_with_one_sort(spark):
+    from pyspark.sql import functions as F
+
+    values = [0.0, 0.0, 1.0, 1.0, -2.0, 5.0, 0.0, 1.0]
+    df = spark.createDataFrame([("a", k, x) for k, x in enumerate(values)] + [("b", 0, 3.0), ("b", 1, 0.0)], "date string, symbol int, x double")
+    ranked = df.select("date", "symbol", signals.ranked_others("x", F.col("x") != 0, ["date"]).alias("s"))
+    shares = df.select("date", "symbol", signals.share_rank("x", ["date"]).alias("s"))
+    for out in (ranked, shares):
+        assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    used = sorted(x for x in values if x)
+    place = lambda x: 2 * (used.index(x) + (used.count(x) + 1) / 2) / len(used) - 1
+    assert {(r["date"], r["symbol"]): r["s"] for r in ranked.collect()} == {("a", k): pytest.approx(place(x)) if x else 0.0 for k, x in enumerate(values)} | {("b", 0): 3.0, ("b", 1): 0.0}
