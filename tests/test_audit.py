@@ -178,3 +178,24 @@ def test_capacity_is_a_median_of_medians(spark):
         medians.append(np.median([r[3] for r in mine[:4] + mine[-3:] if r[3] is not None]))
     assert got[0]["median_adv"] == pytest.approx(np.median(medians)) and got[0]["most"] == pytest.approx(0.1 * np.median(medians) * 7 / 1.3)
     assert [r["level"] for r in got] == list(audit.LEVELS)
+
+
+def test_combinations_join_returns_once(spark):
+    rng = np.random.default_rng(8)
+    x = pd.DataFrame({"date": np.repeat(np.arange(3), 30), "asset": np.tile(np.arange(30), 3), "fwd": rng.normal(size=90), "a": rng.normal(size=90), "b": rng.normal(size=90)})
+    x.loc[rng.random(90) < 0.2, "b"] = np.nan
+    tall = x.melt(["date", "asset"], ["a", "b"], "factor", "signal").astype({"signal": object})
+    tall["signal"] = tall["signal"].where(tall["signal"].notna(), None)
+    df = spark.createDataFrame(tall, "date long, asset long, factor string, signal double")
+    forward = spark.createDataFrame(x[["date", "asset", "fwd"]])
+    combos = {"b": ("b",), "a+b": ("a", "b")}
+    out = significance.best_combinations(df, forward, combos)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and plan.index("Join") > plan.index("Generate explode")  # the join lies below the copies
+    got = {r["factor"]: (r["mean_ic"], r["dates"]) for r in out.collect()}
+    for name, members in combos.items():
+        x["m"] = x[list(members)].mean(axis=1).round(6)
+        ics = [round(p["m"].rank().corr(p["fwd"][p["m"].notna()].rank()), 6) for _, p in x.groupby("date") if p["m"].notna().sum() >= 20]
+        assert got[name] == (pytest.approx(sum(ics) / len(ics), abs=2e-7), len(ics))
+    half = significance.best_combinations(df, forward, {"b": ("b", "missing")}).first()
+    assert half["mean_ic"] == got["b"][0]
