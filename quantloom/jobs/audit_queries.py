@@ -60,12 +60,12 @@ register(
     g as (select fold, role, case when count(x) >= 3 and stddev_samp(x) > 0 then avg(x) / stddev_samp(x) * sqrt(12) else 0 end as sharpe from b group by 1, 2), w as (select fold, max(sharpe) filter (role = 'train') as train, max(sharpe) filter (role = 'test') as test from g group by 1)
     select count(*) as folds, round(avg(train), 6) as train, round(avg(test), 6) as test, round(avg(test / train) filter (train > 0), 6) as retention, round((select avg(x) / stddev_samp(x) * sqrt(12) from b where role = 'test'), 6) as pooled, round(case when avg(train) > 0 then 1 - avg(test) / avg(train) end, 6) as decay from w""",
 )
-register("implied_vol", lambda spark, d: chain(spark, d).transform(signals.implied_vol).select("contract", "underlying", F.round("iv", 6).alias("iv")), f"select contract, underlying, round(iv, 6) as iv from ({signals.implied_vol_sql(CHAIN)})")
+register("implied_vol", lambda spark, d: chain(spark, d).select("contract", "underlying", "kind", "mid", "spot", "strike", "dte").transform(signals.implied_vol).select("contract", "underlying", F.round("iv", 6).alias("iv")), f"select contract, underlying, round(iv, 6) as iv from ({signals.implied_vol_sql(CHAIN)})")
 
 
 def _smiles(spark: SparkSession, d: str) -> DataFrame:
     """Mean implied volatility by underlying, kind and side of the money."""
-    iv = signals.implied_vol(chain(spark, d))
+    iv = signals.implied_vol(chain(spark, d).select("underlying", "kind", "moneyness", "mid", "spot", "strike", "dte"))
     side = F.when(F.col("moneyness") < 0.95, "low").when(F.col("moneyness") > 1.05, "high").otherwise("near")
     return rounded(iv.where("iv is not null").groupBy("underlying", "kind", side.alias("side")).agg(F.avg("iv").alias("iv"), F.count("*").alias("n")))
 

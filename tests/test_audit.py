@@ -168,6 +168,24 @@ def test_implied_volatility_round_trip(spark):
     assert rest[0] is None and rest[1] is None and rest[2] is None  # no price, no days, beyond both ways
 
 
+def test_brackets_are_halved_by_all_tasks(spark):
+    quotes = spark.range(0, 400, 1, 1).selectExpr("if(id % 2 = 0, 'call', 'put') as kind", "90e0 + id % 30 as strike", "100e0 as spot", "cast(if(id % 50 = 49, null, 20 + id) as int) as dte", "if(id % 40 = 39, null, 4e0 + id % 9) as mid")
+    out = signals.implied_vol(quotes)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # one part before
+    plan = out.where("iv is not null")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Filter isnotnull(iv" in plan  # a filter does not halve again
+    for r in out.collect():
+        if r["mid"] is None or r["dte"] is None:
+            assert r["iv"] is None
+        elif r["iv"] is not None and 0.011 < r["iv"] < 4.99:
+            y, v = r["dte"] / 365, r["iv"]
+            d1 = (math.log(r["spot"] / r["strike"]) + (0.05 + v * v / 2) * y) / (v * math.sqrt(y))
+            cdf = lambda z: math.erfc(-z / math.sqrt(2)) / 2
+            call = r["spot"] * cdf(d1) - r["strike"] * math.exp(-0.05 * y) * cdf(d1 - v * math.sqrt(y))
+            price = call if r["kind"] == "call" else call + r["strike"] * math.exp(-0.05 * y) - r["spot"]
+            assert price == pytest.approx(r["mid"], abs=1e-9) or v == pytest.approx(r["mid"] / (0.4 * 100 * math.sqrt(y)))
+
+
 def test_capacity_is_a_median_of_medians(spark):
     rng = random.Random(2)
     rows = [(day(k), a, rng.uniform(-1, 1), None if a % 7 == 0 else rng.uniform(1e4, 1e6)) for k in range(30) for a in range(30 if k else 4)]
