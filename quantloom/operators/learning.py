@@ -6,11 +6,14 @@ task: values are dealt by range, and a range's offset is a sum over ranges.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: Trees and their depth, what a tree counts, and the share of rows that it sees.
 TREES, DEPTH, STEP, SHARE = 30, 4, 0.1, 0.8
@@ -80,26 +83,72 @@ def permutation_importance(model: GBTRegressionModel, rows: DataFrame, features:
     return each.groupBy(F.element_at(names, F.col("_f")).alias("feature")).agg(F.avg(F.col("mse") - F.col("base")).alias("importance"), F.stddev_pop(F.col("mse") - F.col("base")).alias("deviation"))
 
 
+def along(rows: DataFrame, label: str, by: str) -> DataFrame:
+    """rows with a label, dealt once by ranges of it in each group of by and sorted there; _p is the range."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.where(F.col(label).isNotNull()).repartitionByRange(parts, by, label).withColumn("_p", F.spark_partition_id())
+    return ranged.repartition(parts, by, "_p").sortWithinPartitions(by, "_p", label)
+
+
+def coefficients(laid: DataFrame, values: dict[str, Column], label: str, by: str) -> DataFrame:
+    """by, name and ic: the rank correlation of each of values with label over the rows of each group that have it.
+
+    laid is along() and kept, so that its ranges stay the same.  Ranks of label are running counts of all values at once, without
+    an exchange; then rows are added up by value, and each range of values gives sums of its own.  No row is joined.
+    """
+    names = list(values)
+    x = laid.select(by, "_p", label, *[v.alias(f"_v{i}") for i, v in enumerate(values.values())])
+    # a row for each range comes back: in a plan that has laid twice, Spark would compute one of the two again in place of reading what is kept
+    sofar: dict[object, list[int]] = {}
+    before = []
+    for r in sorted(x.groupBy(by, "_p").agg(*[F.count(f"_v{i}") for i in range(len(names))]).collect(), key=lambda r: r["_p"]):
+        here = sofar.setdefault(r[0], [0] * len(names))
+        before.append((r[0], r[1], *here))
+        sofar[r[0]] = [a + b for a, b in zip(here, r[2:], strict=True)]
+    ranges = laid.sparkSession.createDataFrame(before, StructType([laid.schema[by], StructField("_p", IntegerType()), *[StructField(f"_b{i}", LongType()) for i in range(len(names))]]))
+    w = Window.partitionBy(by, "_p").orderBy(label)
+    here = x.select("*", *[F.count(f"_v{i}").over(w.rangeBetween(Window.unboundedPreceding, 0)).alias(f"_u{i}") for i in range(len(names))], *[F.count(f"_v{i}").over(w.rangeBetween(0, 0)).alias(f"_s{i}") for i in range(len(names))])
+    place = lambda i: F.col(f"_b{i}") + F.col(f"_u{i}") - (F.col(f"_s{i}") - 1) / 2
+    each = here.join(F.broadcast(ranges), [by, "_p"]).select(by, F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"_v{i}").alias("v"), place(i).alias("b")) for i in range(len(names))])).alias("e"))
+    merged = each.select(by, "e.*").where("v is not null").groupBy(by, "k", "v").agg(F.count("*").alias("n"), F.sum("b").alias("b"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+    ranged = merged.repartitionByRange(by, "k", "v").withColumn("_p", F.spark_partition_id())
+    inner = ranged.withColumn("a", F.sum("n").over(Window.partitionBy(by, "k", "_p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - (F.col("n") - 1) / 2)
+    sums = inner.groupBy(by, "k", "_p").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("bb").alias("bb"), F.sum(F.col("n") * F.col("a")).alias("a"), F.sum(F.col("n") * F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("a") * F.col("b")).alias("ab"))
+    offset = F.coalesce(F.sum("n").over(Window.partitionBy(by, "k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    moved = sums.withColumn("o", offset).select(by, "k", "n", "bb", (F.col("aa") + 2 * F.col("o") * F.col("a") + F.col("o") * F.col("o") * F.col("n")).alias("aa"), (F.col("ab") + F.col("o") * F.col("b")).alias("ab"))  # a row for each range
+    total = moved.groupBy(by, "k").agg(*[F.sum(c).cast("double").alias(c) for c in ("n", "aa", "bb", "ab")])
+    middle = F.col("n") * (F.col("n") + 1) * (F.col("n") + 1) / 4  # both ranks have the same mean
+    spread = F.sqrt(F.greatest(F.col("aa") - middle, F.lit(0.0))) * F.sqrt(F.greatest(F.col("bb") - middle, F.lit(0.0)))
+    return total.select(by, F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1).alias("name"), F.try_divide(F.col("ab") - middle, spread).alias("ic"))
+
+
+def _mean(members: list[str]) -> Column:
+    """The mean of the members that a row has, to nine digits."""
+    total = reduce(lambda s, c: s + F.coalesce(F.col(f"`{c}`"), F.lit(0.0)), members, F.lit(0.0))
+    return F.round(F.try_divide(total, reduce(lambda s, c: s + F.col(f"`{c}`").isNotNull().cast("int"), members, F.lit(0))), 9)
+
+
 def stepwise(rows: DataFrame, features: list[str], label: str = "fwd", most: int = 8) -> DataFrame:
     """step, added, selected, train_ic and test_ic: in each step the feature with which the mean of the selected ones (of those that a row has) correlates best with the label on rows of role test.
 
-    One job a step tries all features that are left; what comes back is a row for each.
+    One job a step tries all features that are left on the tests' rows; the other roles' rows take part once, in a job for all steps.  What comes back is a row for each.
     """
-    rows = rows.where(F.col(label).isNotNull()).select("role", label, *features).persist()  # every step reads them
+    laid = along(rows.select("role", label, *features), label, "role").persist()  # every step reads them
+    test, train = laid.where("role = 'test'"), laid.where("role = 'train'")
     selected: list[str] = []
-    out = []
+    found: list[tuple[str, float]] = []
     while len(selected) < min(most, len(features)):
         left = [c for c in features if c not in selected]
-        mean = {c: F.expr("aggregate(filter(array({0}), x -> x is not null), 0D, (s, x) -> s + x) / nullif(size(filter(array({0}), x -> x is not null)), 0)".format(", ".join(f"`{s}`" for s in [*selected, c]))) for c in left}
-        tries = rows.select("role", label, F.explode(F.array(*[F.struct(F.lit(c).alias("added"), F.round(m, 9).alias("value")) for c, m in mean.items()])).alias("t")).select("role", label, "t.*")
-        ics = {(r["role"], r["added"]): r["ic"] for r in spearman(tries, "value", label, ("role", "added")).collect()}
-        known = [c for c in left if ics.get(("test", c)) is not None]
+        ics = {r["name"]: r["ic"] for r in coefficients(test, {c: _mean([*selected, c]) for c in left}, label, "role").collect()}
+        known = [c for c in left if ics.get(c) is not None]
         if not known:
             break
-        best = max(known, key=lambda c: (round(ics["test", c], 9), -features.index(c)))
+        best = max(known, key=lambda c: (round(ics[c], 9), -features.index(c)))
         selected.append(best)
-        out.append((len(selected), best, "+".join(selected), ics.get(("train", best)), ics["test", best]))
-    rows.unpersist()
+        found.append((best, ics[best]))
+    trained = {r["name"]: r["ic"] for r in coefficients(train, {str(k): _mean(selected[: k + 1]) for k in range(len(selected))}, label, "role").collect()} if selected else {}
+    laid.unpersist()
+    out = [(k + 1, best, "+".join(selected[: k + 1]), trained.get(str(k)), ic) for k, (best, ic) in enumerate(found)]
     return rows.sparkSession.createDataFrame(out, "step int, added string, selected string, train_ic double, test_ic double")  # a row for each step
 
 

@@ -5,6 +5,7 @@ import datetime
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.operators import learning
 
@@ -61,6 +62,23 @@ def test_stepwise_selection_is_greedy(spark, table):
     assert chosen[0] == "strong"
 
 
+def test_coefficients_join_no_rows(spark):
+    n = 4000
+    x = pd.DataFrame({"role": np.where(RNG.random(n) < 0.3, "test", "train"), "fwd": RNG.normal(size=n).round(2), "a": RNG.integers(0, 30, n).astype(float), "b": RNG.normal(size=n), "same": 1.0})
+    x.loc[:300, "fwd"], x.loc[RNG.random(n) < 0.3, "b"] = 0.0, np.nan
+    laid = learning.along(spark.createDataFrame(x.astype(object).where(x.notna(), None), "role string, fwd double, a double, b double, same double").repartition(5), "fwd", "role").persist()
+    out = learning.coefficients(laid, {c: F.col(c) for c in ("a", "b", "same")}, "fwd", "role")
+    got = {(r["role"], r["name"]): r["ic"] for r in out.collect()}
+    for role, p in x.groupby("role"):
+        for c in ("a", "b"):
+            assert got[role, c] == pytest.approx(p[c].rank().corr(p["fwd"][p[c].notna()].rank()), abs=1e-12)
+        assert got[role, "same"] is None
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan  # a row meets small tables only
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") == 1  # what is kept is read, not computed again
+    laid.unpersist()
+
+
 def test_importance_finds_what_was_planted(spark, table):
     _, df = table
     model = learning.fit(df.where("role = 'train'"), FEATURES, trees=12, depth=3)
