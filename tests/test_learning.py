@@ -105,3 +105,10 @@ def test_folds_do_not_look_ahead(spark, table):
     mine, theirs = first(out), first(other)
     assert mine == pytest.approx(theirs, abs=1e-5)
     assert learning.walk_forward(df.limit(0), FEATURES).count() == 0
+
+
+def test_feature_panel_reads_one_panel(spark):
+    from quantloom.jobs.registry import QUERIES
+
+    plan = QUERIES["feature_panel"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Scan parquet") == 1
