@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dispatch, factors, macro, portfolio
+from ..sources.panels import sized
 from . import audit_queries  # noqa: F401  trend_regime comes first
 from .catalog import MARKET, MONTH, ORACLES, REGIONS, STRATEGIES, market, month, read, regions, register, strategies
-from .evaluation_queries import COLUMNS, TALL, tall
+from .evaluation_queries import COLUMNS, TALL, sized_tall, tall
 from .factor_queries import WEEK, week
 from .registry import _MOM, _SIGNAL_SQL
 from .risk_queries import rounded
@@ -31,10 +32,24 @@ def _rets(spark: SparkSession, d: str) -> DataFrame:
 _RETS = f"select date, asset, round(ret, 9) as x from ({MONTH})"
 register("as_signal_rank", lambda spark, d: rounded(dispatch.as_signal(_rets(spark, d), "x")), f"select date, asset, round({_place('x', 'date', 1)}, 6) as signal from ({_RETS})")
 register("as_signal_zscore", lambda spark, d: rounded(dispatch.as_signal(_rets(spark, d), "x", "zscore")), f"select date, asset, round(case when z > 3 then 1 when z < -3 then -1 else z / 3 end, 6) as signal from (select date, asset, (x - avg(x) over (partition by date)) / nullif(round(stddev_samp(x) over (partition by date), 12), 0) as z from ({_RETS}))")
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    months, size = sized(spark, d, "month")
+    return factors.compute_all(months, _MEMBERS, size=size)
+
+
 _SUM = " + ".join(f"max(signal) filter (factor = '{n}') * {w}" for n, w in PARTS.items())
-register("classic_composite", lambda spark, d: rounded(dispatch.composite(factors.compute_all(month(spark, d), _MEMBERS), PARTS)), f"select date, asset, round({_SUM}, 6) as signal from ({_PARTS_SQL}) group by 1, 2")
+register("classic_composite", lambda spark, d: rounded(dispatch.composite(_parts(spark, d), PARTS)), f"select date, asset, round({_SUM}, 6) as signal from ({_PARTS_SQL}) group by 1, 2")
 _PRODUCTS = " union all ".join(f"select '{n}' as factor, date, asset, round(max(signal) filter (factor = '{a}') * max(signal) filter (factor = '{b}'), 9) as x from ({TALL}) group by 2, 3" for n, (a, b) in PAIRS.items())
-register("factor_interactions", lambda spark, d: rounded(dispatch.interactions(tall(spark, d), PAIRS)), f"select factor, date, asset, round({_place('x', 'factor, date')}, 6) as signal from ({_PRODUCTS})")
+
+
+def _interactions(spark: SparkSession, d: str) -> DataFrame:
+    signals, size = sized_tall(spark, d)
+    return rounded(dispatch.interactions(signals, PAIRS, size=size))
+
+
+register("factor_interactions", _interactions, f"select factor, date, asset, round({_place('x', 'factor, date')}, 6) as signal from ({_PRODUCTS})")
 _SCALES = f"""select date, ratio, case when ratio > 1.5 then 0.5 when ratio > 1.2 then 0.75 when ratio < 0.8 then 1.2 else 1 end::double as momentum, case when ratio > 1.5 then 1.1 when ratio < 0.7 then 0.9 else 1 end::double as other from (
   select date, round(v / case when count(v) over w >= 12 then nullif(median(v) over w, 0) end, 9) as ratio from (select date, round(case when count(m) over s >= 6 then stddev_samp(m) over s end * sqrt(12), 9) as v from ({MARKET}) window s as (order by date rows between 5 preceding and current row)) window w as (order by date))"""
 register("regime_scales", lambda spark, d: rounded(dispatch.regime_scale(market(spark, d))), f"select date, round(ratio, 6) as ratio, momentum, other from ({_SCALES})")
@@ -94,8 +109,15 @@ _SUMS = " union all ".join(
     f"select '{n}' as combo, date, asset, round(sum(signal * case factor {' '.join(f'when {f!r} then {w}' for f, w in c.items())} end) / nullif(sum(case when signal is not null then abs(case factor {' '.join(f'when {f!r} then {w}' for f, w in c.items())} end) end), 0), 9) as x from ({TALL}) where factor in ({', '.join(map(repr, c))}) group by 2, 3"
     for n, c in COMBOS.items()
 )
+
+
+def _catalogue(spark: SparkSession, d: str) -> DataFrame:
+    signals, size = sized_tall(spark, d)
+    return rounded(dispatch.catalogue(signals, COMBOS, market(spark, d), ("timed_peaks",), size=size))
+
+
 register(
-    "signal_catalogue", lambda spark, d: rounded(dispatch.catalogue(tall(spark, d), COMBOS, market(spark, d), ("timed_peaks",))),
+    "signal_catalogue", _catalogue,
     f"select combo, date, asset, round(signal * case when combo = 'timed_peaks' then coalesce(momentum, 1) else 1 end, 6) as signal from (select combo, date, asset, {_place('x', 'combo, date')} as signal from ({_SUMS})) left join ({_SCALES}) using (date)",
 )
 register(

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import average_rank, dealt
+from ..functions.frames import average_rank, dealt, wide
 
 #: The classic composite's weights, what the market's volatility over its usual one does to momentum and to other factors, largest first.
 CLASSIC = {"momentum": 0.5, "acceleration": 0.2, "volatility": -0.1, "quality": 0.2}
@@ -35,17 +35,15 @@ def as_signal(rows: DataFrame, x: str, method: str = "rank") -> DataFrame:
 
 def composite(tall: DataFrame, weights: dict[str, float], optional: tuple[str, ...] = ()) -> DataFrame:
     """date, asset and signal: the weighted sum of the named factors' signals; null where one is missing, but optional ones count 0 then."""
-    wide = tall.groupBy("date", "asset").pivot("factor", list(weights)).agg(F.first("signal"))
     total = sum(((F.coalesce(F.col(f), F.lit(0.0)) if f in optional else F.col(f)) * w for f, w in weights.items()), F.lit(0.0))
-    return wide.select("date", "asset", total.alias("signal"))
+    return wide(tall, list(weights)).select("date", "asset", total.alias("signal"))
 
 
-def interactions(tall: DataFrame, pairs: dict[str, tuple[str, str]], least: int = 10) -> DataFrame:
-    """factor (a pair's name), date, asset and signal: the rank of the product of two factors' signals; all pairs from one pivot."""
+def interactions(tall: DataFrame, pairs: dict[str, tuple[str, str]], least: int = 10, size: int = 0) -> DataFrame:
+    """factor (a pair's name), date, asset and signal: the rank of the product of two factors' signals; all pairs from one pivot.  size: about how many dates and assets there are, if known."""
     names = sorted({f for p in pairs.values() for f in p})
-    wide = tall.groupBy("date", "asset").pivot("factor", names).agg(F.first("signal"))
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.round(F.col(a) * F.col(b), 9).alias("x")) for n, (a, b) in pairs.items()]))
-    rows = dealt(wide.select("date", "asset", each.alias("e")).select("e.factor", "date", "asset", "e.x"), "factor", "date")
+    rows = dealt(wide(tall, names).select("date", "asset", each.alias("e")).select("e.factor", "date", "asset", "e.x"), "factor", "date", size=size * len(pairs))
     return rows.select("factor", "date", "asset", place("x", ("factor", "date"), least).alias("signal"))
 
 
@@ -115,20 +113,19 @@ def labelled(signals: DataFrame, prices: DataFrame, periods: tuple[int, ...] = (
     return both.select("date", "asset", F.col("signal").alias("factor"), (F.floor((rank - 1) * quantiles / F.count("*").over(one)) + 1).cast("int").alias("bucket"), *[f"fwd_{k}" for k in periods])
 
 
-def catalogue(tall: DataFrame, combos: dict[str, dict[str, float]], market: DataFrame | None = None, wild: tuple[str, ...] = (), least: int = 10) -> DataFrame:
+def catalogue(tall: DataFrame, combos: dict[str, dict[str, float]], market: DataFrame | None = None, wild: tuple[str, ...] = (), least: int = 10, size: int = 0) -> DataFrame:
     """combo, date, asset and signal of all combinations from one pivot: the rank of the weighted sum of the factors that a name has, by their weights; names without any have none.
 
-    Combinations named in wild are then scaled as momentum is by the market's regime (see regime_scale()).
+    Combinations named in wild are then scaled as momentum is by the market's regime (see regime_scale()).  size: about how many dates and assets there are, if known.
     """
     names = sorted({f for w in combos.values() for f in w})
-    wide = tall.groupBy("date", "asset").pivot("factor", names).agg(F.first("signal"))
 
     def mean(weights: dict[str, float]):
         total = sum((F.coalesce(F.col(f), F.lit(0.0)) * w for f, w in weights.items()), F.lit(0.0))
         return F.try_divide(total, sum((F.when(F.col(f).isNotNull(), abs(w)).otherwise(0.0) for f, w in weights.items()), F.lit(0.0)))
 
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("combo"), F.round(mean(w), 9).alias("x")) for n, w in combos.items()]))
-    rows = dealt(wide.select("date", "asset", each.alias("e")).select("e.combo", "date", "asset", "e.x"), "combo", "date")
+    rows = dealt(wide(tall, names).select("date", "asset", each.alias("e")).select("e.combo", "date", "asset", "e.x"), "combo", "date", size=size * len(combos))
     ranked = rows.select("combo", "date", "asset", place("x", ("combo", "date"), least).alias("signal"))
     if market is None or not wild:
         return ranked
