@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import wide
 from ..functions.normal import normal_cdf_sql
 from ..functions.recursion import ewm, ewm_sql, wilder
 from ..operators import audit, factors, macro, signals, significance
@@ -20,7 +21,7 @@ _WIDE = f"select date, asset, {', '.join(f'max(signal) filter (factor = {n!r}) a
 
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
-    return tall(spark, d).groupBy("date", "asset").pivot("factor", list(NAMES)).agg(F.first("signal"))
+    return wide(tall(spark, d), list(NAMES))
 
 
 def _capacity(spark: SparkSession, d: str) -> DataFrame:
