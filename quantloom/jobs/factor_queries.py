@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import cs_rank
 from ..operators import factors, formulas, screen
-from ..sources.panels import FIELDS, panel, panel_sql
+from ..sources.panels import FIELDS, panel, panel_sql, sized
 from .catalog import register
 
 COLUMNS = ("asset", "date", *FIELDS, "price", "ret", "mkt")
@@ -22,7 +22,11 @@ def week(spark: SparkSession, d: str) -> DataFrame:
 def composite(members: dict[str, factors.Stages]):
     """A query of all members' signals blended with equal weights, and its SQL."""
     weights = dict.fromkeys(members, 1.0)
-    query = lambda spark, d: screen.blend(factors.compute_all(week(spark, d), members), weights)
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        weeks, size = sized(spark, d, "week", PER)
+        return screen.blend(factors.compute_all(weeks, members, size=size), weights)
+
     return query, screen.blend_sql(factors.compute_all_sql(WEEK, COLUMNS, members), weights)
 
 
@@ -31,7 +35,14 @@ for _family, _names in factors.FAMILIES.items():
     register(f"composite_{_family}", *composite({n: _ALL[n] for n in _names}))
 _WHOLE = {n: _ALL[n] for f in ("liquidity", "trend", "statistics", "network", "behaviour", "dynamics") for n in factors.FAMILIES[f]}
 register("composite_alpha", *composite(_WHOLE))
-register("all_monthly_factors", lambda spark, d: factors.compute_all(panel(spark, d, "month"), factors.MONTHLY), factors.compute_all_sql(panel_sql("month"), COLUMNS, factors.MONTHLY))
+
+
+def _all_monthly(spark: SparkSession, d: str) -> DataFrame:
+    months, size = sized(spark, d, "month")
+    return factors.compute_all(months, factors.MONTHLY, size=size)
+
+
+register("all_monthly_factors", _all_monthly, factors.compute_all_sql(panel_sql("month"), COLUMNS, factors.MONTHLY))
 
 
 # SQL of frames as lists; a frame has the rows' values that are not null.
