@@ -48,7 +48,7 @@ def test_wide_takes_one_aggregate(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 1, 0.5, None), (1, 2, -0.0, None), (2, 1, None, None)]
 
 
-@pytest.mark.parametrize("name", ["signal_catalogue", "vif", "composite_trend", "multiple_tests_bh", "multiple_tests_by", "multiple_tests_bonferroni"])
+@pytest.mark.parametrize("name", ["signal_catalogue", "vif", "composite_trend", "multiple_tests_bh", "multiple_tests_holm", "multiple_tests_by", "multiple_tests_bonferroni"])
 def test_queries_deal_by_size(spark, monkeypatch, name):
     monkeypatch.setattr(frames, "PART_ROWS", 20)
     plan = QUERIES[name](spark, D)
