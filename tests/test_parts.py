@@ -27,6 +27,11 @@ def test_ranks_have_parts_by_size(spark, monkeypatch):
     assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
 
 
+def test_tasks_write_parts_without_holding_them(spark):
+    assert frames.dealt(spark.range(10), "id", size=10**9).rdd.getNumPartitions() == 200
+    assert frames.dealt(spark.range(10), "id", size=3 * frames.PART_ROWS).rdd.getNumPartitions() == 4
+
+
 @pytest.mark.parametrize("unit,per", [("month", 1), ("week", 4)])
 def test_size_of_a_panel(spark, unit, per):
     rows, size = sized(spark, D, unit, per)
@@ -48,7 +53,7 @@ def test_wide_takes_one_aggregate(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 1, 0.5, None), (1, 2, -0.0, None), (2, 1, None, None)]
 
 
-@pytest.mark.parametrize("name", ["signal_catalogue", "vif", "composite_trend", "multiple_tests_bh", "multiple_tests_holm", "multiple_tests_by", "multiple_tests_bonferroni"])
+@pytest.mark.parametrize("name", ["signal_catalogue", "vif", "composite_trend", "composite_daily", "multiple_tests_bh", "multiple_tests_holm", "multiple_tests_by", "multiple_tests_bonferroni"])
 def test_queries_deal_by_size(spark, monkeypatch, name):
     monkeypatch.setattr(frames, "PART_ROWS", 20)
     plan = QUERIES[name](spark, D)
