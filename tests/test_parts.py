@@ -8,6 +8,7 @@ from quantloom.functions import frames
 from quantloom.functions.frames import wide
 from quantloom.jobs.registry import QUERIES
 from quantloom.operators.factors import MONTHLY, compute_all
+from quantloom.operators.significance import multiple_tests
 from quantloom.sources.panels import panel, sized
 
 D = "/root/testdata/sf0.001"
@@ -59,3 +60,23 @@ def test_queries_deal_by_size(spark, monkeypatch, name):
     plan = QUERIES[name](spark, D)
     assert min(parts(plan)) > 20
     assert "pivotfirst" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["multiple_tests_bonferroni"])
+def test_tests_are_computed_once(spark, name):
+    plan = QUERIES[name](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("method", ["bonferroni", "holm", "bh", "by"])
+def test_adjusted_tests_against_plain_loops(spark, method):
+    known = {"a": 0.04, "b": 0.001, "c": 0.04, "d": 0.9, "e": 0.013, "f": 0.0}
+    got = multiple_tests(spark.createDataFrame([*known.items(), ("g", None), ("h", None)], "factor string, p double"), method)
+    n, order = len(known), sorted(known, key=lambda f: (known[f], f))
+    each = {f: known[f] * {"bonferroni": n, "holm": n - k, "bh": n / (k + 1), "by": n / (k + 1) * sum(1 / i for i in range(1, n + 1))}[method] for k, f in enumerate(order)}
+    ahead = {"bonferroni": lambda k: [order[k]], "holm": lambda k: order[: k + 1]}.get(method, lambda k: order[k:])
+    worst = max if method == "holm" else min
+    want = {f: pytest.approx(min(1, worst(each[g] for g in ahead(k)))) for k, f in enumerate(order)} | {"g": None, "h": None}
+    assert {r["factor"]: r["p_adjusted"] for r in got.collect()} == want
+    assert {r["factor"] for r in got.where("reject").collect()} == {f for f, x in want.items() if x is not None and x.expected <= 0.05}
+    assert got.columns == ["factor", "p", "p_adjusted", "reject"]
