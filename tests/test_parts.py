@@ -62,7 +62,7 @@ def test_queries_deal_by_size(spark, monkeypatch, name):
     assert "pivotfirst" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["multiple_tests_bonferroni"])
+@pytest.mark.parametrize("name", ["multiple_tests_bonferroni", "multiple_tests_by"])
 def test_tests_are_computed_once(spark, name):
     plan = QUERIES[name](spark, D)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 1 and "Join" not in plan
